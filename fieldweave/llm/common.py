@@ -101,3 +101,27 @@ def run_hashes(words: np.ndarray, n: int, base: int = _ODD) -> np.ndarray:
     np.cumsum(words * powers[: len(words)], out=sums[1:])
     first = np.arange(len(words) - n + 1)
     return mixed((sums[first + n] - sums[first]) * powers[len(words) - first])
+
+
+class TwoAges:
+    """A dictionary of bounded size that forgets what two ages have not asked for.
+
+    When the young half is full it becomes the old one; keys found in the old
+    half move back. `fill(keys, learn)` makes all `keys` present in `young`.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def fill(self, keys: set, learn) -> dict:
+        missing = keys.difference(self.young)
+        if missing and len(self.young) + len(missing) > self.most // 2:
+            self.old, self.young, missing = self.young, {}, keys
+        if missing:
+            old = self.old
+            back = {k: old[k] for k in missing if k in old}
+            self.young.update(back)
+            learn(self.young, missing.difference(back))
+        return self.young

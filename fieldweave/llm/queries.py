@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import pieces, quality, records, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    read = records.read_records(records.write_records(table(spark, sf_dir, "documents"), vocabulary))
+    return read.select("doc_id", "start", "n_tokens", records.ids_crc32().alias("ids_crc32"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -54,6 +65,8 @@ FROM m
 QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op8_quality": op8_quality,
+    "op9_records": op9_records,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLES: dict[str, str] = {
