@@ -7,16 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality, records, simhash
+from . import langid, pieces, pii, quality, records, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.is_held_out())
+    model = langid.fit(docs.filter("not held_out"))
+    found = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select(
@@ -63,7 +74,9 @@ FROM m
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op8_quality": op8_quality,
     "op9_records": op9_records,
     "op10_pieces": op10_pieces,
