@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pieces, pii, quality, records, simhash
+from . import html, langid, pieces, pii, quality, records, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ FROM m
 
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
+    "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op8_quality": op8_quality,
