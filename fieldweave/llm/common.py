@@ -88,8 +88,9 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     powers = odd_powers(len(raw))
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
-    # Moving every word to the same power keeps equal words equal.
-    return mixed((sums[ends] - sums[starts]) * powers[len(raw) - starts] + (ends - starts).astype(np.uint64))
+    # The inverse power moves every word to the start, wherever it stands.
+    back = odd_powers(len(raw), pow(_ODD, -1, 1 << 64))
+    return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def run_hashes(words: np.ndarray, n: int, base: int = _ODD) -> np.ndarray:
@@ -100,7 +101,7 @@ def run_hashes(words: np.ndarray, n: int, base: int = _ODD) -> np.ndarray:
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * powers[: len(words)], out=sums[1:])
     first = np.arange(len(words) - n + 1)
-    return mixed((sums[first + n] - sums[first]) * powers[len(words) - first])
+    return mixed((sums[first + n] - sums[first]) * odd_powers(len(words), pow(base, -1, 1 << 64))[first])
 
 
 class TwoAges:
