@@ -2,8 +2,9 @@
 
 A record is, little-endian: the payload's length (8 bytes), the masked CRC-32 of
 those 8 bytes, the payload, the masked CRC-32 of the payload. A payload is one
-byte that says whether the document has an id, the id (8 bytes), then the token
-ids as unsigned 32-bit integers. `<name>.idx` holds the offset of every record
+byte that says whether the document has an id, one byte for the width of a token
+id (2 if all of the record's ids fit into 16 bits, else 4), the document's id (8
+bytes), then the token ids in that width. `<name>.idx` holds the offset of every record
 as unsigned 64-bit integers, so that a shuffled read can seek.
 
 Documents are range-partitioned by id, so files in order of (part, seq) hold
@@ -36,7 +37,7 @@ from .common import TwoAges, shared_dir, written
 
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
-_ID = struct.Struct("<Bq")
+_ID = struct.Struct("<BBq")
 _LETTERS = re.compile("[a-zßà-öø-ÿ]+")
 
 
@@ -55,13 +56,17 @@ def framed(payload: bytes) -> bytes:
     return length + struct.pack("<I", masked_crc(length)) + payload + struct.pack("<I", masked_crc(payload))
 
 
-def packed(key: int | None, ids: bytes) -> bytes:
-    return _ID.pack(key is not None, key or 0) + ids
+def packed(key: int | None, ids: np.ndarray) -> bytes:
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return _ID.pack(key is not None, width, key or 0) + ids.astype(f"<u{width}").tobytes()
 
 
-def unpacked(body: bytes) -> tuple[int | None, bytes]:
-    known, key = _ID.unpack_from(body)
-    return (key if known else None), body[_ID.size :]
+def unpacked(body: bytes) -> tuple[int | None, np.ndarray]:
+    """The document's id and the token ids as unsigned 32-bit integers."""
+    known, width, key = _ID.unpack_from(body)
+    if width not in (2, 4):
+        raise DamagedRecord(f"ids of {width} bytes")
+    return (key if known else None), np.frombuffer(body, dtype=f"<u{width}", offset=_ID.size).astype("<u4")
 
 
 def unframed(read, limit: int = 1 << 40) -> Iterator[bytes]:
@@ -213,7 +218,7 @@ def write_records(
                     if out is None:
                         out = store.open_output_stream(f"{root}/{own}-{len(done):04d}.rec")
                         offsets, at, ids = [], 0, 0
-                    frame = framed(packed(key, found + end))
+                    frame = framed(packed(key, np.frombuffer(found + end, dtype="<u4")))
                     out.write(frame)
                     offsets.append(at)
                     at += len(frame)
@@ -248,8 +253,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 with store.open_input_stream(where) as f:
                     for body in unframed(f.read):
                         key, ids = unpacked(body)
-                        rows.append((key, start, len(ids) // 4, ids))
-                        start, seen, held = start + len(ids) // 4, seen + 1, held + len(ids)
+                        rows.append((key, start, len(ids), ids.tobytes()))
+                        start, seen, held = start + len(ids), seen + 1, held + ids.nbytes
                         if held > 4_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                             rows, held = [], 0
@@ -271,8 +276,7 @@ def shuffled(path: str, seed: int, n: int | None = None) -> Iterator[tuple[int |
         for at in offsets[order].tolist():
             f.seek(at)
             body = next(unframed(f.read))
-            key, ids = unpacked(body)
-            yield key, np.frombuffer(ids, dtype="<u4")
+            yield unpacked(body)
 
 
 def ids_crc32(ids: str = "ids"):
