@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, passages, pieces, pii, quality, records, simhash
+from . import decontaminate, html, langid, passages, pieces, pii, quality, records, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.kept_digest(passages.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op6_decontaminate": op6_decontaminate,
     "op7_passages": op7_passages,
     "op8_quality": op8_quality,
     "op9_records": op9_records,
