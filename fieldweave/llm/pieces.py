@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import TwoAges
 
@@ -182,7 +183,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """`docs` with `ids` (array of int, with begin and end ids) and `decoded`; columns of those names give way."""
     own = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = docs.select(*own).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = docs.select(*own).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(model)

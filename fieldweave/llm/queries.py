@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, passages, pieces, pii, quality, records, simhash
+from . import decontaminate, html, langid, licences, passages, pieces, pii, quality, records, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op5_licences": op5_licences,
     "op6_decontaminate": op6_decontaminate,
     "op7_passages": op7_passages,
     "op8_quality": op8_quality,
@@ -98,5 +103,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_licences": licences.oracle_sql(),
     "op8_quality": OP8_SQL,
 }
