@@ -3,8 +3,10 @@
 A window is 50 consecutive words of one document; each word of a window that
 also starts in a document with a smaller id goes. Comparing every window with
 every other would shuffle the whole corpus several times over, so the job works
-in four steps:
+in steps:
 
+0. Copies. Documents with the text of a smaller one, by its MD5, are wholly
+   covered and take no part in what follows.
 1. Anchors. Each window names the least hash among its 8-word grams. Equal
    windows name equal anchors, and about one gram in 22 is one. Anchors that only
    one document names need no further look.
@@ -14,8 +16,9 @@ in four steps:
 3. Automata. The documents lie in hash partitions; each shard of one gets an
    automaton over the anchors of the passages that its documents share, a word
    being one symbol.
-4. Streaming. Every document of a shard runs through its automaton; each hit is
-   extended both ways, word by word, and what reaches 50 words is covered.
+4. Streaming. Every document of a shard that shares a passage runs through its
+   automaton; each hit in one of its own passages is extended both ways, word by
+   word, and what reaches 50 words is covered.
 
 So hashes only decide what is looked at, and word-by-word comparison decides
 what goes. Texts are shuffled once, by id, and all three steps that need them
@@ -29,7 +32,6 @@ each other. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -86,10 +88,20 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, anchors): what each document names and another names as well; few columns, kept in the shared folder."""
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy): ids whose text a smaller id has as well; ids on several rows are left out."""
     spark = docs.sparkSession
-    named = written(spark, anchors(docs, window, gram), "anchors")
+    prints = kept(spark, docs.select("doc_id", F.unhex(F.md5("text")).alias("print")))
+    first = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    single = prints.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("print").alias("print")).filter("rows = 1")
+    return kept(spark, single.join(first, "print").filter("first_id < doc_id").select("doc_id", F.lit(True).alias("copy")))
+
+
+def recurring_anchors(docs: DataFrame, copied: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc_id, anchors): what each document names and another names as well, copies aside; few columns, kept in the shared folder."""
+    spark = docs.sparkSession
+    named = anchors(docs, window, gram).join(copied, "doc_id", "left_anti")
+    named = written(spark, named, "anchors")
     shared = named.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
     return kept(spark, named.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
 
@@ -131,21 +143,21 @@ def passages(owners: DataFrame, window: int) -> DataFrame:
 
 
 class Shard:
-    """An automaton over the anchors of some passages."""
+    """An automaton over the anchors of some passages (owner_id, text)."""
 
     def __init__(self, shared: set[tuple[int, bytes]], window: int, gram: int):
         self.window, self.gram = window, gram
         self.symbols: dict[bytes, int] = {}
-        self.owners: list[int] = []
+        self.index: dict[tuple[int, bytes], int] = {}
         self.words: list[np.ndarray] = []
-        hits: dict[str, list[tuple[int, int]]] = {}
-        for owner, text in sorted(shared):
-            codes = self.coded(text.split())
-            named = np.isin(run_hashes(hashed_words(text), gram).view(np.int64), window_anchors(hashed_words(text), window, gram))
+        hits: dict[str, dict[int, list[int]]] = {}
+        for passage in sorted(shared):
+            codes, hashes = self.coded(passage[1].split()), hashed_words(passage[1])
+            named = np.isin(run_hashes(hashes, gram).view(np.int64), window_anchors(hashes, window, gram))
             line = self.line(codes)
             for at in np.flatnonzero(named).tolist():
-                hits.setdefault(line[at : at + gram], []).append((len(self.owners), at))
-            self.owners.append(owner)
+                hits.setdefault(line[at : at + gram], {}).setdefault(len(self.words), []).append(at)
+            self.index[passage] = len(self.words)
             self.words.append(codes)
         self.automaton = ahocorasick.Automaton()
         for phrase, where in hits.items():
@@ -162,50 +174,67 @@ class Shard:
         x = codes % _SYMBOLS
         return np.where(x < 0xD7FF, x + 1, x + 0x801).astype("<u4").tobytes().decode("utf-32-le")
 
-    def covered(self, doc_id: int, words: list[bytes]) -> np.ndarray:
-        """Which words lie in a window that also starts in a passage of a smaller document."""
+    def covered(self, own: set[tuple[int, bytes]], words: list[bytes]) -> np.ndarray:
+        """Which words lie in a window that one of the document's `own` passages has too."""
         n, window, gram = len(words), self.window, self.gram
         out = np.zeros(n, dtype=bool)
         codes = self.coded(words)
+        mine = {self.index[p] for p in own}
+        reached: dict[tuple[int, int], int] = {}
+        clear = 0  # up to here, the words around a hit are known to be covered
         for end, where in self.automaton.iter(self.line(codes)):
             at = end - gram + 1
-            around = slice(max(0, at - window + gram), at + window)
-            for passage, place in where:
-                if self.owners[passage] >= doc_id:
-                    continue
-                if out[around].all():
-                    break
+            if min(n, at + window) <= clear:
+                continue
+            for passage in mine.intersection(where) if len(mine) < len(where) else where.keys() & mine:
                 theirs = self.words[passage]
-                back = min(at, place)
-                differ = np.flatnonzero(codes[at - back : at] != theirs[place - back : place])
-                begin = at - back + (int(differ[-1]) + 1 if len(differ) else 0)
-                ahead = min(n - at, len(theirs) - place)
-                differ = np.flatnonzero(codes[at : at + ahead] != theirs[place : place + ahead])
-                stop = at + (int(differ[0]) if len(differ) else ahead)
-                if stop - begin >= window:
-                    out[begin:stop] = True
+                for place in where[passage]:
+                    if reached.get((passage, at - place), 0) > at:
+                        continue
+                    back = min(at, place)
+                    differ = np.flatnonzero(codes[at - back : at] != theirs[place - back : place])
+                    begin = at - back + (int(differ[-1]) + 1 if len(differ) else 0)
+                    ahead = min(n - at, len(theirs) - place)
+                    differ = np.flatnonzero(codes[at : at + ahead] != theirs[place : place + ahead])
+                    stop = at + (int(differ[0]) if len(differ) else ahead)
+                    reached[passage, at - place] = stop
+                    if stop - begin >= window:
+                        out[begin:stop] = True
+                        if begin <= max(clear, at - window + gram):
+                            # No window around later hits before `stop` has a word left to cover.
+                            clear = max(clear, stop)
         return out
 
 
 def streamed(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) from rows (doc_id, text, shared), `shared` being (owner_id, passage) pairs or null."""
+    """(doc_id, n_words, n_removed, kept) from rows (doc_id, text, shared, copy).
+
+    `shared` has (owner_id, passage) pairs or is null; a copy goes as a whole if it has a window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.array(b.column(1).cast(pa.large_binary()).to_pandas().map(len)) if b.num_rows else np.zeros(0)
+            sizes = np.array([len(t.as_py()) for t in b.column(1).cast(pa.large_binary())], dtype=np.int64)
             shard_of = np.cumsum(sizes) // _SHARD_BYTES
             for s in np.unique(shard_of).tolist():
                 rows = np.flatnonzero(shard_of == s)
                 part = b.slice(int(rows[0]), len(rows))
-                shared = {(x["owner_id"], x["passage"].encode()) for row in part.column(2).to_pylist() if row for x in row}
-                shard = Shard(shared, window, gram) if shared else None
-                ids, n, gone, texts = part.column(0).to_pylist(), [], [], []
-                for key, t in zip(ids, part.column(1).cast(pa.large_binary())):
+                shared = [{(x["owner_id"], x["passage"].encode()) for x in row or ()} for row in part.column(2).to_pylist()]
+                shard = Shard(set().union(*shared), window, gram)
+                n, gone, texts = [], [], []
+                for own, copy, t in zip(shared, part.column(3).to_pylist(), part.column(1).cast(pa.large_binary())):
                     words = t.as_py().split()
-                    out = shard.covered(key, words) if shard and len(words) >= window else None
                     n.append(len(words))
-                    gone.append(int(out.sum()) if out is not None else 0)
-                    texts.append(b" ".join(words if not gone[-1] else [w for w, x in zip(words, out.tolist()) if not x]))
+                    if copy and len(words) >= window:
+                        gone.append(len(words))
+                        words = []
+                    elif own:
+                        out = shard.covered(own, words)
+                        gone.append(int(out.sum()))
+                        words = [w for w, x in zip(words, out.tolist()) if not x]
+                    else:
+                        gone.append(0)
+                    texts.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
@@ -219,7 +248,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = every.filter("doc_id is not null")
-    named = recurring_anchors(known, window, gram)
+    copied = copies(known)
+    named = recurring_anchors(known, copied, window, gram)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.repartition(parts, "doc_id")  # the one exchange of texts
 
@@ -240,15 +270,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     places = owned.groupBy("owner_id").agg(F.collect_list("place").alias("places"))
     texts = passages(dealt.withColumnRenamed("doc_id", "owner_id").join(places, "owner_id").select("owner_id", "text", "places"), window)
     shared = routes.join(texts, "owner_id").groupBy("doc_id").agg(F.collect_list(F.struct("owner_id", "passage")).alias("shared"))
-    out = streamed(dealt.join(shared, "doc_id", "left").select("doc_id", "text", "shared"), window, gram)
-    lost = every.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<owner_id:bigint,passage:string>>").alias("shared"))
+    out = streamed(dealt.join(shared, "doc_id", "left").join(copied, "doc_id", "left").select("doc_id", "text", "shared", "copy"), window, gram)
+    nothing = F.lit(None).cast("array<struct<owner_id:bigint,passage:string>>")
+    lost = every.filter("doc_id is null").select("doc_id", "text", nothing.alias("shared"), F.lit(False).alias("copy"))
     return out.unionByName(streamed(lost, window, gram))
 
 
 def kept_digest(removed: DataFrame) -> DataFrame:
     """The digest form of `remove_repeats`."""
     return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
