@@ -39,6 +39,8 @@ _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<BBq")
 _LETTERS = re.compile("[a-zßà-öø-ÿ]+")
+#: Letters, then ASCII punctuation: the vocabulary cuts between them.
+_STOPPED = re.compile(r"([a-zßà-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
 
 class DamagedRecord(ValueError):
@@ -102,7 +104,7 @@ class WordEncoder:
         self.held = TwoAges(max_words)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.stops = {p: self._direct([p.decode()])[0] for p in (b".", b",")}
+        self.stops: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -124,10 +126,11 @@ class WordEncoder:
             s = w.decode()
             if _LETTERS.fullmatch(s):
                 plain[w] = s
-            elif w[-1:] in self.stops and _LETTERS.fullmatch(s, 0, len(s) - 1):
-                stopped.append(w)
-                if w[:-1] not in held:
-                    plain[w[:-1]] = s[:-1]
+            elif m := _STOPPED.fullmatch(s):
+                stem = m[1].encode()
+                stopped.append((w, stem, m[2]))
+                if stem not in held:
+                    plain[stem] = m[1]
             else:
                 other.append(w)
         keys = list(plain)
@@ -136,8 +139,14 @@ class WordEncoder:
             held.update(zip(some, self._plain([plain[k] for k in some])))
         if other:
             held.update(zip(other, self._direct([w.decode() for w in other])))
-        for w in stopped:
-            held[w] = held[w[:-1]] + self.stops[w[-1:]]
+        stops = self.stops
+        for w, stem, stop in stopped:
+            ids = stops.get(stop)
+            if ids is None:
+                if len(stops) > 10_000:
+                    stops.clear()
+                ids = stops[stop] = self._direct([stop])[0]
+            held[w] = held[stem] + ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
