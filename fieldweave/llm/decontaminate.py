@@ -3,9 +3,10 @@
 Documents are cut into passages of 32 words, a new one every 16. Words are
 hashed; their TF-IDF vectors are projected to the leading right singular vectors
 of the passage matrix, scaled by the singular values. That decomposition is a
-randomised one over all passages: every passage is added with a random sign to
-one row of a small sketch, Spark sums the tasks' sketches, and the sketch, of
-fixed size, is decomposed on the driver.
+randomised one over all passages: every passage's term counts are added with a
+random sign to one row of a small sketch, Spark sums the tasks' sketches, and the
+sketch, of fixed size and weighted by IDF, is decomposed on the driver. One pass
+counts document frequencies and makes the sketch.
 
 Benchmark items are cut into windows and compared with every passage by cosine,
 in blocks of queries of a fixed size, so what is broadcast is bounded. A window
@@ -54,6 +55,16 @@ def hashed(raw: bytes) -> np.ndarray:
     return (word_hashes(a, *word_spans(a)) & np.uint64(DIM - 1)).astype(np.int64)
 
 
+def hashed_all(texts: list[bytes]) -> list[np.ndarray]:
+    """The features of many plain texts, hashed together."""
+    a = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    starts, ends = word_spans(a)
+    f = (word_hashes(a, starts, ends) & np.uint64(DIM - 1)).astype(np.int64)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    cuts = np.searchsorted(starts, begins).tolist()
+    return [f[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
 def common_length(words: list[bytes], other: list[bytes]) -> int:
     """The length of the longest common subsequence, by bits of one large integer."""
     places: dict[bytes, int] = {}
@@ -71,104 +82,102 @@ def common_length(words: list[bytes], other: list[bytes]) -> int:
 
 @dataclass(frozen=True)
 class Space:
-    """The latent space: a row of weights for each feature."""
+    """The latent space: a row of weights for each feature, and a last one of zeros."""
 
     weights: np.ndarray
 
     def blocks(self, features: np.ndarray) -> np.ndarray:
-        """Sums of the words' vectors over steps of STEP words."""
-        if not len(features):
-            return np.zeros((0, self.weights.shape[1]), dtype=np.float32)
-        return np.add.reduceat(self.weights[features], np.arange(0, len(features), STEP), axis=0)
+        """Sums of the words' vectors over steps of STEP words; the last step is filled up with nothing."""
+        steps = -(-len(features) // STEP)
+        at = np.full(steps * STEP, len(self.weights) - 1)
+        at[: len(features)] = features
+        rows = self.weights.take(at, axis=0, mode="clip").reshape(steps, STEP, -1)
+        return np.matmul(np.ones((1, STEP), dtype=np.float32), rows)[:, 0]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
 
 
-def _plain_rows(b: pa.RecordBatch, column: int) -> Iterator[bytes]:
-    for t in b.column(column).cast(pa.large_binary()):
-        yield (t.as_py() or b"").translate(_PLAIN)
-
-
-def feature_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many passages (without overlap) each feature is, and how many passages there are, over all rows of (text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DIM, dtype=np.int64), 0
-        for b in batches:
-            for raw in _plain_rows(b, 0):
-                f = hashed(raw)
-                pairs = np.unique(np.arange(len(f)) // PASSAGE * DIM + f)
-                total += np.bincount(pairs & (DIM - 1), minlength=DIM)
-                n += -(-len(f) // PASSAGE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.concatenate(([n], total)))], names=["feature", "n"])
-
-    found = {r["feature"]: r["n"] for r in docs.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    return np.array([found.get(i, 0) for i in range(DIM)]), found.get(-1, 0)
+def _featured(b: pa.RecordBatch, column: int, most: int = 300_000) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(row, plain text, features) of each row that has a word, hashed some texts at a time."""
+    texts: list[bytes] = []
+    size = 0
+    rows = b.column(column).cast(pa.large_binary())
+    for i, t in enumerate(rows):
+        texts.append((t.as_py() or b"").translate(_PLAIN))
+        size += len(texts[-1])
+        if size > most or i == len(rows) - 1:
+            first = i + 1 - len(texts)
+            for k, f in enumerate(hashed_all(texts)):
+                if len(f):
+                    yield first + k, texts[k], f
+            texts, size = [], 0
 
 
-def sketched(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """The sketch (ROWS x DIM) of the TF-IDF matrix of all passages of (text)."""
+def sketched(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Over all passages of (text): a sketch (ROWS x DIM) of their term counts, in how many each feature is, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ROWS * DIM)
+        total, seen, n = np.zeros(ROWS * DIM), np.zeros(DIM), 0
         waiting: list[np.ndarray] = []
         held = 0
 
-        def add() -> None:
+        def add() -> int:
             f = np.concatenate(waiting)
             # Every text starts a passage; a passage's hash gives its row and sign.
             lengths = np.array([len(x) for x in waiting])
             inside = np.arange(len(f)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             starts = np.flatnonzero(inside % PASSAGE == 0)
             sizes = np.diff(np.append(starts, len(f)))
-            weight = idf[f]
-            norm = np.sqrt(np.add.reduceat(weight**2, starts))
             key = mixed(np.add.reduceat((f + 1) * (inside % PASSAGE * 2 + 1), starts).astype(np.uint64))
             row = (key >> np.uint64(8)).astype(np.int64) % ROWS
-            sign = np.where(key & np.uint64(1), 1.0, -1.0) / np.maximum(norm, 1e-12)
-            total.__iadd__(np.bincount(np.repeat(row, sizes) * DIM + f, weight * np.repeat(sign, sizes), minlength=ROWS * DIM))
+            sign = np.where(key & np.uint64(1), 1.0, -1.0) / np.sqrt(sizes)
+            total.__iadd__(np.bincount(np.repeat(row, sizes) * DIM + f, np.repeat(sign, sizes), minlength=ROWS * DIM))
+            pair = np.sort(np.repeat(np.arange(len(starts)), sizes) * DIM + f)
+            seen.__iadd__(np.bincount(pair[np.append(True, pair[1:] != pair[:-1])] & (DIM - 1), minlength=DIM))
             waiting.clear()
+            return len(starts)
 
         for b in batches:
-            for raw in _plain_rows(b, 0):
-                f = hashed(raw)
-                if len(f):
-                    waiting.append(f)
-                    held += len(f)
-                if held > _CHUNK // 4:
-                    add()
+            for _, _, f in _featured(b, 0):
+                waiting.append(f)
+                held += len(f)
+                if held > _CHUNK // 8:
+                    n += add()
                     held = 0
         if waiting:
-            add()
-        rows = total.reshape(ROWS, DIM).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROWS)), pa.array(list(rows), pa.list_(pa.float32()))], names=["row", "sums"])
+            n += add()
+        count = np.zeros(DIM)
+        count[0] = n
+        rows = np.vstack([total.reshape(ROWS, DIM), seen, count])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROWS + 2)), pa.array(list(rows), pa.list_(pa.float64()))], names=["row", "sums"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for row, x in zip(b.column(0).to_pylist(), b.column(1)):
-                sums[row] = sums.get(row, 0) + x.values.to_numpy().astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype(np.float32) for x in sums.values()], pa.list_(pa.float32()))], names=["row", "sums"])
+                sums[row] = sums.get(row, 0) + x.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["row", "sums"])
 
-    schema = "row long, sums array<float>"
-    out = np.zeros((ROWS, DIM))
+    schema = "row long, sums array<double>"
+    out = np.zeros((ROWS + 2, DIM))
     for r in docs.mapInArrow(run, schema).repartition(32, "row").mapInArrow(merge, schema).collect():
         out[r["row"]] += np.array(r["sums"])
-    return out
+    return out[:ROWS], out[ROWS], int(out[ROWS + 1, 0])
 
 
 def fit(docs: DataFrame) -> Space:
     """The latent space of all passages of (text)."""
-    counts, n = feature_counts(docs)
+    sketch, counts, n = sketched(docs)
     idf = np.log((1 + n) / (1 + counts)) + 1e-3
-    _, s, vt = np.linalg.svd(sketched(docs, idf), full_matrices=False)
+    _, s, vt = np.linalg.svd(sketch * idf, full_matrices=False)
     # Directions that no passage has (in small tables) stay out.
     rank = min(RANK, int((s > max(float(s[0]) * 1e-3, 1e-9)).sum()))
     weights = idf[:, None] * (vt[:rank].T / s[:rank])
     # Centred on the mean word, so that unrelated passages are near zero.
-    return Space((weights - np.average(weights, axis=0, weights=counts + 1e-9)).astype(np.float32))
+    weights -= np.average(weights, axis=0, weights=counts + 1e-9)
+    return Space(np.vstack([weights, np.zeros((1, rank))]).astype(np.float32))
 
 
 @dataclass(frozen=True)
@@ -216,6 +225,9 @@ def matches(raw: bytes, cosines: np.ndarray, items: Items, least_common: float,
         want = items.words[k]
         a = max(0, p * STEP - len(want))
         around = words[a : p * STEP + PASSAGE + len(want)]
+        # Words that do not occur are in no common subsequence.
+        if sum(map(set(around).__contains__, want)) < least_common * len(want):
+            continue
         share = common_length(want, around) / len(want)
         if share < least_common or (k in out and out[k][1] >= share):
             continue
@@ -252,9 +264,10 @@ def contaminated(
             for b in batches:
                 found = []
                 if len(items.ids):
-                    for key, raw in zip(b.column(0).to_pylist(), _plain_rows(b, 1)):
-                        f = hashed(raw)
-                        if not len(f) or key is None:
+                    keys = b.column(0).to_pylist()
+                    for i, raw, f in _featured(b, 1):
+                        key = keys[i]
+                        if key is None:
                             continue
                         for first in range(0, len(f), _CHUNK // 16):
                             # Long texts go in parts that share a passage.
