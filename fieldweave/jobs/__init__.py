@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load() -> tuple[dict, dict]:
     """All registered queries and their SQL."""
-    from . import daily, monthly, places  # noqa: F401
+    from . import daily, files, monthly, places  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

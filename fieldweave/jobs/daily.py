@@ -208,6 +208,12 @@ def index_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indices.index_pre(daily(spark, sf_dir))
 
 
+@query("index_pre_eto")
+def index_pre_eto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ETo by Hargreaves: also its monthly sum and SPEI."""
+    return indices.index_pre(eto.hargreaves(daily(spark, sf_dir)), eto=True)
+
+
 _TMP_FLAGS = {
     **{f"{v}_{{}}_lt_p05": (f"{v} <= {v}_p05", f"{v}_p05 - {v}") for v in ("tmax", "tmin")},
     **{f"{v}_{{}}_gt_p95": (f"{v} > {v}_p95", f"{v} - {v}_p95") for v in ("tmax", "tmin")},

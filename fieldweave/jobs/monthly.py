@@ -241,6 +241,24 @@ def gbm_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.gbm_paths(m, 20, 5, "7", ["matyear"])
 
 
+@query("kuma_fit_quantiles", rounded=3)
+def kuma_fit_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = example(spark, sf_dir, "weather_daily").select("qid", F.month("date").alias("month"), ((F.col("rh") - 39) / 42).alias("value"))
+    return distributions.kuma_fit_quantiles(d, ["qid", "month"])
+
+
+@query("kuma_grid", rounded=3)
+def kuma_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid for every cell of the daily table."""
+    cells = example(spark, sf_dir, "weather_daily").select("qid").distinct()
+    return distributions.kuma_grid(cells, (0.1, 0.3, 0.5, 0.7), (0.2, 0.5, 1.0))
+
+
+@query("spei_mle", rounded=3)
+def spei_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distributions.spei_mle(example(spark, sf_dir, "month_wide").select("qid", "year", "month", F.col("pre").alias("value")))
+
+
 # Seasons
 
 
@@ -397,6 +415,42 @@ def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasonal.random_modes(h.select("variable", "season", "mode").distinct(), h.select((F.col("year") + 100).alias("year")).distinct(), "5")
 
 
+def _named(d: DataFrame, value: str) -> DataFrame:
+    return d.select("season", "year", F.concat_ws("_", "variable", F.col("mode").cast("string")).alias("name"), F.col(value).alias("x"))
+
+
+@query("cholesky_factor", rounded=5)
+def cholesky_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seasonal.cholesky(_corr(spark, sf_dir))
+
+
+@query(
+    "correlate_modes",
+    f"""WITH {_PC}, {_RM}, n AS (SELECT season, year, variable || '_' || mode AS name, z FROM rz),
+s AS (SELECT season, year, name, (z - avg(z) OVER w) / stddev_samp(z) OVER w AS z FROM n WINDOW w AS (PARTITION BY season, name)),
+f AS (SELECT a.season, a.name, b.name AS src, 1e0 / (1 + length(a.name) + length(b.name)) AS l FROM (SELECT DISTINCT season, name FROM n) a JOIN (SELECT DISTINCT season, name FROM n) b ON a.season = b.season AND b.name <= a.name),
+d AS (SELECT season, variable || '_' || mode AS name, stddev_samp(score) AS sd FROM pc WHERE mode < 3 GROUP BY ALL)
+SELECT season, year, name, R(x * sd) AS score FROM (SELECT s.season, s.year, f.name, sum(z * l) AS x FROM s JOIN f ON s.season = f.season AND s.name = f.src GROUP BY ALL) JOIN d USING (season, name)""",
+)
+def correlate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random modes through a factor that SQL can state: one that falls off with the lengths of names."""
+    draws = _named(_random(spark, sf_dir), "z").withColumnRenamed("x", "z")
+    names = draws.select("season", "name").distinct()
+    pairs = names.withColumnRenamed("name", "var_i").join(names.withColumnRenamed("name", "var_j"), "season").filter("var_j <= var_i")
+    factor = pairs.withColumn("l", 1.0 / (1 + F.length("var_i") + F.length("var_j")))
+    sd = _named(_hist_modes(spark, sf_dir).filter("mode < 3"), "score").groupBy("season", "name").agg(F.stddev_samp("x").alias("sd"))
+    return seasonal.correlate_modes(draws, factor, sd)
+
+
+@query("simulate_modes")
+def simulate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain as it runs: correlation matrix, Cholesky factor, random modes, correlated scores."""
+    draws = _named(_random(spark, sf_dir), "z").withColumnRenamed("x", "z")
+    mei = draws.select("season", "year").distinct().select("season", "year", F.lit("mei").alias("name"), F.expr(normal.hashed_normal_sql("concat_ws('|', 'mei', season, year)")).alias("z"))
+    sd = _named(_hist_modes(spark, sf_dir), "score").groupBy("season", "name").agg(F.stddev_samp("x").alias("sd"))
+    return seasonal.correlate_modes(draws.unionByName(mei), seasonal.cholesky(_corr(spark, sf_dir)), sd)
+
+
 @query("random_modes", f"WITH {_PC}, {_RM} SELECT variable, season, mode, year, R(z) AS z FROM rz")
 def random_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _random(spark, sf_dir)
@@ -478,6 +532,13 @@ def rebuild_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("qid = 2116266 and year between 2097 and 2099").select("qid", "year", "date", "pre", "tmax", "tmin")
 
 
+@query("eto_scaling_factor")
+def eto_scaling_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = example(spark, sf_dir, "weather_hist")
+    days = rebuild.disaggregate(hist, _ssf(spark, sf_dir)).filter("tmax >= tmin")
+    return rebuild.eto_factors(hist, days)
+
+
 _MT = lambda v: f"R({'sum' if v == 'pre' else 'avg'}({v})) AS {v}_agg, R(max({v})) AS {v}_max, R(min({v})) AS {v}_min, R(var_samp({v})) AS {v}_var"
 
 

@@ -219,3 +219,85 @@ def gbm_paths(params: DataFrame, days: int, sims: int, seed: str, keys: list[str
     b = F.when(F.col("day") == 0, 0.0).otherwise(b)
     drift, vol = F.col("drift"), F.col("volatility")
     return d.select(*keys, "sim", "day", F.exp((drift - vol * vol / 2) * F.col("day") + vol * b).alias("level"))
+
+
+#: The probabilities that a fit to quantiles looks at.
+KUMA_QUANTILES = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.5, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999)
+
+
+def kuma_fit_quantiles(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, a, b) that bring the quantile function nearest to the sample's, by damped Gauss-Newton on logarithms of a and b.
+
+    Spark aggregates each group to its quantiles; only those meet numpy.
+    """
+    q = values.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in KUMA_QUANTILES])).alias("_q"))
+
+    @F.pandas_udf("struct<a: double, b: double>")
+    def solve(quantiles: pd.Series) -> pd.DataFrame:
+        p = np.array(KUMA_QUANTILES)
+        out = []
+        for x in quantiles:
+            gap = lambda z: (1 - (1 - p) ** np.exp(-z[1])) ** np.exp(-z[0]) - np.asarray(x, float)  # noqa: E731, B023
+            z, damp = np.zeros(2), 1e-3
+            for _ in range(200):
+                f = gap(z)
+                j = np.stack([(gap(z + e) - gap(z - e)) / 2e-6 for e in np.eye(2) * 1e-6], axis=1)
+                step = np.linalg.solve(j.T @ j + damp * np.eye(2), -j.T @ f)
+                if (gap(z + step) ** 2).sum() < (f**2).sum():
+                    z, damp = np.clip(z + step, -8, 12), damp / 3
+                else:
+                    damp *= 4
+                if np.abs(step).max() < 1e-11 or damp > 1e12:
+                    break
+            out.append(np.exp(z))
+        return pd.DataFrame(np.array(out).reshape(-1, 2), columns=["a", "b"])
+
+    return q.withColumn("_s", solve("_q")).select(*keys, F.col("_s.a").alias("a"), F.col("_s.b").alias("b"))
+
+
+def kuma_grid(df: DataFrame, means: tuple[float, ...], variations: tuple[float, ...]) -> DataFrame:
+    """`df` times a grid of means and coefficients of variation, with the (a, b) of each; pairs no distribution on (0, 1) has are left out."""
+    g = df.withColumn("mean", F.explode(F.array(*[F.lit(m) for m in means]))).withColumn("cv", F.explode(F.array(*[F.lit(c) for c in variations])))
+    g = g.withColumn("sd", F.col("mean") * F.col("cv")).filter("sd * sd < mean * (1 - mean)")
+    return kuma_fit_moments(g, "mean", "sd").drop("sd")
+
+
+def spei_mle(balance: DataFrame, n: int = 3, cell: str = "qid") -> DataFrame:
+    """(cell, year, month, value, spei) through a type I generalised logistic fitted by maximum likelihood.
+
+    The density is c exp(-z) / (1 + exp(-z))^(c + 1) / scale with z = (x - loc) / scale. For given loc and scale the best c is
+    closed, so the search has two dimensions, in one small group a cell and calendar month.
+    """
+    from .indices import rolling_month
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf["value"].to_numpy(float)
+        sd = x.std() or 1.0
+
+        def shape(loc, scale):
+            return len(x) / np.logaddexp(0, -(x - loc) / scale).sum()
+
+        def loss(t):
+            loc, scale = t[0], np.exp(t[1])
+            z = (x - loc) / scale
+            return -(len(x) * np.log(shape(loc, scale) / scale) - z.sum() - (shape(loc, scale) + 1) * np.logaddexp(0, -z).sum())
+
+        # A simplex of three points that is reflected, stretched and shrunk.
+        t = [np.array([x.mean(), np.log(sd / 1.8)]), np.array([x.mean() + sd, np.log(sd / 1.8)]), np.array([x.mean(), np.log(sd)])]
+        for _ in range(400):
+            t.sort(key=loss)
+            mid = (t[0] + t[1]) / 2
+            tries = [mid + k * (mid - t[2]) for k in (1.0, 2.0, 0.5, -0.5)]
+            best = min(tries, key=loss)
+            if loss(best) < loss(t[2]):
+                t[2] = best
+            else:
+                t = [t[0], (t[0] + t[1]) / 2, (t[0] + t[2]) / 2]
+            if max(np.abs(t[0] - t[2]).max(), np.abs(t[0] - t[1]).max()) < 1e-9:
+                break
+        loc, scale = t[0][0], np.exp(t[0][1])
+        p = np.exp(-shape(loc, scale) * np.logaddexp(0, -(x - loc) / scale))
+        return pdf.assign(spei=normal.ppf(p))
+
+    d = rolling_month(balance, n, cell)
+    return d.groupBy(cell, "month").applyInPandas(run, d.select("*").schema.add("spei", "double"))

@@ -58,3 +58,13 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value"
     d = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys)
     off = F.abs(F.col("_a") - F.col("_b")) > atol + rtol * F.abs("_b")
     return d.groupBy("qid").agg(F.count("*").alias("n"), F.sum(F.when(off, 1).otherwise(0)).alias("bad"))
+
+
+def eto_factors(daily: DataFrame, days: DataFrame, seasons: tuple[int, ...] = SEASONS) -> DataFrame:
+    """(qid, year, key, ssf_eto): summed ETo of simulated days over that of the historic days they come from."""
+    from .eto import hargreaves
+
+    hist = hargreaves(keyed(daily, seasons)).groupBy("qid", "key").agg(F.sum("eto").alias("_h"))
+    d = days.withColumn("season_year", F.col("year") + F.when(F.month("date") > max(seasons), 1).otherwise(0))
+    stoc = hargreaves(d).groupBy("qid", F.col("season_year").alias("year"), "key").agg(F.sum("eto").alias("_s"))
+    return stoc.join(hist, ["qid", "key"]).select("qid", "year", "key", F.try_divide("_s", "_h").alias("ssf_eto"))

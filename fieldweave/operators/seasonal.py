@@ -198,3 +198,35 @@ def synthesise(scores: DataFrame, eofs: DataFrame, moments: DataFrame) -> DataFr
     """(variable, season, year, qid, value): scores times loadings, times the deviation, plus the mean of (variable, season, qid, mean, sd)."""
     d = scores.join(eofs, ["variable", "season", "mode"]).groupBy("variable", "season", "year", "qid").agg(F.sum(F.col("score") * F.col("loading")).alias("_a"))
     return d.join(moments, ["variable", "season", "qid"]).select("variable", "season", "year", "qid", (F.col("_a") * F.col("sd") + F.col("mean")).alias("value"))
+
+
+def cholesky(corr: DataFrame, ridge: float = 1e-9) -> DataFrame:
+    """(season, var_i, var_j, l): the lower factor of each season's correlation matrix, names in order.
+
+    The matrix has as many rows as there are modes and indices, whatever the
+    number of cells or years, so one task per season holds it.
+    """
+
+    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index="var_i", columns="var_j", values="r").sort_index().sort_index(axis=1)
+        m = m.fillna(0.0).to_numpy() + ridge * np.eye(len(m)), list(m.index)
+        lam, vec = np.linalg.eigh(m[0])
+        # Pairs of short series can make it slightly indefinite; the nearest definite matrix is factored.
+        fixed = m[0] if lam[0] > 0 else (vec * np.maximum(lam, ridge)) @ vec.T
+        low = np.linalg.cholesky(fixed)
+        names = m[1]
+        return pd.DataFrame([(pdf["season"].iloc[0], a, b, low[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if j <= i], columns=["season", "var_i", "var_j", "l"])
+
+    return corr.groupBy("season").applyInPandas(factor, "season int, var_i string, var_j string, l double")
+
+
+def correlate_modes(draws: DataFrame, factor: DataFrame, deviations: DataFrame) -> DataFrame:
+    """(season, year, name, score): standardised draws (season, year, name, z) times the factor's transpose, scaled by (season, name, sd).
+
+    Names without a deviation, such as climate indices, fall out.
+    """
+    w = Window.partitionBy("season", "name")
+    z = draws.withColumn("z", (F.col("z") - F.avg("z").over(w)) / F.stddev_samp("z").over(w))
+    f = factor.select("season", F.col("var_i").alias("name"), F.col("var_j").alias("_from"), "l")
+    d = z.withColumnRenamed("name", "_from").join(f, ["season", "_from"]).groupBy("season", "year", "name").agg(F.sum(F.col("z") * F.col("l")).alias("score"))
+    return d.join(deviations, ["season", "name"]).select("season", "year", "name", (F.col("score") * F.col("sd")).alias("score"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _WEATHER = """
-SELECT CASE CAST(l_suppkey % 4 AS INT) WHEN 0 THEN 2116266 WHEN 1 THEN 757942
-            WHEN 2 THEN 2121748 ELSE 757859 END AS qid,
+SELECT CAST(CASE CAST(l_suppkey % 4 AS INT) WHEN 0 THEN 2116266 WHEN 1 THEN 757942
+            WHEN 2 THEN 2121748 ELSE 757859 END AS BIGINT) AS qid,
   CAST(l_shipdate AS DATE) AS date,
   CAST(SUM(CASE WHEN l_linenumber <= 2 AND l_discount < 0.035
            THEN CAST(l_quantity AS INT) ELSE 0 END) AS DOUBLE) / 10 AS pre,
