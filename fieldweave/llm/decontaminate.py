@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, word_hashes, word_spans
 
-DIM, ROWS, RANK = 1 << 12, 256, 160
+DIM, ROWS, RANK = 1 << 12, 256, 224
 PASSAGE, STEP = 32, 16
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() else 32) for c in range(256))
 _CHUNK = 4_000_000
@@ -177,7 +177,8 @@ def fit(docs: DataFrame) -> Space:
     weights = idf[:, None] * (vt[:rank].T / s[:rank])
     # Centred on the mean word, so that unrelated passages are near zero.
     weights -= np.average(weights, axis=0, weights=counts + 1e-9)
-    return Space(np.vstack([weights, np.zeros((1, rank))]).astype(np.float32))
+    # Rows must lie together in memory: they are what is looked up.
+    return Space(np.ascontiguousarray(np.vstack([weights, np.zeros((1, rank))]), dtype=np.float32))
 
 
 @dataclass(frozen=True)
