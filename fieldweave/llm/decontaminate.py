@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, word_hashes, word_spans
 
-DIM, ROWS, RANK = 1 << 12, 256, 224
+DIM, ROWS, RANK = 1 << 12, 512, 224
 PASSAGE, STEP = 32, 16
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() else 32) for c in range(256))
 _CHUNK = 4_000_000
