@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import tables
 from ..sources.examples import CELLS, example
 from ..sources.scratch import scratch
+from ..streaming import rain
 from .places import LAT, LON
 from .registry import query
 
@@ -83,3 +84,14 @@ def write_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "cube")
     tables.write_cube(example(spark, sf_dir, "weather_monthly").groupBy("variable", "qid", "month").agg(F.avg("value").alias("value")), path)
     return spark.read.parquet(path).select("variable", "qid", "month", "lon", "lat", "value")
+
+
+@query("rain_stream", "SELECT qid, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, R(sum(pre)) AS rsum, count(pre) AS days FROM weather_daily GROUP BY ALL")
+def rain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rain dropped as a folder of files, summed by a stream; the delay spans all years, as drops come in any order here."""
+    drops, out, marks = (scratch(spark, n) for n in ("drops", "months", "marks"))
+    example(spark, sf_dir, "weather_daily").select("qid", "date", "pre", F.year("date").alias("y")).repartition("y").write.partitionBy("y").parquet(drops)
+    stream = rain.read_drops(spark, drops, "qid long, date date, pre double")
+    rain.append_changes(rain.monthly_rain(stream, "36500 days"), out, marks).awaitTermination()
+    d = rain.latest(spark, out)
+    return d.select("qid", F.year("month_start").alias("year"), F.month("month_start").alias("month"), "rsum", "days")
