@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import corr
+
 PERCENTILES = (0.1, 0.2, 0.5, *range(1, 100), 99.5, 99.8, 99.9)
 
 
@@ -51,7 +53,7 @@ def similarity_ks(hist: DataFrame, stoc: DataFrame) -> DataFrame:
 def cross_correlation(wide: DataFrame, variables: tuple[str, ...]) -> DataFrame:
     """(qid, month, variable, variable2, r) of all pairs, in one aggregation."""
     pairs = [(a, b) for a in variables for b in variables]
-    g = wide.groupBy("qid", "month").agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    g = wide.groupBy("qid", "month").agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     d = g.unpivot(["qid", "month"], [f"{a}|{b}" for a, b in pairs], "pair", "r")
     return d.select("qid", "month", F.split_part("pair", F.lit("|"), F.lit(1)).alias("variable"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("variable2"), "r").filter("r is not null")
 
@@ -59,4 +61,4 @@ def cross_correlation(wide: DataFrame, variables: tuple[str, ...]) -> DataFrame:
 def spatial_correlation(monthly: DataFrame, references: list[int]) -> DataFrame:
     """(qid, qid_ref, variable, r) of each cell's series with each reference cell's; the list of references is small by definition."""
     ref = monthly.filter(F.col("qid").isin(*references)).select(F.col("qid").alias("qid_ref"), "variable", "year", "month", F.col("value").alias("_r"))
-    return monthly.join(ref, ["variable", "year", "month"]).groupBy("qid", "qid_ref", "variable").agg(F.corr("value", "_r").alias("r"))
+    return monthly.join(ref, ["variable", "year", "month"]).groupBy("qid", "qid_ref", "variable").agg(corr("value", "_r").alias("r"))

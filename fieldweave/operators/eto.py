@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fao
+from ..functions.stats import corr
 from .grid import with_lonlat
 
 
@@ -64,4 +65,4 @@ def compared(daily: DataFrame, elevation: DataFrame, res: float = 0.25, cell: st
     """(cell, year, harg, pm, r): yearly means of both methods and their correlation."""
     d = penman_monteith(daily, elevation, res, cell).withColumn("pm", F.col("eto"))
     d = d.withColumn("harg", fao.hargreaves(F.col("tmin"), F.col("tmax"), F.col("et_rad")))
-    return d.groupBy(cell, F.year("date").alias("year")).agg(F.avg("harg").alias("harg"), F.avg("pm").alias("pm"), F.corr("harg", "pm").alias("r"))
+    return d.groupBy(cell, F.year("date").alias("year")).agg(F.avg("harg").alias("harg"), F.avg("pm").alias("pm"), corr("harg", "pm").alias("r"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal, special
+from ..functions.stats import corr
 
 SEASONS = (2, 5, 8, 11)
 
@@ -158,11 +159,11 @@ def correlations(long: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """(keys, var_i, var_j, n, r) of every pair of names in (keys, on, name, x)."""
     a = long.select(*keys, *on, F.col("name").alias("var_i"), F.col("x").alias("_a"))
     b = long.select(*keys, *on, F.col("name").alias("var_j"), F.col("x").alias("_b"))
-    return a.join(b, [*keys, *on]).groupBy(*keys, "var_i", "var_j").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("r"))
+    return a.join(b, [*keys, *on]).groupBy(*keys, "var_i", "var_j").agg(F.count("*").alias("n"), corr("_a", "_b").alias("r"))
 
 
-def with_correlation_p(corr: DataFrame) -> DataFrame:
-    """`corr` with Student's t and its two-sided p."""
+def with_correlation_p(found: DataFrame) -> DataFrame:
+    """`found` with Student's t and its two-sided p."""
 
     @F.pandas_udf("double")
     def p(t: pd.Series, n: pd.Series) -> pd.Series:
@@ -170,7 +171,7 @@ def with_correlation_p(corr: DataFrame) -> DataFrame:
 
     n, r = F.col("n"), F.col("r")
     t = F.when(F.abs(r) < 1 - 1e-12, r * F.sqrt(F.try_divide(n - 2, 1 - r * r)))
-    d = corr.withColumn("t", t)
+    d = found.withColumn("t", t)
     return d.withColumn("p", F.when(F.col("t").isNotNull(), p(F.coalesce("t", F.lit(0.0)), "n")))
 
 
@@ -200,7 +201,7 @@ def synthesise(scores: DataFrame, eofs: DataFrame, moments: DataFrame) -> DataFr
     return d.join(moments, ["variable", "season", "qid"]).select("variable", "season", "year", "qid", (F.col("_a") * F.col("sd") + F.col("mean")).alias("value"))
 
 
-def cholesky(corr: DataFrame, ridge: float = 1e-9) -> DataFrame:
+def cholesky(found: DataFrame, ridge: float = 1e-9) -> DataFrame:
     """(season, var_i, var_j, l): the lower factor of each season's correlation matrix, names in order.
 
     The matrix has as many rows as there are modes and indices, whatever the
@@ -217,7 +218,7 @@ def cholesky(corr: DataFrame, ridge: float = 1e-9) -> DataFrame:
         names = m[1]
         return pd.DataFrame([(pdf["season"].iloc[0], a, b, low[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if j <= i], columns=["season", "var_i", "var_j", "l"])
 
-    return corr.groupBy("season").applyInPandas(factor, "season int, var_i string, var_j string, l double")
+    return found.groupBy("season").applyInPandas(factor, "season int, var_i string, var_j string, l double")
 
 
 def correlate_modes(draws: DataFrame, factor: DataFrame, deviations: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..functions.stats import corr
 
 
 def _pairs(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -61,7 +62,7 @@ def linear_trend(series: DataFrame, keys: list[str], order: str, value: str = "v
     """(keys, n, slope, intercept, r, stderr) of the value on row numbers from zero."""
     d = series.filter(F.col(value).isNotNull()).withColumn("_t", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("double"))
     f = d.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.regr_slope(value, "_t").alias("slope"), F.regr_intercept(value, "_t").alias("intercept"), F.corr(value, "_t").alias("r")
+        F.count("*").alias("n"), F.regr_slope(value, "_t").alias("slope"), F.regr_intercept(value, "_t").alias("intercept"), corr(value, "_t").alias("r")
     )
     err = F.when(F.col("r") != 0, F.abs("slope") * F.sqrt(F.greatest(F.try_divide(1 / (F.col("r") * F.col("r")) - 1, F.col("n") - 2), F.lit(0.0))))
     return f.withColumn("stderr", err)
