@@ -11,8 +11,8 @@ in steps:
    windows name equal anchors, and about one gram in 22 is one. Anchors that only
    one document names need no further look.
 2. Confirmed passages. Windows with a recurring anchor are grouped by a 128-bit
-   hash; the smallest (document, place) of a group owns it. Runs of owned
-   windows are the recurring passages.
+   hash; the smallest document of a group owns it. Runs of owned windows are the
+   recurring passages.
 3. Automata. The documents lie in hash partitions; each shard of one gets an
    automaton over the anchors of the passages that its documents share, a word
    being one symbol.
@@ -21,8 +21,8 @@ in steps:
    word, and what reaches 50 words is covered.
 
 So hashes only decide what is looked at, and word-by-word comparison decides
-what goes. Texts are shuffled once, by id, and all three steps that need them
-share that exchange. Groups are pre-aggregated to their minimum and maximum and
+what goes. Texts are shuffled by id, once for the windows and once for the rest.
+Groups are pre-aggregated to their minimum and maximum and
 are never gathered.
 
 Null texts have no words. Documents with a null id lose nothing and take nothing
@@ -132,7 +132,7 @@ def passages(owners: DataFrame, window: int) -> DataFrame:
             ids, found = [], []
             for key, t, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2)):
                 words = t.as_py().split()
-                at = np.sort(places.values.to_numpy())
+                at = np.unique(places.values.to_numpy())
                 cuts = np.flatnonzero(np.diff(at) != 1) + 1
                 for first, last in zip(at[np.r_[0, cuts]].tolist(), at[np.r_[cuts - 1, len(at) - 1]].tolist()):
                     ids.append(key)
@@ -251,23 +251,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copied = copies(known)
     named = recurring_anchors(known, copied, window, gram)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = known.repartition(parts, "doc_id")  # the one exchange of texts
-
-    found = windows(dealt.join(named, "doc_id").select("doc_id", "text", "anchors"), window, gram)
-    owned = (
-        found.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "place")).alias("own"), F.max("doc_id").alias("last"))
-        .filter("own.doc_id < last")
-        .select("h1", "h2", F.col("own.doc_id").alias("owner_id"), F.col("own.place").alias("place"))
-    )
-    # Written once: both the passages and the routes start from them.
-    owned = written(spark, owned, "owned")
-    routes = written(
-        spark,
-        found.select("h1", "h2", "doc_id").join(owned.select("h1", "h2", "owner_id"), ["h1", "h2"]).filter("owner_id < doc_id").select("doc_id", "owner_id").distinct(),
-        "routes",
-    )
-    places = owned.groupBy("owner_id").agg(F.collect_list("place").alias("places"))
+    dealt = known.repartition(parts, "doc_id")
+
+    # Written once, as both the owners and what meets them start from it.
+    found = written(spark, windows(dealt.join(named, "doc_id").select("doc_id", "text", "anchors"), window, gram), "windows")
+    owners = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner_id"), F.max("doc_id").alias("last")).filter("owner_id < last").drop("last")
+    met = written(spark, found.join(owners, ["h1", "h2"]).select("doc_id", "owner_id", "place"), "met")
+    routes = met.filter("owner_id < doc_id").select("doc_id", "owner_id").distinct()
+    places = met.filter("owner_id = doc_id").groupBy("owner_id").agg(F.collect_list("place").alias("places"))
     texts = passages(dealt.withColumnRenamed("doc_id", "owner_id").join(places, "owner_id").select("owner_id", "text", "places"), window)
     shared = routes.join(texts, "owner_id").groupBy("doc_id").agg(F.collect_list(F.struct("owner_id", "passage")).alias("shared"))
     out = streamed(dealt.join(shared, "doc_id", "left").join(copied, "doc_id", "left").select("doc_id", "text", "shared", "copy"), window, gram)
