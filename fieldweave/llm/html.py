@@ -336,12 +336,13 @@ def main_text(page: str, trees: Trees) -> str:
     return next(main_texts([page], trees))
 
 
-def fit(pages: DataFrame, html: str = "html", sample_pages: int = 400, sample_nodes: int = 40_000) -> Trees:
-    """Trees fitted on about `sample_pages` pages, chosen by a hash of the page, and at most `sample_nodes` elements."""
-    pages = pages.select(F.col(html).alias("html")).filter("html is not null and html <> ''")
+def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_pages: int = 400, sample_nodes: int = 40_000) -> Trees:
+    """Trees fitted on about `sample_pages` pages, chosen by a hash of id and page, and at most `sample_nodes` elements."""
+    draw = F.xxhash64(*[c for c in (page_id, html) if c in pages.columns]).alias("draw")
+    pages = pages.select(F.col(html).alias("html"), draw).filter("html is not null and html <> ''")
     n = pages.count()
     share = min(1.0, sample_pages / max(n, 1))
-    picked = pages.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    picked = pages.filter(F.pmod("draw", F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -129,14 +129,17 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return out, n
 
 
-def fit(train: DataFrame, lang: str = "lang", text: str = "text", sample_per_language: int = 400, clusters: int = 4) -> LanguageModel:
+def fit(train: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_per_language: int = 400, clusters: int = 4) -> LanguageModel:
     """Learns from `train`; rows without a language are left out.
 
     Frequencies cover all rows; the centroids are fitted on about
-    `sample_per_language` rows of each language, chosen by a hash of the text.
+    `sample_per_language` rows of each language, chosen by a hash of id and text,
+    so that a large group of copies is thinned like other rows.
     """
-    train = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    seen, n = document_frequencies(train)
+    train = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(*[c for c in (doc_id, text) if c in train.columns]).alias("draw")
+    )
+    seen, n = document_frequencies(train.select("text"))
     idf = np.log((1 + n) / (1 + seen)) + 1.0
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes or not n:
@@ -144,7 +147,7 @@ def fit(train: DataFrame, lang: str = "lang", text: str = "text", sample_per_lan
     share = F.lit(0.0)
     for name, size in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, sample_per_language / size))).otherwise(share)
-    picked = train.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    picked = train.filter(F.pmod("draw", F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -135,7 +135,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with the one document of each component that has its smallest id.
 
-    Rows that repeat that id stay together: they are one document.
+    Rows that repeat that id stay together: they are one document. Rows with a
+    null id are never the smallest and cannot be told apart, so they all stay.
     """
     keep = near_duplicates(docs, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "_keep"), docs[doc_id] == F.col("_keep"), "left_semi")
+    named = docs.filter(F.col(doc_id).isNotNull())
+    kept_rows = named.join(keep.withColumnRenamed("doc_id", "_keep"), named[doc_id] == F.col("_keep"), "left_semi")
+    return kept_rows.unionByName(docs.filter(F.col(doc_id).isNull()))
