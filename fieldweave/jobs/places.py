@@ -134,6 +134,12 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.distances(p.filter("id % 3 = 0"), p.filter("id % 3 = 1"))
 
 
+@query("haversine_sets", f"SELECT a.id AS id_a, b.id AS id_b, R({_KM}) AS km FROM points a CROSS JOIN customer_points b", rounded=4)
+def haversine_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two whole sets of places: every supplier's point against every customer's."""
+    return grid.distances(example(spark, sf_dir, "points"), example(spark, sf_dir, "customer_points"))
+
+
 @query("haversine_within", f"SELECT a.id AS id_a, b.id AS id_b, R({_KM}) AS km FROM points a CROSS JOIN points b WHERE {_KM} <= 800", rounded=4)
 def haversine_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = example(spark, sf_dir, "points")

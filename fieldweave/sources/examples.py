@@ -62,6 +62,11 @@ FROM orders GROUP BY 1, 2
 SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_suppkey * 37 % 360 AS DOUBLE) - 179.6e0 AS lon,
   CAST(s_suppkey * 53 % 178 AS DOUBLE) - 88.7e0 AS lat
 FROM supplier
+""",
+    "customer_points": """
+SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey * 41 % 360 AS DOUBLE) - 179.3e0 AS lon,
+  CAST(c_custkey * 59 % 178 AS DOUBLE) - 88.4e0 AS lat
+FROM customer
 """,
     "cells": " UNION ALL ".join(f"SELECT CAST({q} AS BIGINT) AS qid, CAST({'NULL' if z is None else f'{z}e0'} AS DOUBLE) AS z" for q, z in CELLS),
     "trend": """
@@ -102,6 +107,6 @@ def example(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     import re
 
     sql = with_tables(f"SELECT * FROM {name}")
-    for base in ("lineitem", "orders", "supplier"):
+    for base in ("lineitem", "orders", "supplier", "customer"):
         sql = re.sub(rf"(?<=FROM ){base}\b", f"parquet.`{sf_dir}/{base}.parquet`", sql)
     return spark.sql(sql)
