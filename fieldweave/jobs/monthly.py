@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -532,6 +534,28 @@ def rebuild_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("qid = 2116266 and year between 2097 and 2099").select("qid", "year", "date", "pre", "tmax", "tmin")
 
 
+# Evapotranspiration by Hargreaves of a table with qid, date, tmin and tmax; none where tmax is under tmin.
+_ETO = lambda d: f"""(SELECT *, CASE WHEN tmax >= tmin THEN 0.0023e0 * ((tmin + tmax) / 2 + 17.8e0) * sqrt(CASE WHEN tmax >= tmin THEN tmax - tmin END) * 0.408e0
+  * {24 * 60 / math.pi!r} * 0.0820e0 * ird * (sha * sin(rlat) * sin(dc) + cos(rlat) * cos(dc) * sin(sha)) END AS eto
+  FROM (SELECT *, acos(least(greatest(-tan(rlat) * tan(dc), -1e0), 1e0)) AS sha
+  FROM (SELECT *, radians({LAT}) AS rlat, 0.409e0 * sin({2 * math.pi / 365!r} * dayofyear(date) - 1.39e0) AS dc, 1 + 0.033e0 * cos({2 * math.pi / 365!r} * dayofyear(date)) AS ird FROM {d})))"""
+
+
+@query(
+    "rebuild_days",
+    f"""WITH {_DIS}, he AS (SELECT * FROM {_ETO('dy')}), eh AS (SELECT qid, key, sum(eto) AS h FROM he GROUP BY ALL),
+es AS (SELECT qid, CAST(year + CASE WHEN month(date) > 11 THEN 1 ELSE 0 END AS INT) AS year, key, sum(eto) AS s FROM {_ETO('dd')} GROUP BY ALL HAVING count(eto) > 0),
+ef AS (SELECT es.qid, es.year, es.key, s / nullif(h, 0) AS f_eto FROM es JOIN eh USING (qid, key))
+SELECT he.qid, CAST(wd.year - early AS INT) AS year, date, R(pre * f_pre) AS pre, R(tmax * f_tmax) AS tmax, R(tmin * f_tmin) AS tmin, R(eto * f_eto) AS eto
+FROM he JOIN wd USING (qid, key) LEFT JOIN ef ON ef.qid = he.qid AND ef.key = he.key AND ef.year = wd.year""",
+)
+def rebuild_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated days of all cells and years, eto included, from stored factors."""
+    hist, ssf = example(spark, sf_dir, "weather_hist"), _ssf(spark, sf_dir)
+    days = rebuild.disaggregate(hist, ssf).filter("tmax >= tmin")
+    return rebuild.rebuilt(hist, ssf, rebuild.eto_factors(hist, days))
+
+
 @query("eto_scaling_factor")
 def eto_scaling_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = example(spark, sf_dir, "weather_hist")

@@ -68,3 +68,14 @@ def eto_factors(daily: DataFrame, days: DataFrame, seasons: tuple[int, ...] = SE
     d = days.withColumn("season_year", F.col("year") + F.when(F.month("date") > max(seasons), 1).otherwise(0))
     stoc = hargreaves(d).groupBy("qid", F.col("season_year").alias("year"), "key").agg(F.sum("eto").alias("_s"))
     return stoc.join(hist, ["qid", "key"]).select("qid", "year", "key", F.try_divide("_s", "_h").alias("ssf_eto"))
+
+
+def rebuilt(daily: DataFrame, ssf: DataFrame, eto_ssf: DataFrame, variables: tuple[str, ...] = VARIABLES, seasons: tuple[int, ...] = SEASONS) -> DataFrame:
+    """(qid, year, date, variables, eto): simulated days of all cells and years from history, with its eto, and stored factors."""
+    from .eto import hargreaves
+
+    names = (*variables, "eto")
+    factors = widened(ssf, variables).join(eto_ssf, ["qid", "year", "key"], "left")
+    d = keyed(hargreaves(daily), seasons).join(factors, ["qid", "key"])
+    year = F.col("year") + F.year("date") - F.col("season_year")
+    return d.select("qid", year.alias("year"), "date", *[(F.col(v) * F.col(f"ssf_{v}")).alias(v) for v in names])

@@ -15,3 +15,11 @@ def test_distances_of_two_sets_have_every_pair(spark):
     points, customers = (example(spark, SF, t).count() for t in ("points", "customer_points"))
     assert points > 1 and customers > 1
     assert out.count() == out.select("id_a", "id_b").distinct().count() == points * customers
+
+
+def test_rebuilt_days_are_of_all_cells_and_years_with_eto(spark):
+    out, days = QUERIES["rebuild_days"](spark, SF).cache(), QUERIES["disaggregate_daily"](spark, SF).cache()
+    assert out.columns == ["qid", "year", "date", "pre", "tmax", "tmin", "eto"]
+    keys = ["qid", "year", "date"]
+    assert out.count() == days.count() and days.select(keys).exceptAll(out.select(keys)).count() == 0
+    assert out.select("qid").distinct().count() == 4 and out.filter("eto > 0").select("qid").distinct().count() == 4
