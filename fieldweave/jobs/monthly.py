@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normal
-from ..operators import analytics, distributions, grid, rebuild, seasonal, trend
+from ..operators import analytics, distributions, eto, grid, rebuild, seasonal, trend
 from ..sources.examples import example
 from .places import LAT
 from .registry import query
@@ -624,6 +624,31 @@ def daily_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.daily_quantiles(example(spark, sf_dir, "weather_daily"), _DP, ("pre", "tmax"))
 
 
+_EV = (*rebuild.VARIABLES, "eto")
+_BOTH = f"(SELECT 'hist' AS source, qid, date, pre, tmax, tmin, eto FROM {_ETO('weather_hist')} UNION ALL SELECT 'stoc', qid, date, pre, tmax, tmin, eto FROM {_ETO('weather_stoc')})"
+
+
+def _both_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historic and simulated days with their eto, by source."""
+    side = lambda s: eto.hargreaves(example(spark, sf_dir, f"weather_{s}")).select(F.lit(s).alias("source"), "qid", "date", *_EV)
+    return side("hist").unionByName(side("stoc"))
+
+
+_DQ = ", ".join(repr(p / 100) for p in analytics.DAILY_PERCENTILES)
+
+
+@query(
+    "daily_quantiles_all",
+    f"""WITH l AS (SELECT source, qid, CAST(month(date) AS INT) AS month, unnest([{', '.join(f"'{v}'" for v in _EV)}]) AS variable, unnest([{', '.join(_EV)}]) AS value FROM {_BOTH}),
+g AS (SELECT source, qid, month, variable, quantile_cont(value, [{_DQ}]) AS qs, count(value) AS c FROM l GROUP BY ALL),
+n AS (SELECT *, max(c) OVER (PARTITION BY source, qid) AS n FROM g)
+SELECT source, qid, month, variable, R(q) AS quantile, R(v) AS value FROM (SELECT source, qid, month, variable, n, unnest(qs) AS v, CAST(unnest([{_DQ}]) AS DOUBLE) AS q FROM n) WHERE q > 1 / n AND q < 1 - 1 / n""",
+)
+def daily_quantiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All percentiles that the days can show, of every variable, for history and simulation."""
+    return analytics.daily_quantiles(_both_daily(spark, sf_dir), analytics.DAILY_PERCENTILES, _EV, ("source",))
+
+
 _KS = """WITH b AS (SELECT qid, month, variable, value, 1 AS h FROM hist_monthly UNION ALL SELECT qid, month, variable, value, 0 FROM stoc_monthly),
 c AS (SELECT *, sum(h) OVER u AS a, sum(1 - h) OVER u AS b, sum(h) OVER e AS n, sum(1 - h) OVER e AS m FROM b WINDOW e AS (PARTITION BY qid, month, variable), u AS (PARTITION BY qid, month, variable ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT qid, month, variable, CAST(max(n) AS BIGINT) AS n_hist, CAST(max(m) AS BIGINT) AS n_stoc, R(max(abs(a / n - b / m))) AS d FROM c GROUP BY ALL"""
@@ -688,6 +713,77 @@ def all_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source", "stat", "qid", "month", "variable").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"))
 
 
+_SV = (*_EV, "mei")
+_STATS = ("agg", "max", "min", "var")
+_MQS = ", ".join(repr(p / 100) for p in analytics.PERCENTILES)
+_TAGGED = f"""WITH m AS (SELECT source, qid, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month,
+  {', '.join(f"{'sum' if v in ('pre', 'eto') else 'avg'}({v}) AS {v}_agg, max({v}) AS {v}_max, min({v}) AS {v}_min, var_samp({v}) AS {v}_var" for v in _EV)} FROM {_BOTH} GROUP BY ALL),
+w AS (SELECT t.*, mei FROM ({' UNION ALL '.join(f"SELECT source, '{k}' AS stat, qid, year, month, {', '.join(f'CAST({v}_{k} AS DOUBLE) AS {v}' for v in _EV)} FROM m" for k in _STATS)}) t LEFT JOIN climate USING (year, month)),
+l AS (SELECT source, stat, qid, year, month, unnest([{', '.join(f"'{v}'" for v in _SV)}]) AS variable, unnest([{', '.join(_SV)}]) AS value FROM w)"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, stat, qid, year, month, variables, mei): all monthly statistics in one table."""
+    m = _both_daily(spark, sf_dir)
+    aggs = [f(v).alias(f"{v}_{k}") for v in _EV for k, f in (("agg", F.sum if v in ("pre", "eto") else F.avg), ("max", F.max), ("min", F.min), ("var", F.var_samp))]
+    m = m.groupBy("source", "qid", F.year("date").alias("year"), F.month("date").alias("month")).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(k).alias("stat"), *[F.col(f"{v}_{k}").cast("double").alias(v) for v in _EV]) for k in _STATS])
+    w = m.select("source", "qid", "year", "month", F.inline(rows))
+    return w.join(example(spark, sf_dir, "climate"), ["year", "month"], "left").select("source", "stat", "qid", "year", "month", *_SV)
+
+
+def _long(wide: DataFrame) -> DataFrame:
+    return wide.unpivot(["source", "stat", "qid", "year", "month"], list(_SV), "variable", "value")
+
+
+_TAGS = ("source", "stat")
+
+
+@query(
+    "run_analytics",
+    f"""{_TAGGED},
+g AS (SELECT source, stat, qid, month, variable, quantile_cont(value, [{_MQS}]) AS qs FROM l WHERE value IS NOT NULL GROUP BY ALL),
+q AS (SELECT source, stat, qid, month, variable, unnest(qs) AS value, CAST(unnest([{_MQS}]) AS DOUBLE) AS quantile FROM g),
+n AS (SELECT source, stat, qid, max(year) - min(year) + 1 AS n FROM l GROUP BY ALL),
+x AS ({' UNION ALL '.join(f"SELECT source, stat, qid, month, '{a}' AS variable, '{b}' AS variable2, corr({a}, {b}) AS r FROM w GROUP BY ALL" for a in _SV for b in _SV)})
+SELECT 'climatology' AS part, source, stat, qid, month, variable, CAST(NULL AS VARCHAR) AS variable2, CAST(NULL AS DOUBLE) AS quantile, R(avg(value)) AS value FROM l WHERE value IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'quantile', source, stat, qid, month, variable, NULL, R(quantile), R(value) FROM q JOIN n USING (source, stat, qid) WHERE quantile > 1 / n AND quantile < 1 - 1 / n
+UNION ALL SELECT 'correlation', source, stat, qid, month, variable, variable2, NULL, R(r) FROM x WHERE r IS NOT NULL AND NOT isnan(r)""",
+)
+def run_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Climatology, quantiles and cross-correlation of every monthly statistic of history and simulation, climate index included."""
+    wide = _tagged(spark, sf_dir)
+    long = _long(wide)
+    parts = [
+        analytics.climatology(long, _TAGS).filter("value is not null").withColumns({"part": F.lit("climatology"), "variable2": F.lit(None).cast("string"), "quantile": F.lit(None).cast("double")}),
+        analytics.quantiles(long, by=_TAGS).withColumns({"part": F.lit("quantile"), "variable2": F.lit(None).cast("string")}),
+        analytics.cross_correlation(wide, _SV, _TAGS).withColumnRenamed("r", "value").withColumns({"part": F.lit("correlation"), "quantile": F.lit(None).cast("double")}),
+    ]
+    columns = ["part", *_TAGS, "qid", "month", "variable", "variable2", "quantile", "value"]
+    return parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
+
+
+def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sums of days depend in their last bits on the order of rows; equal values must stay equal.
+    long = _long(_tagged(spark, sf_dir)).filter("variable != 'mei'").withColumn("value", F.round("value", 9))
+    return analytics.similarity_ks(long.filter("source = 'hist'"), long.filter("source = 'stoc'"), ("stat",))
+
+
+@query(
+    "similarity_ks_all",
+    f"""{_TAGGED}, b AS (SELECT stat, qid, month, variable, round(value, 9) AS value, CASE WHEN source = 'hist' THEN 1 ELSE 0 END AS h FROM l WHERE variable <> 'mei' AND value IS NOT NULL),
+c AS (SELECT *, sum(h) OVER u AS a, sum(1 - h) OVER u AS b, sum(h) OVER e AS n, sum(1 - h) OVER e AS m FROM b WINDOW e AS (PARTITION BY stat, qid, month, variable), u AS (PARTITION BY stat, qid, month, variable ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT stat, qid, month, variable, CAST(max(n) AS BIGINT) AS n_hist, CAST(max(m) AS BIGINT) AS n_stoc, R(max(abs(a / n - b / m))) AS d FROM c WHERE n > 0 AND m > 0 GROUP BY ALL""",
+)
+def similarity_ks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similarity(spark, sf_dir)
+
+
+@query("similarity_ks_all_p")
+def similarity_ks_all_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seasonal.with_kolmogorov_p(_similarity(spark, sf_dir), F.col("n_hist") * F.col("n_stoc") / (F.col("n_hist") + F.col("n_stoc")))
+
+
 # Row sets
 
 

@@ -1,6 +1,7 @@
 """Validation of simulated against historic weather, per cell and calendar month.
 
-Tables are long: (qid, year, month, variable, value).
+Tables are long: (qid, year, month, variable, value). `by` names further keys,
+such as the source and the statistic, which come first in the results.
 """
 
 from __future__ import annotations
@@ -11,36 +12,37 @@ from pyspark.sql import functions as F
 from ..functions.stats import corr
 
 PERCENTILES = (0.1, 0.2, 0.5, *range(1, 100), 99.5, 99.8, 99.9)
+DAILY_PERCENTILES = (0.01, 0.02, 0.05, *PERCENTILES, 99.995, 99.998, 99.999)
 
 
-def climatology(monthly: DataFrame) -> DataFrame:
-    return monthly.groupBy("qid", "month", "variable").agg(F.avg("value").alias("value"))
+def climatology(monthly: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return monthly.groupBy(*by, "qid", "month", "variable").agg(F.avg("value").alias("value"))
 
 
-def quantiles(monthly: DataFrame, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
+def quantiles(monthly: DataFrame, percentiles: tuple[float, ...] = PERCENTILES, by: tuple[str, ...] = ()) -> DataFrame:
     """(qid, month, variable, quantile, value) of the percentiles that the cell's span of years can show."""
     probs = [p / 100 for p in percentiles]
-    g = monthly.groupBy("qid", "month", "variable").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    span = monthly.groupBy("qid").agg((F.max("year") - F.min("year") + 1).alias("_n"))
-    d = g.join(span, "qid").select("qid", "month", "variable", "_n", F.posexplode("_q").alias("_i", "value"))
+    g = monthly.groupBy(*by, "qid", "month", "variable").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    span = monthly.groupBy(*by, "qid").agg((F.max("year") - F.min("year") + 1).alias("_n"))
+    d = g.join(span, [*by, "qid"]).select(*by, "qid", "month", "variable", "_n", F.posexplode("_q").alias("_i", "value"))
     d = d.withColumn("quantile", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1))
-    return d.filter("quantile > 1 / _n and quantile < 1 - 1 / _n").select("qid", "month", "variable", "quantile", "value")
+    return d.filter("quantile > 1 / _n and quantile < 1 - 1 / _n").select(*by, "qid", "month", "variable", "quantile", "value")
 
 
-def daily_quantiles(daily: DataFrame, percentiles: tuple[float, ...], variables: tuple[str, ...]) -> DataFrame:
+def daily_quantiles(daily: DataFrame, percentiles: tuple[float, ...], variables: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(qid, month, variable, quantile, value) of days, limited by the largest count of days in a cell's months."""
     probs = [p / 100 for p in percentiles]
-    long = daily.withColumn("month", F.month("date")).unpivot(["qid", "month"], list(variables), "variable", "value")
-    g = long.groupBy("qid", "month", "variable").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"), F.count("value").alias("_c"))
-    most = F.max("_c").over(Window.partitionBy("qid"))
-    d = g.withColumn("_n", most).select("qid", "month", "variable", "_n", F.posexplode("_q").alias("_i", "value"))
+    long = daily.withColumn("month", F.month("date")).unpivot([*by, "qid", "month"], list(variables), "variable", "value")
+    g = long.groupBy(*by, "qid", "month", "variable").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"), F.count("value").alias("_c"))
+    most = F.max("_c").over(Window.partitionBy(*by, "qid"))
+    d = g.withColumn("_n", most).select(*by, "qid", "month", "variable", "_n", F.posexplode("_q").alias("_i", "value"))
     d = d.withColumn("quantile", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1))
-    return d.filter("quantile > 1 / _n and quantile < 1 - 1 / _n").select("qid", "month", "variable", "quantile", "value")
+    return d.filter("quantile > 1 / _n and quantile < 1 - 1 / _n").select(*by, "qid", "month", "variable", "quantile", "value")
 
 
-def similarity_ks(hist: DataFrame, stoc: DataFrame) -> DataFrame:
+def similarity_ks(hist: DataFrame, stoc: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(qid, month, variable, n_hist, n_stoc, d): the two-sample Kolmogorov-Smirnov distance; equal values step together."""
-    keys = ["qid", "month", "variable"]
+    keys = [*by, "qid", "month", "variable"]
     both = hist.select(*keys, "value", F.lit(1).alias("h")).unionByName(stoc.select(*keys, "value", F.lit(0).alias("h")))
     every = Window.partitionBy(*keys)
     upto = every.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -50,12 +52,12 @@ def similarity_ks(hist: DataFrame, stoc: DataFrame) -> DataFrame:
     return d.filter("_n > 0 and _m > 0").groupBy(*keys).agg(F.first("_n").alias("n_hist"), F.first("_m").alias("n_stoc"), F.max(F.abs(F.col("_a") / F.col("_n") - F.col("_b") / F.col("_m"))).alias("d"))
 
 
-def cross_correlation(wide: DataFrame, variables: tuple[str, ...]) -> DataFrame:
+def cross_correlation(wide: DataFrame, variables: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(qid, month, variable, variable2, r) of all pairs, in one aggregation."""
     pairs = [(a, b) for a in variables for b in variables]
-    g = wide.groupBy("qid", "month").agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    d = g.unpivot(["qid", "month"], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    return d.select("qid", "month", F.split_part("pair", F.lit("|"), F.lit(1)).alias("variable"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("variable2"), "r").filter("r is not null")
+    g = wide.groupBy(*by, "qid", "month").agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    d = g.unpivot([*by, "qid", "month"], [f"{a}|{b}" for a, b in pairs], "pair", "r")
+    return d.select(*by, "qid", "month", F.split_part("pair", F.lit("|"), F.lit(1)).alias("variable"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("variable2"), "r").filter("r is not null")
 
 
 def spatial_correlation(monthly: DataFrame, references: list[int]) -> DataFrame:
