@@ -7,6 +7,13 @@ n lies between m t/(2-t) and m (2-t)/t. So a segment meets only the templates
 whose bounds hold its size, and one that fits no template's bounds is dropped
 before its bigrams are made. The templates are a constant of the plan.
 
+A notice within a line, or wrapped over lines of a paragraph, is found by windows
+over all words of the text. The window with a template's best coefficient starts
+and ends with bigrams of the template and holds at least m t/(2-t) of them, so
+windows run between the template's places in the text, where that many lie close
+enough. A licence's best window counts as one more segment where it is better
+than all of the others.
+
 Null and empty texts have no licence. A segment counts once however often it is
 repeated in a text. Rows keep their number; null ids pass through; an empty
 table gives an empty result.
@@ -14,6 +21,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,12 +99,46 @@ def _literal(templates: list[tuple[str, str]], least: float) -> Column:
                 F.lit(n * least / (2 - least) - 1e-9).alias("low"),
                 F.lit(n * (2 - least) / least + 1e-9).alias("high"),
                 F.lit(n).alias("n"),
+                F.lit(max(1, math.ceil(n * least / (2 - least) - 1e-9))).alias("few"),
+                F.lit(math.floor(n * (2 - least) / least + 1e-9)).alias("many"),
                 F.array(*[F.lit(g) for g in grams]).alias("grams"),
             )
         )
     return F.array(*rows)
 
 
+def _split(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
+def _paired(words: Column) -> Column:
+    """The word bigrams in order, with repetitions."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _windows(places: Column, t: Column, grams: Column) -> Column:
+    """(name, dice) of the windows between two of a template's places in the text's bigrams."""
+    reach = lambda a, b: b - a < t["many"]
+    firsts = F.filter(
+        F.transform(places, lambda a, k: F.struct(a.alias("a"), k.alias("k"))),
+        lambda x: F.coalesce(reach(x["a"], F.get(places, x["k"] + t["few"] - 1)), F.lit(False)),
+    )
+    spans = F.flatten(
+        F.transform(
+            firsts,
+            lambda x: F.transform(
+                F.filter(F.slice(places, x["k"] + t["few"], t["many"] - t["few"] + 1), lambda b: reach(x["a"], b)),
+                lambda b: F.array_distinct(F.slice(grams, x["a"] + 1, b - x["a"] + 1)),
+            ),
+        )
+    )
+    return F.transform(
+        spans,
+        lambda g: F.struct(t["name"].alias("name"), (F.size(F.array_intersect(g, t["grams"])) * 2.0 / (F.size(g) + t["n"])).alias("dice")),
+    )
+
+
 def scan(docs: DataFrame, text: str = "text", least: float = 0.85, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """`docs` with `licences` (array of name, dice, segments): each licence that a segment reaches `least` with, by name."""
     templates = TEMPLATES if templates is None else templates
@@ -131,7 +174,29 @@ def scan(docs: DataFrame, text: str = "text", least: float = 0.85, templates: li
             ),
         )
     )
+    d = d.withColumn("_all", _paired(_split(whole)))
+    every = sorted({g for _, t in templates for g in bigrams(t)})
+    d = d.withColumn("_known", F.filter(F.transform("_all", lambda g, i: F.when(g.isin(*every), F.struct(i.alias("i"), g.alias("g")))), lambda x: x.isNotNull()))
+    # Wrapped into an array of one, a template's places are computed once.
+    windows = F.flatten(
+        F.transform(
+            known,
+            lambda t: F.flatten(
+                F.transform(
+                    F.array(F.transform(F.filter("_known", lambda x: F.array_contains(t["grams"], x["g"])), lambda x: x["i"])),
+                    lambda places: _windows(places, t, F.col("_all")),
+                )
+            ),
+        )
+    )
     d = d.withColumn("_hits", F.filter(hits, lambda h: h["dice"] >= least - 1e-9))
+    d = d.withColumn("_windows", F.when(F.size("_known") > 0, F.filter(windows, lambda h: h["dice"] >= least - 1e-9)).otherwise(F.slice("_hits", 1, 0)))
+    best = lambda hits, n: F.array_max(F.transform(F.filter(hits, lambda h: h["name"] == n), lambda h: h["dice"]))
+    better = F.filter(
+        F.transform(F.array_distinct(F.transform("_windows", lambda h: h["name"])), lambda n: F.struct(n.alias("name"), best("_windows", n).alias("dice"))),
+        lambda h: h["dice"] > F.coalesce(best("_hits", h["name"]), F.lit(0.0)),
+    )
+    d = d.withColumn("_hits", F.concat("_hits", better))
     names = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["name"])))
     found = F.transform(
         names,
