@@ -19,6 +19,8 @@ table gives an empty manifest.
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
 import struct
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -38,9 +41,37 @@ from .common import TwoAges, shared_dir, written
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<BBq")
-_LETTERS = re.compile("[a-zßà-öø-ÿ]+")
-#: Letters, then ASCII punctuation: the vocabulary cuts between them.
-_STOPPED = re.compile(r"([a-zßà-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
+#: Letters, then perhaps ASCII punctuation: the vocabulary cuts between them.
+_WORD = re.compile(r"([a-zßà-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+# How a vocabulary file says that it may be applied word by word.
+_FORM = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+
+
+# How pyarrow calls the stores that Spark has other names for.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}
+
+
+def address(uri: str) -> str:
+    """A URI as Spark writes it in pyarrow's words; `dbfs:/x` is the mounted folder /dbfs/x."""
+    scheme, found, rest = uri.partition(":")
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    return _SCHEMES.get(scheme, scheme) + found + rest
+
+
+def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI, and the path in it."""
+    return pafs.FileSystem.from_uri(address(uri))
 
 
 class DamagedRecord(ValueError):
@@ -88,12 +119,13 @@ def unframed(read, limit: int = 1 << 40) -> Iterator[bytes]:
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
-    The vocabulary splits at white space before anything else, so a text's ids
-    are its words' ids in a row. Words of plain letters are encoded many at a
-    time in one call, and cut where a token ends a word. ASCII capitals are
-    lowered first, as the vocabulary's own normaliser does; a text in which a
-    special token's opening occurs is left as it is. At most `max_words` words
-    are held.
+    A vocabulary of the form that `_FORM` names lowers capitals, splits at white
+    space and between letters and punctuation, and marks word ends; so a text's
+    ids are its words' ids in a row, and the library's model alone encodes a word
+    of plain letters. Texts are split and their words told apart by Arrow, many
+    texts at a time. ASCII capitals are lowered first; a text in which a special
+    token's opening occurs is left as it is. At most `max_words` words are held.
+    With a vocabulary of any other form the library encodes every text as a whole.
     """
 
     def __init__(self, path: str, max_words: int = 800_000):
@@ -101,58 +133,87 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.held = TwoAges(max_words)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.stops: dict[str, bytes] = {}
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.by_words = (
+            [form["normalizer"], form["pre_tokenizer"]] == _FORM
+            and form["model"]["type"] == "BPE"
+            and form["model"]["end_of_word_suffix"] == "</w>"
+            and not any(form["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+            and not form["truncation"]
+            and not form["padding"]
+            and all("<|" in x["content"] for x in form["added_tokens"])
+        )
+        #: How the vocabulary writes each byte of a word's letters.
+        written_as = [chr(b) for b in range(256)]
+        for c in map(chr, range(0xDF, 0x100) if self.by_words else ()):
+            if _WORD.fullmatch(c):
+                for b, x in zip(c.encode(), self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0], strict=True):
+                    written_as[b] = x
+        self.bytes_as = "".join(written_as)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != len(words) or last[-1] != len(ids):
-            return self._direct(words)
-        raw, cuts = ids.tobytes(), (last * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
-
-    def _learn(self, held: dict[bytes, bytes], words: set[bytes]) -> None:
-        plain, other, stopped = {}, [], []
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word, _ = codecs.charmap_decode(word.encode(), "strict", self.bytes_as)
+        return b"".join([self.packed[x.id] for x in self.model.tokenize(word)])
+
+    def _learn(self, held: dict[str, bytes], words: set[str]) -> None:
+        other, stops = [], self.stops
         for w in words:
-            s = w.decode()
-            if _LETTERS.fullmatch(s):
-                plain[w] = s
-            elif m := _STOPPED.fullmatch(s):
-                stem = m[1].encode()
-                stopped.append((w, stem, m[2]))
-                if stem not in held:
-                    plain[stem] = m[1]
-            else:
+            if w.isascii() and w.isalpha() and w.islower():
+                if w not in held:
+                    held[w] = self._letters(w)
+                continue
+            m = _WORD.fullmatch(w)
+            if not m:
                 other.append(w)
-        keys = list(plain)
-        for at in range(0, len(keys), 4096):
-            some = keys[at : at + 4096]
-            held.update(zip(some, self._plain([plain[k] for k in some])))
-        if other:
-            held.update(zip(other, self._direct([w.decode() for w in other])))
-        stops = self.stops
-        for w, stem, stop in stopped:
-            ids = stops.get(stop)
-            if ids is None:
+                continue
+            stem, stop = m.groups()
+            if not stop:
+                if w not in held:
+                    held[w] = self._letters(w)
+                continue
+            after = stops.get(stop)
+            if after is None:
                 if len(stops) > 10_000:
                     stops.clear()
-                ids = stops[stop] = self._direct([stop])[0]
-            held[w] = held[stem] + ids
+                after = stops[stop] = self._direct([stop])[0]
+            # The word without its stop is likely to come by itself as well.
+            ids = held.get(stem)
+            if ids is None:
+                ids = held[stem] = self._letters(stem)
+            held[w] = ids + after
+        if other:
+            held.update(zip(other, self._direct(other)))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        held = self.held.fill(set().union(*split), self._learn)
-        return [b"".join([held[w] for w in ws]) for ws in split]
+        if not self.by_words:
+            return [np.frombuffer(x, dtype="<u4") for x in self._direct([t.decode() for t in texts])]
+        lowered = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(lowered)
+        at = split.offsets.to_numpy()
+        coded = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        # Texts that begin or end with white space, or have nothing else, give empty words.
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        held = self.held.fill(set(words), self._learn)
+        found = [held[w] for w in words]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat, begins = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(begins[code] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[at - at[0]].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -165,7 +226,7 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _groups(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _groups(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of rows with at most `most` bytes of text, or one row: (first row, texts)."""
     texts, size, first = [], 0, 0
     for i, t in enumerate(batch.column(column).cast(pa.large_binary())):
@@ -203,10 +264,10 @@ def write_records(
     ranged = ranged.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = word_encoder(vocabulary), np.array([end_id], dtype="<u4")
         context = TaskContext.get()
         part, own = context.partitionId(), f"{context.partitionId():06d}-{uuid.uuid4().hex}"
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         done: list[tuple] = []
         out, offsets, at, ids = None, [], 0, 0
@@ -227,11 +288,11 @@ def write_records(
                     if out is None:
                         out = store.open_output_stream(f"{root}/{own}-{len(done):04d}.rec")
                         offsets, at, ids = [], 0, 0
-                    frame = framed(packed(key, np.frombuffer(found + end, dtype="<u4")))
+                    frame = framed(packed(key, np.concatenate((found, end))))
                     out.write(frame)
                     offsets.append(at)
                     at += len(frame)
-                    ids += len(found) // 4 + 1
+                    ids += len(found) + 1
                     if at >= file_mb << 20:
                         close()
         if out is not None:
@@ -257,7 +318,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         for b in batches:
             for path, n_records, start in zip(*(b.column(i).to_pylist() for i in range(3))):
-                store, where = pafs.FileSystem.from_uri(path)
+                store, where = store_of(path)
                 rows, seen, held = [], 0, 0
                 with store.open_input_stream(where) as f:
                     for body in unframed(f.read):
@@ -277,7 +338,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 def shuffled(path: str, seed: int, n: int | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
     """Records of one file in a random order by its index, or the first `n` of that order."""
-    store, where = pafs.FileSystem.from_uri(path)
+    store, where = store_of(path)
     with store.open_input_stream(where.removesuffix(".rec") + ".idx") as f:
         offsets = np.frombuffer(f.read(), dtype="<u8")
     order = np.random.default_rng(seed).permutation(len(offsets))[:n]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -333,7 +334,28 @@ def test_word_encoder_is_the_library():
     bits = ["a", "The", " ", "\n", "'s", "'LL", "é", "É", "é", "ß", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", ".", "..", ",", "x.y", "\x85", " ", "中", "😀", "12", "don't", "\x1c"]
     for _ in range(4000):
         t = "".join(rng.choices(bits, k=rng.randint(0, 10)))
-        assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+        assert own.encode([t.encode()])[0].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert own.by_words
+
+
+def test_word_encoder_of_another_vocabulary(tmp_path):
+    from tokenizers import Tokenizer
+
+    form = json.loads(open(VOCABULARY, encoding="utf-8").read())
+    form["normalizer"] = {"type": "NFC"}  # capitals stay, so words may not be lowered
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(form), encoding="utf-8")
+    library, own = Tokenizer.from_file(str(path)), records.WordEncoder(str(path))
+    texts = ["The Cat, the cat.  Élan\n\nél", "", " ", "A" * 5000]
+    assert not own.by_words
+    assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_stores_by_the_names_that_spark_has(tmp_path):
+    assert records.address("dbfs:/a/b") == "file:///dbfs/a/b"
+    assert records.address("s3a://bucket/a/b") == "s3://bucket/a/b"
+    assert records.address("hdfs://host/a") == "hdfs://host/a"
+    assert records.store_of(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
 
 
 def test_damage_is_found():
