@@ -3,31 +3,35 @@
 A window is 50 consecutive words of one document; each word of a window that
 also starts in a document with a smaller id goes. Comparing every window with
 every other would shuffle the whole corpus several times over, so the job works
-in steps:
+in steps. Documents are dealt to shards of a few megabytes by a hash of their
+id; what a step has to know about a shard is sent to it once, whatever number of
+its documents asks for it. So a passage that a third of all documents share
+costs a row for each shard and no task gathers its documents.
 
 0. Copies. Documents with the text of a smaller one, by its MD5, are wholly
-   covered and take no part in what follows.
+   covered and take no part in steps 1 and 2.
 1. Anchors. Each window names the least hash among its 8-word grams. Equal
    windows name equal anchors, and about one gram in 22 is one. Anchors that only
    one document names need no further look.
-2. Confirmed passages. Windows with a recurring anchor are grouped by a 128-bit
-   hash; the smallest (document, place) of a group owns it. Runs of owned
-   windows are the recurring passages.
-3. Automata. The documents lie in hash partitions; each shard of one gets an
-   automaton over the anchors of the passages that its documents share, a word
-   being one symbol.
-4. Streaming. Every document of a shard that shares a passage runs through its
-   automaton; each hit in one of its own passages is extended both ways, word by
-   word, and what reaches 50 words is covered.
+2. Confirmed passages. Windows with a recurring anchor are told apart by a
+   128-bit hash; the smallest (document, place) owns a window. A passage is a
+   block of 64 places of an owner with the words of their windows, and a shard
+   asks for the blocks that own windows of its documents. A document that asks
+   for a block has a window in it, so what is sent grows as the texts do.
+3. Automata. Each shard compiles the anchors of its passages, a word being one
+   symbol; many passages go through several automata in turn.
+4. Streaming. Every document of a shard runs through its automata; each hit in a
+   passage of a smaller document is extended both ways, word by word, and what
+   reaches 50 words is covered.
 
 So hashes only decide what is looked at, and word-by-word comparison decides
-what goes. Texts are shuffled once, by id, and all three steps that need them
-share that exchange. Groups are pre-aggregated to their minimum and maximum and
-are never gathered.
+what goes. Texts are shuffled three times: to find windows, to cut passages and
+to stream.
 
 Null texts have no words. Documents with a null id lose nothing and take nothing
 from others. Rows that repeat an id are one document: they take nothing from
-each other. An empty table gives an empty result.
+each other. Of other columns none is read, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +41,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, run_hashes, word_hashes, word_spans, written
+from .common import SPACES, kept, run_hashes, word_hashes, word_spans, written
 
-WINDOW, GRAM = 50, 8
+WINDOW, GRAM, BLOCK = 50, 8, 64
 _OTHER = 0xD6E8FEB86659FD93
 _SHARD_BYTES = 8_000_000
 _SYMBOLS = 0x10FFFF - 0xE000
@@ -72,7 +76,7 @@ def window_anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, doc_id), each once for a row of `docs`."""
+    """(anchor, doc_id), each once for a row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,77 +92,114 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy): ids whose text a smaller id has as well; ids on several rows are left out."""
-    spark = docs.sparkSession
-    prints = kept(spark, docs.select("doc_id", F.unhex(F.md5("text")).alias("print")))
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    single = prints.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("print").alias("print")).filter("rows = 1")
-    return kept(spark, single.join(first, "print").filter("first_id < doc_id").select("doc_id", F.lit(True).alias("copy")))
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(shards))
 
 
-def recurring_anchors(docs: DataFrame, copied: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, anchors): what each document names and another names as well, copies aside; few columns, kept in the shared folder."""
-    spark = docs.sparkSession
-    named = anchors(docs, window, gram).join(copied, "doc_id", "left_anti")
-    named = written(spark, named, "anchors")
-    shared = named.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
-    return kept(spark, named.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+def copies(prints: DataFrame) -> DataFrame:
+    """(shard, doc_id) of ids whose text a smaller id has as well, from (doc_id, print, shard); ids on several rows are left out.
 
+    The first id of a print goes back to its documents by shard, so that no task gets all copies of a text.
+    """
+    per = prints.groupBy("print", "shard").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    first = per.groupBy("print").agg(F.min("least").alias("first_id"), F.sum("n").alias("n")).filter("n > 1")
+    known = per.join(first.drop("n"), "print").select("print", "shard", "first_id")
+    single = prints.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("print").alias("print"), F.first("shard").alias("shard")).filter("rows = 1")
+    return single.join(known, ["print", "shard"]).filter("first_id < doc_id").select("shard", "doc_id")
 
-def windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, doc_id, place) of windows with a recurring anchor, from rows (doc_id, text, anchors)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, t, own in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2)):
-                words = hashed_words(t.as_py())
-                at = np.flatnonzero(np.isin(window_anchors(words, window, gram), own.values.to_numpy()))
-                if len(at):
-                    h1, h2 = run_hashes(words, window)[at], run_hashes(words, window, _OTHER)[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(at), key, dtype=np.int64)), pa.array(at.astype(np.int64))],
-                        names=["h1", "h2", "doc_id", "place"],
-                    )
+def recurring_anchors(named: DataFrame) -> DataFrame:
+    """(shard, anchor): anchors of a shard's documents that another document names as well, from (anchor, doc_id, shard)."""
+    per = named.groupBy("anchor", "shard").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    w = Window.partitionBy("anchor")
+    return per.withColumns({"lo": F.min("least").over(w), "hi": F.max("most").over(w)}).filter("lo < hi").select("shard", "anchor")
+
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, place long")
+def _texts(docs: pa.Table) -> Iterator[tuple[int, bytes]]:
+    for key, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.large_binary())):
+        yield key, t.as_py()
 
 
-def passages(owners: DataFrame, window: int) -> DataFrame:
-    """(owner_id, passage) for every run of owned windows, from rows (owner_id, text, places)."""
+def windows(docs: DataFrame, facts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(h1, h2, shard, doc_id, place, last): each shard's distinct windows with a recurring anchor, where they first start and the last document that has them.
+
+    `docs` is (shard, doc_id, text); `facts` is (shard, anchor, copy) with the recurring anchors, and the documents that are copies.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "shard", "doc_id", "place", "last")])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        named = np.sort(right.column("anchor").drop_null().to_numpy())
+        copied = set(right.column("copy").drop_null().to_pylist())
+        found: list[tuple[np.ndarray, ...]] = []
+        for key, t in _texts(left) if len(named) else ():
+            if key in copied:
+                continue
+            words = hashed_words(t)
+            x = window_anchors(words, window, gram)
+            at = np.flatnonzero(named[np.minimum(np.searchsorted(named, x), len(named) - 1)] == x)
+            if len(at):
+                h1, h2 = run_hashes(words, window)[at], run_hashes(words, window, _OTHER)[at]
+                found.append((h1.view(np.int64), h2.view(np.int64), np.full(len(at), key, dtype=np.int64), at.astype(np.int64)))
+        if not found:
+            return schema.empty_table()
+        h1, h2, ids, at = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((at, ids, h2, h1))
+        h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
+        edge = np.flatnonzero((np.diff(h1) != 0) | (np.diff(h2) != 0))
+        first, last = np.append(0, edge + 1), np.append(edge, len(h1) - 1)
+        shard = np.full(len(first), left.column("shard")[0].as_py(), dtype=np.int64)
+        return pa.Table.from_arrays([pa.array(x) for x in (h1[first], h2[first], shard, ids[first], at[first], ids[last])], schema=schema)
+
+    out = "h1 long, h2 long, shard long, doc_id long, place long, last long"
+    return docs.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(run, out)
+
+
+def needed(found: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(shard, owner_id, block), once each: the blocks that own a window of a shard's later documents."""
+    w = Window.partitionBy("h1", "h2")
+    d = found.select("shard", "last", F.min(F.struct("doc_id", "place")).over(w).alias("own"))
+    return d.filter("own.doc_id < last").select("shard", F.col("own.doc_id").alias("owner_id"), F.expr(f"own.place div {block}").alias("block")).distinct()
+
+
+def passages(owners: DataFrame, window: int, block: int = BLOCK) -> DataFrame:
+    """(owner_id, block, passage) for every wanted block, from rows (owner_id, text, blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
-            for key, t, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2)):
+            ids, at, found = [], [], []
+            for key, t, blocks in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2).to_pylist()):
                 words = t.as_py().split()
-                at = np.sort(places.values.to_numpy())
-                cuts = np.flatnonzero(np.diff(at) != 1) + 1
-                for first, last in zip(at[np.r_[0, cuts]].tolist(), at[np.r_[cuts - 1, len(at) - 1]].tolist()):
-                    ids.append(key)
-                    found.append(b" ".join(words[first : last + window]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], names=["owner_id", "passage"])
+                for k in blocks:
+                    some = words[k * block : (k + 1) * block + window - 1]
+                    if len(some) >= window:
+                        ids.append(key)
+                        at.append(k)
+                        found.append(b" ".join(some))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], names=["owner_id", "block", "passage"])
 
-    return owners.mapInArrow(run, "owner_id long, passage string")
+    return owners.mapInArrow(run, "owner_id long, block long, passage string")
 
 
 class Shard:
     """An automaton over the anchors of some passages (owner_id, text)."""
 
-    def __init__(self, shared: set[tuple[int, bytes]], window: int, gram: int):
+    def __init__(self, shared: list[tuple[int, bytes]], window: int, gram: int):
         self.window, self.gram = window, gram
+        self.half = (window - gram + 1) // 2  # a window around a hit reaches at least so far to one side of it
         self.symbols: dict[bytes, int] = {}
-        self.index: dict[tuple[int, bytes], int] = {}
+        self.owners: list[int] = []
         self.words: list[np.ndarray] = []
-        hits: dict[str, dict[int, list[int]]] = {}
-        for passage in sorted(shared):
-            codes, hashes = self.coded(passage[1].split()), hashed_words(passage[1])
+        self.lines: list[str] = []
+        hits: dict[str, list[tuple[int, int]]] = {}
+        for owner, passage in shared:
+            codes, hashes = self.coded(passage.split()), hashed_words(passage)
             named = np.isin(run_hashes(hashes, gram).view(np.int64), window_anchors(hashes, window, gram))
             line = self.line(codes)
             for at in np.flatnonzero(named).tolist():
-                hits.setdefault(line[at : at + gram], {}).setdefault(len(self.words), []).append(at)
-            self.index[passage] = len(self.words)
+                hits.setdefault(line[at : at + gram], []).append((len(self.words), at))
+            self.owners.append(owner)
             self.words.append(codes)
+            self.lines.append(line)
         self.automaton = ahocorasick.Automaton()
         for phrase, where in hits.items():
             self.automaton.add_word(phrase, where)
@@ -168,112 +209,112 @@ class Shard:
         symbols = self.symbols
         return np.array([symbols.setdefault(w, len(symbols)) for w in words], dtype=np.int64)
 
+    def looked_up(self, words: list[bytes]) -> np.ndarray:
+        """As `coded`, but words that no passage has share one symbol."""
+        find = self.symbols.get
+        return np.array([find(w, -1) for w in words], dtype=np.int64)
+
     @staticmethod
     def line(codes: np.ndarray) -> str:
         """One character a word; more words than characters share some, which costs hits but no correctness."""
-        x = codes % _SYMBOLS
+        x = (codes + 1) % _SYMBOLS
         return np.where(x < 0xD7FF, x + 1, x + 0x801).astype("<u4").tobytes().decode("utf-32-le")
 
-    def covered(self, own: set[tuple[int, bytes]], words: list[bytes]) -> np.ndarray:
-        """Which words lie in a window that one of the document's `own` passages has too."""
-        n, window, gram = len(words), self.window, self.gram
-        out = np.zeros(n, dtype=bool)
-        codes = self.coded(words)
-        mine = {self.index[p] for p in own}
+    def cover(self, doc_id: int, words: list[bytes], out: np.ndarray) -> None:
+        """Marks in `out` the words that lie in a window that a passage of a smaller document has too."""
+        n, window, gram, half = len(words), self.window, self.gram, self.half
+        if n < window or not self.words:
+            return
+        codes = self.looked_up(words)
+        line = self.line(codes)
         reached: dict[tuple[int, int], int] = {}
         clear = 0  # up to here, the words around a hit are known to be covered
-        for end, where in self.automaton.iter(self.line(codes)):
+        for end, where in self.automaton.iter(line):
             at = end - gram + 1
             if min(n, at + window) <= clear:
                 continue
-            for passage in mine.intersection(where) if len(mine) < len(where) else where.keys() & mine:
+            before, after = line[max(0, at - half) : at], line[end + 1 : end + 1 + half]
+            for passage, place in where:
+                if self.owners[passage] >= doc_id or reached.get((passage, at - place), 0) > at:
+                    continue
+                other, stop = self.lines[passage], place + gram
+                if not (other[stop : stop + half] == after and len(after) == half or place >= half and other[place - half : place] == before):
+                    continue
                 theirs = self.words[passage]
-                for place in where[passage]:
-                    if reached.get((passage, at - place), 0) > at:
-                        continue
-                    back = min(at, place)
-                    differ = np.flatnonzero(codes[at - back : at] != theirs[place - back : place])
-                    begin = at - back + (int(differ[-1]) + 1 if len(differ) else 0)
-                    ahead = min(n - at, len(theirs) - place)
-                    differ = np.flatnonzero(codes[at : at + ahead] != theirs[place : place + ahead])
-                    stop = at + (int(differ[0]) if len(differ) else ahead)
-                    reached[passage, at - place] = stop
-                    if stop - begin >= window:
-                        out[begin:stop] = True
-                        if begin <= max(clear, at - window + gram):
-                            # No window around later hits before `stop` has a word left to cover.
-                            clear = max(clear, stop)
-        return out
-
-
-def streamed(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) from rows (doc_id, text, shared, copy).
-
-    `shared` has (owner_id, passage) pairs or is null; a copy goes as a whole if it has a window.
+                back = min(at, place)
+                differ = np.flatnonzero(codes[at - back : at] != theirs[place - back : place])
+                begin = at - back + (int(differ[-1]) + 1 if len(differ) else 0)
+                ahead = min(n - at, len(theirs) - place)
+                differ = np.flatnonzero(codes[at : at + ahead] != theirs[place : place + ahead])
+                stop = at + (int(differ[0]) if len(differ) else ahead)
+                reached[passage, at - place] = stop
+                if stop - begin >= window:
+                    out[begin:stop] = True
+                    if begin <= max(clear, at - window + gram):
+                        # No window around later hits before `stop` has a word left to cover.
+                        clear = max(clear, stop)
+
+
+def streamed(docs: DataFrame, facts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) from (shard, doc_id, text) and (shard, owner_id, passage).
+
+    Rows of `facts` without a passage name a document that is a copy: it goes as a whole if it has a window.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.array([len(t.as_py()) for t in b.column(1).cast(pa.large_binary())], dtype=np.int64)
-            shard_of = np.cumsum(sizes) // _SHARD_BYTES
-            for s in np.unique(shard_of).tolist():
-                rows = np.flatnonzero(shard_of == s)
-                part = b.slice(int(rows[0]), len(rows))
-                shared = [{(x["owner_id"], x["passage"].encode()) for x in row or ()} for row in part.column(2).to_pylist()]
-                shard = Shard(set().union(*shared), window, gram)
-                n, gone, texts = [], [], []
-                for own, copy, t in zip(shared, part.column(3).to_pylist(), part.column(1).cast(pa.large_binary())):
-                    words = t.as_py().split()
-                    n.append(len(words))
-                    if copy and len(words) >= window:
-                        gone.append(len(words))
-                        words = []
-                    elif own:
-                        out = shard.covered(own, words)
-                        gone.append(int(out.sum()))
-                        words = [w for w, x in zip(words, out.tolist()) if not x]
-                    else:
-                        gone.append(0)
-                    texts.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        copied: set[int] = set()
+        groups: list[list[tuple[int, bytes]]] = [[]]
+        size = 0
+        for owner, p in zip(right.column("owner_id").to_pylist(), right.column("passage").cast(pa.large_binary()).to_pylist()):
+            if p is None:
+                copied.add(owner)
+                continue
+            if size + len(p) > _SHARD_BYTES:
+                groups.append([])
+                size = 0
+            groups[-1].append((owner, p))
+            size += len(p)
+        split = [(key, t.split()) for key, t in _texts(left)]
+        covered = [np.full(len(w), key in copied and len(w) >= window) for key, w in split]
+        for shared in groups:
+            shard = Shard(shared, window, gram)
+            for (key, words), out in zip(split, covered):
+                if key not in copied:
+                    shard.cover(key, words, out)
+        texts = [b" ".join([w for w, x in zip(words, out.tolist()) if not x] if out.any() else words) for (_, words), out in zip(split, covered)]
+        columns = [[key for key, _ in split], [len(w) for _, w in split], [int(out.sum()) for out in covered]]
+        return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(texts, pa.binary()).cast(pa.string())], schema=schema)
+
+    out = "doc_id long, n_words long, n_removed long, kept string"
+    return docs.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(run, out)
+
+
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = _SHARD_BYTES
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row; `kept` is what stays, its words joined by one space."""
     spark = docs.sparkSession
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = every.filter("doc_id is not null")
-    copied = copies(known)
-    named = recurring_anchors(known, copied, window, gram)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = known.repartition(parts, "doc_id")  # the one exchange of texts
-
-    found = windows(dealt.join(named, "doc_id").select("doc_id", "text", "anchors"), window, gram)
-    owned = (
-        found.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "place")).alias("own"), F.max("doc_id").alias("last"))
-        .filter("own.doc_id < last")
-        .select("h1", "h2", F.col("own.doc_id").alias("owner_id"), F.col("own.place").alias("place"))
-    )
-    # Written once: both the passages and the routes start from them.
-    owned = written(spark, owned, "owned")
-    routes = written(
-        spark,
-        found.select("h1", "h2", "doc_id").join(owned.select("h1", "h2", "owner_id"), ["h1", "h2"]).filter("owner_id < doc_id").select("doc_id", "owner_id").distinct(),
-        "routes",
+    prints = kept(spark, known.select("doc_id", F.unhex(F.md5("text")).alias("print"), F.octet_length("text").cast("long").alias("bytes")))
+    shards = 1 + (prints.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes
+    copied = kept(spark, copies(prints.select("doc_id", "print", shard_of(shards).alias("shard"))))
+    named = written(spark, anchors(known, window, gram).join(copied, "doc_id", "left_anti").withColumn("shard", shard_of(shards)), "anchors")
+
+    dealt = known.withColumn("shard", shard_of(shards))
+    none = F.lit(None).cast("long")
+    facts = recurring_anchors(named).withColumn("copy", none).unionByName(copied.select("shard", none.alias("anchor"), F.col("doc_id").alias("copy")))
+    wanted = written(spark, needed(windows(dealt, facts, window, gram)), "blocks")
+    blocks = wanted.groupBy("owner_id").agg(F.collect_set("block").alias("blocks"))
+    owners = known.withColumnRenamed("doc_id", "owner_id").join(blocks, "owner_id").select("owner_id", "text", "blocks")
+    shared = wanted.join(passages(owners, window), ["owner_id", "block"]).select("shard", "owner_id", "passage")
+    facts = shared.unionByName(copied.select("shard", F.col("doc_id").alias("owner_id"), F.lit(None).cast("string").alias("passage")))
+    words = F.filter(F.split("text", SPACES), lambda w: w != "")
+    lost = every.filter("doc_id is null").select(
+        "doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept")
     )
-    places = owned.groupBy("owner_id").agg(F.collect_list("place").alias("places"))
-    texts = passages(dealt.withColumnRenamed("doc_id", "owner_id").join(places, "owner_id").select("owner_id", "text", "places"), window)
-    shared = routes.join(texts, "owner_id").groupBy("doc_id").agg(F.collect_list(F.struct("owner_id", "passage")).alias("shared"))
-    out = streamed(dealt.join(shared, "doc_id", "left").join(copied, "doc_id", "left").select("doc_id", "text", "shared", "copy"), window, gram)
-    nothing = F.lit(None).cast("array<struct<owner_id:bigint,passage:string>>")
-    lost = every.filter("doc_id is null").select("doc_id", "text", nothing.alias("shared"), F.lit(False).alias("copy"))
-    return out.unionByName(streamed(lost, window, gram))
+    return streamed(dealt, facts, window, gram).unionByName(lost)
 
 
 def kept_digest(removed: DataFrame) -> DataFrame:

@@ -262,6 +262,44 @@ def test_passages_of_random_mosaics(spark):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string"), window=20, gram=4) == brute_removed(rows, 20)
 
 
+def test_passages_of_repeated_ids(spark):
+    """Rows of one id take nothing from each other, but give to others and take from smaller ones."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(rng.choices("abcdefgh", k=40)) for _ in range(3))
+    rows = [(5, f"{a} {b}"), (5, f"{b} {a}"), (5, a), (7, f"x {b} y {a}"), (7, f"x {b} y {a}"), (3, f"{c} {a[:60]}"), (7, f"{c} {a[:60]}"), (9, a), (9, c)]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string"), window=20, gram=4) == brute_removed(rows, 20)
+
+
+def test_passages_through_many_shards_and_automata(spark, monkeypatch):
+    rng = random.Random(13)
+    parts = [" ".join(rng.choices("abcdefgh", k=rng.randint(3, 60))) for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(parts, k=rng.randint(0, 9)))) for i in range(120)]
+    want = brute_removed(rows, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(docs, window=20, gram=4, shard_bytes=1500) == want
+    shared = [(x[0], x[1].encode()) for x in rows]
+    for key, text in rows:
+        words, out = text.encode().split(), np.zeros(len(text.split()), dtype=bool)
+        for at in range(0, len(shared), 7):
+            passages.Shard(shared[at : at + 7], 20, 4).cover(key, words, out)
+        assert int(out.sum()) == next(x[2] for x in want if x[0] == key)
+
+
+def test_passages_sent_grow_as_the_texts_do(spark):
+    """One owner with many passages, each in one other document: a document gets its own, not all of them."""
+    rng = random.Random(14)
+    sent = []
+    for n in (40, 160):
+        parts = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=60)) for _ in range(n)]
+        rows = [(0, " ".join(parts))] + [(k + 1, f"{k} {p} {k}") for k, p in enumerate(parts)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.col("doc_id"))
+        named = passages.anchors(docs.select("doc_id", "text"), 50, 8).withColumn("shard", F.col("doc_id"))
+        facts = passages.recurring_anchors(named).withColumn("copy", F.lit(None).cast("long"))
+        sent.append(passages.needed(passages.windows(docs, facts, 50, 8)).count())
+        assert n <= sent[-1] <= 3 * n
+    assert sent[1] <= 4.5 * sent[0]
+
+
 # quality
 
 
