@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Where none is set (tests on one machine) a new temporary one becomes the
-    session's checkpoint folder.
+    Where none is set, a session on one machine takes a new temporary folder; on
+    a cluster that is an error, as executors would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -42,16 +44,47 @@ def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet under the shared folder and read again.
+    """`df` written as Parquet and read again; `name` is a path, or a word in a new one under the shared folder.
 
     Unlike `checkpoint`, columns can be pruned and filters pushed in later reads.
     """
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = name if "/" in name else place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` stored in the shared folder by a hash of `column`: grouping by it needs no further shuffle of what is stored."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = place(spark, name)
+    held = os.path.basename(path).replace("-", "_")
+    df.repartition(n, column).write.bucketBy(n, column).option("path", path).saveAsTable(held)
+    return spark.table(held)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """`wanted`, each with underscores in front until no column has that name; case does not tell names apart."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in UTF-8 bytes, by ASCII white space."""
     inside = ~_SPACE[raw]

@@ -10,11 +10,12 @@ costs a row for each shard and no task gathers its documents.
 
 0. Copies. Documents with the text of a smaller one, by its MD5, are wholly
    covered and take no part in steps 1 and 2.
-1. Anchors. Each window names the least hash among its 8-word grams. Equal
-   windows name equal anchors, and about one gram in 22 is one. Anchors that only
-   one document names need no further look.
+1. Anchors. Each window names the least hash among its 24-word grams. Equal
+   windows name equal anchors, and about one gram in 14 is one. Anchors that only
+   one document names need no further look; grams of half a window leave little
+   else to look at.
 2. Confirmed passages. Windows with a recurring anchor are told apart by a
-   128-bit hash; the smallest (document, place) owns a window. A passage is a
+   96-bit hash; the smallest (document, place) owns a window. A passage is a
    block of 64 places of an owner with the words of their windows, and a shard
    asks for the blocks that own windows of its documents. A document that asks
    for a block has a window in it, so what is sent grows as the texts do.
@@ -25,8 +26,8 @@ costs a row for each shard and no task gathers its documents.
    reaches 50 words is covered.
 
 So hashes only decide what is looked at, and word-by-word comparison decides
-what goes. Texts are shuffled three times: to find windows, to cut passages and
-to stream.
+what goes. Texts are shuffled once: they are stored by shard, and the three steps
+that need them read that table where it lies.
 
 Null texts have no words. Documents with a null id lose nothing and take nothing
 from others. Rows that repeat an id are one document: they take nothing from
@@ -44,12 +45,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, kept, run_hashes, word_hashes, word_spans, written
+from .common import SPACES, bucketed, kept, place, removed, run_hashes, word_hashes, word_spans, written
 
-WINDOW, GRAM, BLOCK = 50, 8, 64
+WINDOW, GRAM, BLOCK = 50, 24, 64
 _OTHER = 0xD6E8FEB86659FD93
-_SHARD_BYTES = 8_000_000
+_SHARD_BYTES = 4_000_000
 _SYMBOLS = 0x10FFFF - 0xE000
+_TOGETHER = 256  # so many shards at most ask together for a passage
 
 
 def hashed_words(text: bytes) -> np.ndarray:
@@ -92,8 +94,8 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-def shard_of(shards: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(shards))
+def shard_of(shards: int, doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(shards))
 
 
 def copies(prints: DataFrame) -> DataFrame:
@@ -121,11 +123,12 @@ def _texts(docs: pa.Table) -> Iterator[tuple[int, bytes]]:
 
 
 def windows(docs: DataFrame, facts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, shard, doc_id, place, last): each shard's distinct windows with a recurring anchor, where they first start and the last document that has them.
+    """(h1, h2, doc_id, place, last): each shard's distinct windows with a recurring anchor, where they first start and the last document that has them.
 
     `docs` is (shard, doc_id, text); `facts` is (shard, anchor, copy) with the recurring anchors, and the documents that are copies.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "shard", "doc_id", "place", "last")])
+    kinds = {"h1": pa.int64(), "h2": pa.int32(), "doc_id": pa.int64(), "place": pa.int32(), "last": pa.int64()}
+    schema = pa.schema(list(kinds.items()))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         named = np.sort(right.column("anchor").drop_null().to_numpy())
@@ -138,8 +141,8 @@ def windows(docs: DataFrame, facts: DataFrame, window: int, gram: int) -> DataFr
             x = window_anchors(words, window, gram)
             at = np.flatnonzero(named[np.minimum(np.searchsorted(named, x), len(named) - 1)] == x)
             if len(at):
-                h1, h2 = run_hashes(words, window)[at], run_hashes(words, window, _OTHER)[at]
-                found.append((h1.view(np.int64), h2.view(np.int64), np.full(len(at), key, dtype=np.int64), at.astype(np.int64)))
+                h1, h2 = run_hashes(words, window)[at].view(np.int64), run_hashes(words, window, _OTHER)[at]
+                found.append((h1, h2.astype(np.uint32).view(np.int32), np.full(len(at), key, dtype=np.int64), at.astype(np.int32)))
         if not found:
             return schema.empty_table()
         h1, h2, ids, at = (np.concatenate(x) for x in zip(*found))
@@ -147,37 +150,43 @@ def windows(docs: DataFrame, facts: DataFrame, window: int, gram: int) -> DataFr
         h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
         edge = np.flatnonzero((np.diff(h1) != 0) | (np.diff(h2) != 0))
         first, last = np.append(0, edge + 1), np.append(edge, len(h1) - 1)
-        shard = np.full(len(first), left.column("shard")[0].as_py(), dtype=np.int64)
-        return pa.Table.from_arrays([pa.array(x) for x in (h1[first], h2[first], shard, ids[first], at[first], ids[last])], schema=schema)
+        return pa.Table.from_arrays([pa.array(x) for x in (h1[first], h2[first], ids[first], at[first], ids[last])], schema=schema)
 
-    out = "h1 long, h2 long, shard long, doc_id long, place long, last long"
+    out = "h1 long, h2 int, doc_id long, place int, last long"
     return docs.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(run, out)
 
 
-def needed(found: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(shard, owner_id, block), once each: the blocks that own a window of a shard's later documents."""
+def needed(found: DataFrame, shard: Column, block: int = BLOCK) -> DataFrame:
+    """(shard, owner_id, block), once each: the blocks that own a window of a shard's later documents. A window has a row per shard at most."""
     w = Window.partitionBy("h1", "h2")
-    d = found.select("shard", "last", F.min(F.struct("doc_id", "place")).over(w).alias("own"))
+    d = found.select(shard.alias("shard"), "last", F.min(F.struct("doc_id", "place")).over(w).alias("own"))
     return d.filter("own.doc_id < last").select("shard", F.col("own.doc_id").alias("owner_id"), F.expr(f"own.place div {block}").alias("block")).distinct()
 
 
-def passages(owners: DataFrame, window: int, block: int = BLOCK) -> DataFrame:
-    """(owner_id, block, passage) for every wanted block, from rows (owner_id, text, blocks)."""
+def passages(docs: DataFrame, wanted: DataFrame, window: int, block: int = BLOCK) -> DataFrame:
+    """(owner_id, block, some, passage) for the rows (shard, owner_id, block, some) of `wanted`, whose shard is the owner's."""
+    schema = pa.schema([("owner_id", pa.int64()), ("block", pa.int64()), ("some", pa.int64()), ("passage", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, at, found = [], [], []
-            for key, t, blocks in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2).to_pylist()):
-                words = t.as_py().split()
-                for k in blocks:
-                    some = words[k * block : (k + 1) * block + window - 1]
-                    if len(some) >= window:
-                        ids.append(key)
-                        at.append(k)
-                        found.append(b" ".join(some))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], names=["owner_id", "block", "passage"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks: dict[int, dict[int, list[int]]] = {}
+        for owner, k, some in zip(*(right.column(c).to_pylist() for c in ("owner_id", "block", "some"))):
+            blocks.setdefault(owner, {}).setdefault(k, []).append(some)
+        ids, at, groups, found = [], [], [], []
+        for key, t in _texts(left):
+            if key not in blocks:
+                continue
+            words = t.split()
+            for k, asked in blocks[key].items():
+                line = words[k * block : (k + 1) * block + window - 1]
+                if len(line) >= window:
+                    ids += [key] * len(asked)
+                    at += [k] * len(asked)
+                    groups += asked
+                    found += [b" ".join(line)] * len(asked)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(groups, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], schema=schema)
 
-    return owners.mapInArrow(run, "owner_id long, block long, passage string")
+    out = "owner_id long, block long, some long, passage string"
+    return docs.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(run, out)
 
 
 class Shard:
@@ -300,15 +309,18 @@ def remove_repeats(
     prints = kept(spark, known.select("doc_id", F.unhex(F.md5("text")).alias("print"), F.octet_length("text").cast("long").alias("bytes")))
     shards = 1 + (prints.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes
     copied = kept(spark, copies(prints.select("doc_id", "print", shard_of(shards).alias("shard"))))
-    named = written(spark, anchors(known, window, gram).join(copied, "doc_id", "left_anti").withColumn("shard", shard_of(shards)), "anchors")
+    dealt = bucketed(spark, known.withColumn("shard", shard_of(shards)), "shard", "passages")
+    names = place(spark, "anchors")
+    named = written(spark, anchors(known, window, gram).join(copied, "doc_id", "left_anti").withColumn("shard", shard_of(shards)), names)
 
-    dealt = known.withColumn("shard", shard_of(shards))
     none = F.lit(None).cast("long")
     facts = recurring_anchors(named).withColumn("copy", none).unionByName(copied.select("shard", none.alias("anchor"), F.col("doc_id").alias("copy")))
-    wanted = written(spark, needed(windows(dealt, facts, window, gram)), "blocks")
-    blocks = wanted.groupBy("owner_id").agg(F.collect_set("block").alias("blocks"))
-    owners = known.withColumnRenamed("doc_id", "owner_id").join(blocks, "owner_id").select("owner_id", "text", "blocks")
-    shared = wanted.join(passages(owners, window), ["owner_id", "block"]).select("shard", "owner_id", "passage")
+    wanted = written(spark, needed(windows(dealt, facts, window, gram), shard_of(shards)), "blocks")
+    removed(spark, names)
+    # Shards ask together for a passage, but not too many of them: no task gets all that want a common one.
+    wanted = wanted.withColumn("some", F.expr(f"shard div {_TOGETHER}"))
+    asked = wanted.select(shard_of(shards, "owner_id").alias("shard"), "owner_id", "block", "some").distinct()
+    shared = wanted.join(passages(dealt, asked, window), ["owner_id", "block", "some"]).select("shard", "owner_id", "passage")
     facts = shared.unionByName(copied.select("shard", F.col("doc_id").alias("owner_id"), F.lit(None).cast("string").alias("passage")))
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
     lost = every.filter("doc_id is null").select(

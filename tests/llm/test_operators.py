@@ -295,7 +295,7 @@ def test_passages_sent_grow_as_the_texts_do(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.col("doc_id"))
         named = passages.anchors(docs.select("doc_id", "text"), 50, 8).withColumn("shard", F.col("doc_id"))
         facts = passages.recurring_anchors(named).withColumn("copy", F.lit(None).cast("long"))
-        sent.append(passages.needed(passages.windows(docs, facts, 50, 8)).count())
+        sent.append(passages.needed(passages.windows(docs, facts, 50, 8), F.col("doc_id")).count())
         assert n <= sent[-1] <= 3 * n
     assert sent[1] <= 4.5 * sent[0]
 
