@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java regular expression for a run of the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -74,6 +75,11 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(row, and `columns` by the names c0, c1, ...): the caller's columns in one struct, where no name of theirs is in the way."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """`wanted`, each with underscores in front until no column has that name; case does not tell names apart."""
     taken, out = {c.lower() for c in columns}, []

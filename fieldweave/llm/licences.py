@@ -14,9 +14,15 @@ windows run between the template's places in the text, where that many lie close
 enough. A licence's best window counts as one more segment where it is better
 than all of the others.
 
+The same bound says which texts need no look: whatever reaches t holds all but
+some of a template's bigrams, so a few words of each template are chosen of which
+one at least must occur. A text without any of them is passed over.
+
 Null and empty texts have no licence. A segment counts once however often it is
-repeated in a text. Rows keep their number; null ids pass through; an empty
-table gives an empty result.
+repeated in a text. Of licences with equal coefficients the first by name is the
+best one. Rows keep their number, repeated ones too; null ids pass through; other
+columns stay, whatever their names, but for one called `licences`, which gives
+way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +32,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Licence notices and opening paragraphs, by SPDX name.
+from .common import packed
+
+# Licence notices, opening paragraphs and short full texts, by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -79,6 +87,69 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("all-rights-reserved", "All rights reserved."),
+    (
+        "LGPL-3.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as"
+        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available"
+        " at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
+    (
+        "BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at"
+        " https://www.boost.org/LICENSE_1_0.txt",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
+        ' files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,'
+        " modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the"
+        " Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice"
+        ' shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY'
+        " OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR"
+        " PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"
+        " LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR"
+        " THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+        " conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+        " following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and"
+        " the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+        " conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+        " following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and"
+        " the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the"
+        " copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+        " without specific prior written permission.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any"
+        " damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including"
+        " commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
 ]
 
 
@@ -88,6 +159,22 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def telling_words(templates: list[tuple[str, str]], least: float) -> list[str]:
+    """Words of which every text has one that reaches `least` with a template.
+
+    It then has `few` of the template's n bigrams, so it misses n - few at most;
+    words in more bigrams than that cannot all be missing. Long words go first.
+    """
+    chosen: list[str] = []
+    for _, text in templates:
+        grams = [g.split(" ") for g in bigrams(text)]
+        missing = len(grams) - max(1, math.ceil(len(grams) * least / (2 - least) - 1e-9))
+        while sum(any(w in chosen for w in g) for g in grams) <= missing:
+            rest = {w for g in grams for w in g} - set(chosen)
+            chosen.append(max(rest, key=lambda w: (min(len(w), 8), sum(w in g for g in grams), w)))
+    return chosen
+
+
 def _literal(templates: list[tuple[str, str]], least: float) -> Column:
     rows = []
     for name, text in templates:
@@ -144,27 +231,23 @@ def scan(docs: DataFrame, text: str = "text", least: float = 0.85, templates: li
     templates = TEMPLATES if templates is None else templates
     sizes = [len(bigrams(t)) for _, t in templates]
     low, high = min(sizes) * least / (2 - least) - 1e-9, max(sizes) * (2 - least) / least + 1e-9
-    whole = F.coalesce(F.col(text), F.lit(""))
-    segments = F.array_distinct(F.concat(F.split(whole, "\n"), F.split(whole, r"\n\s*\n"), F.array(whole)))
-    words = F.transform(
-        segments,
-        lambda s: F.filter(F.split(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != ""),
-    )
-    own = [c for c in docs.columns if c != "licences"]
-    d = docs.select(*own).withColumn("_words", words)
+    own = [c for c in docs.columns if c.lower() != "licences"]
+    d = packed(docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("licences")), "licences")
+    d = d.select("row", F.coalesce("c0", F.lit("")).alias("text"))
+    lowered = F.lower("text")
+    hopeful = F.lit(False)
+    for w in telling_words(templates, least):
+        hopeful = hopeful | F.contains(lowered, F.lit(w))
+    d = d.withColumn("text", F.when(hopeful, F.col("text")).otherwise(""))
+    segments = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n\s*\n"), F.array("text")))
+    d = d.withColumn("words", F.transform(segments, _split))
     # Distinct words less one is at most the number of distinct bigrams.
-    d = d.withColumn(
-        "_words",
-        F.filter("_words", lambda w: (F.size(w) - 1 >= low) & (F.size(F.array_distinct(w)) - 1 <= high)),
-    )
-    d = d.withColumn(
-        "_grams",
-        F.transform("_words", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))),
-    )
+    d = d.withColumn("words", F.filter("words", lambda w: (F.size(w) - 1 >= low) & (F.size(F.array_distinct(w)) - 1 <= high)))
+    d = d.withColumn("grams", F.transform("words", lambda w: F.array_distinct(_paired(w))))
     known = _literal(templates, least)
     hits = F.flatten(
         F.transform(
-            "_grams",
+            "grams",
             lambda g: F.transform(
                 F.filter(known, lambda t: (F.size(g) >= t["low"]) & (F.size(g) <= t["high"])),
                 lambda t: F.struct(
@@ -174,39 +257,39 @@ def scan(docs: DataFrame, text: str = "text", least: float = 0.85, templates: li
             ),
         )
     )
-    d = d.withColumn("_all", _paired(_split(whole)))
+    d = d.withColumn("all", _paired(_split(F.col("text"))))
     every = sorted({g for _, t in templates for g in bigrams(t)})
-    d = d.withColumn("_known", F.filter(F.transform("_all", lambda g, i: F.when(g.isin(*every), F.struct(i.alias("i"), g.alias("g")))), lambda x: x.isNotNull()))
+    d = d.withColumn("known", F.filter(F.transform("all", lambda g, i: F.when(g.isin(*every), F.struct(i.alias("i"), g.alias("g")))), lambda x: x.isNotNull()))
     # Wrapped into an array of one, a template's places are computed once.
     windows = F.flatten(
         F.transform(
             known,
             lambda t: F.flatten(
                 F.transform(
-                    F.array(F.transform(F.filter("_known", lambda x: F.array_contains(t["grams"], x["g"])), lambda x: x["i"])),
-                    lambda places: _windows(places, t, F.col("_all")),
+                    F.array(F.transform(F.filter("known", lambda x: F.array_contains(t["grams"], x["g"])), lambda x: x["i"])),
+                    lambda places: _windows(places, t, F.col("all")),
                 )
             ),
         )
     )
-    d = d.withColumn("_hits", F.filter(hits, lambda h: h["dice"] >= least - 1e-9))
-    d = d.withColumn("_windows", F.when(F.size("_known") > 0, F.filter(windows, lambda h: h["dice"] >= least - 1e-9)).otherwise(F.slice("_hits", 1, 0)))
+    d = d.withColumn("hits", F.filter(hits, lambda h: h["dice"] >= least - 1e-9))
+    d = d.withColumn("windows", F.when(F.size("known") > 0, F.filter(windows, lambda h: h["dice"] >= least - 1e-9)).otherwise(F.slice("hits", 1, 0)))
     best = lambda hits, n: F.array_max(F.transform(F.filter(hits, lambda h: h["name"] == n), lambda h: h["dice"]))
     better = F.filter(
-        F.transform(F.array_distinct(F.transform("_windows", lambda h: h["name"])), lambda n: F.struct(n.alias("name"), best("_windows", n).alias("dice"))),
-        lambda h: h["dice"] > F.coalesce(best("_hits", h["name"]), F.lit(0.0)),
+        F.transform(F.array_distinct(F.transform("windows", lambda h: h["name"])), lambda n: F.struct(n.alias("name"), best("windows", n).alias("dice"))),
+        lambda h: h["dice"] > F.coalesce(best("hits", h["name"]), F.lit(0.0)),
     )
-    d = d.withColumn("_hits", F.concat("_hits", better))
-    names = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["name"])))
+    d = d.withColumn("hits", F.concat("hits", better))
+    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"])))
     found = F.transform(
         names,
         lambda n: F.struct(
             n.alias("name"),
-            F.array_max(F.transform(F.filter("_hits", lambda h: h["name"] == n), lambda h: h["dice"])).alias("dice"),
-            F.size(F.filter("_hits", lambda h: h["name"] == n)).alias("hits"),
+            best("hits", n).alias("dice"),
+            F.size(F.filter("hits", lambda h: h["name"] == n)).alias("hits"),
         ),
     )
-    return d.withColumn("licences", found).select(*own, "licences")
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in own], found.alias("licences"))
 
 
 def summary(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -230,6 +313,7 @@ def oracle_sql(least: float = 0.85) -> str:
     )
     return rf"""
 WITH tpl(k, name, grams) AS (VALUES {rows}),
+bound AS (SELECT *, greatest(1, ceil(len(grams) * {least} / (2 - {least}) - 1e-9)) AS few, floor(len(grams) * (2 - {least}) / {least} + 1e-9) AS many FROM tpl),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 seg AS (
   SELECT DISTINCT rid, s FROM (
@@ -237,11 +321,19 @@ seg AS (
     UNION ALL SELECT rid, unnest(regexp_split_to_array(text, '\n\s*\n')) FROM d
     UNION ALL SELECT rid, text FROM d)),
 w AS (SELECT rid, s, list_filter(string_split(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM seg),
-g AS (SELECT rid, s, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i+1])) AS grams FROM w WHERE len(words) > 1 AND len(words) < 400),
+g AS (SELECT rid, s, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i+1])) AS grams FROM w WHERE len(words) > 1),
 hit AS (
   SELECT rid, name, 2.0 * len(list_intersect(g.grams, tpl.grams)) / (len(g.grams) + len(tpl.grams)) AS dice
   FROM g JOIN tpl ON len(g.grams) BETWEEN len(tpl.grams) * {least} / (2 - {least}) - 1e-9 AND len(tpl.grams) * (2 - {least}) / {least} + 1e-9),
-per AS (SELECT rid, name, CAST(max(dice) AS DOUBLE) AS dice FROM hit WHERE dice >= {least} - 1e-9 GROUP BY rid, name),
-doc AS (SELECT rid, string_agg(name, ',' ORDER BY name) AS licences, arg_max(name, (dice, -ascii(name))) AS best_licence, max(dice) AS best_dice FROM per GROUP BY rid)
+tw AS (SELECT d.rid, words FROM w JOIN d ON d.rid = w.rid AND d.text = w.s),
+a AS (SELECT rid, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i+1])) AS gram, unnest(range(1, len(words))) AS pos FROM tw),
+tg AS (SELECT k, unnest(grams) AS gram FROM tpl),
+p AS (SELECT rid, k, pos, row_number() OVER (PARTITION BY rid, k ORDER BY pos) AS i FROM a JOIN tg USING (gram)),
+ends AS (SELECT x.rid, x.k, x.pos AS a, y.pos AS b FROM p x JOIN bound ON bound.k = x.k JOIN p y ON y.rid = x.rid AND y.k = x.k AND y.i BETWEEN x.i + few - 1 AND x.i + many - 1 AND y.pos - x.pos < many),
+win AS (SELECT e.rid, tpl.name, tpl.grams AS t, list_distinct(list_transform(range(e.a, e.b + 1), lambda i: words[i] || ' ' || words[i+1])) AS g FROM ends e JOIN tpl ON tpl.k = e.k JOIN tw ON tw.rid = e.rid),
+every AS (SELECT rid, name, dice FROM hit UNION ALL SELECT rid, name, 2.0 * len(list_intersect(g, t)) / (len(g) + len(t)) FROM win),
+per AS (SELECT rid, name, CAST(max(dice) AS DOUBLE) AS dice FROM every WHERE dice >= {least} - 1e-9 GROUP BY rid, name),
+best AS (SELECT rid, name, dice, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, name) AS n FROM per),
+doc AS (SELECT rid, string_agg(name, ',' ORDER BY name) AS licences, max(CASE WHEN n = 1 THEN name END) AS best_licence, max(dice) AS best_dice FROM best GROUP BY rid)
 SELECT d.doc_id, coalesce(licences, '') AS licences, best_licence, round(best_dice, 6) AS best_dice FROM d LEFT JOIN doc USING (rid)
 """
