@@ -9,12 +9,17 @@ meets once in a half; a pair that meets in both halves is kept from the first.
 
 Texts with the same fingerprint are one node: the join, the links and the
 components run over distinct fingerprints, so a group of exact copies costs one
-row. Components come from a loop of min-label hooking and shortcutting whose
+row. Fingerprints that more than a thousandth of all rows have, which are fewer
+than a thousand, get their component by a broadcast, so no task has all rows of
+one. Components come from a loop of min-label hooking and shortcutting whose
 tables are checkpointed to the shared folder.
 
 Null texts count as empty and have fingerprint zero, which links like any other.
-Null ids are kept; a component of null ids only has a null id. Repeated rows
-stay repeated in the result. An empty table gives an empty result.
+Texts of any length are read whole. Null ids are kept; a component of null ids
+only has a null id. Repeated rows stay repeated in the result, and rows that
+share an id are one document to `without_near_duplicates`. Ties have no part in
+it: a component's id is its smallest. Other columns may have any name. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import free_names, kept
 
 HALF = 32
 _SLICE = 1 << 16
@@ -118,18 +123,23 @@ def components(spark: SparkSession, pairs: DataFrame, max_rounds: int = 60) -> D
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of `docs`."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, common: int = 1000) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of `docs`; fingerprints of more than one row in `common` are broadcast."""
     spark = docs.sparkSession
     found = kept(spark, fingerprints(docs, doc_id, text))
-    nodes = kept(spark, found.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    nodes = kept(spark, found.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     roots = components(spark, links(nodes, distance))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least_id")
     smallest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = nodes.join(
         linked.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp", "left"
-    ).select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return found.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ).select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id"))
+    by_fp = kept(spark, by_fp)
+    most = (nodes.agg(F.sum("n")).first()[0] or 0) / common
+    hot = F.broadcast(by_fp.filter(F.col("n") > most).drop("n"))
+    rare = found.join(hot, "fp", "left_anti").join(by_fp.filter(F.col("n") <= most).drop("n"), "fp")
+    every = found.join(hot, "fp").unionByName(rare)
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,7 +148,8 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Rows that repeat that id stay together: they are one document. Rows with a
     null id are never the smallest and cannot be told apart, so they all stay.
     """
-    keep = near_duplicates(docs, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col(doc_id).isNotNull())
-    kept_rows = named.join(keep.withColumnRenamed("doc_id", "_keep"), named[doc_id] == F.col("_keep"), "left_semi")
-    return kept_rows.unionByName(docs.filter(F.col(doc_id).isNull()))
+    (own,) = free_names(docs.columns, "keep")
+    keep = near_duplicates(docs, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct()
+    named = docs.filter(F.col(f"`{doc_id}`").isNotNull())
+    kept_rows = named.join(keep, F.col(f"`{doc_id}`") == F.col(own), "left_semi")
+    return kept_rows.unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))

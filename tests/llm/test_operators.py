@@ -322,13 +322,37 @@ def test_quality_counts(docs, corpus, empty):
 
 def test_cascade_order_and_short_circuit(spark):
     rules = [quality.Rule("rare", F.col("x") > 98), quality.Rule("often", F.col("x") > 10)]
-    ticks = iter(range(100))
+    ticks = iter(range(1000))
     order = quality.ordered(spark.range(100).toDF("x").cache(), rules, clock=lambda: next(ticks))
     assert [o[0].name for o in order] == ["often", "rare"]
     out = spark.range(100).toDF("x").select("x", quality.cascade([o[0] for o in order]).alias("by")).collect()
     assert all((r.by == "often") == (r.x > 10) and r.by != "rare" for r in out)
 
 
+def test_cascade_asks_no_later_rule(spark):
+    """A rule that fails on what an earlier one rejects does no harm behind it, and does in front of it."""
+    breaks = quality.Rule("breaks", F.when(F.col("text") == "bad", F.raise_error(F.lit("asked")).cast("boolean")).otherwise(False))
+    stops = quality.Rule("stops", F.col("text") == "bad")
+    texts = spark.createDataFrame([("bad",), ("good",)], "text string")
+    assert [r[0] for r in texts.select(quality.cascade([stops, breaks])).collect()] == ["stops", None]
+    with pytest.raises(Exception, match="asked"):
+        texts.select(quality.cascade([breaks, stops])).collect()
+
+
+def test_cascade_puts_cheap_rejecting_rules_first(spark):
+    """Rejections per second, measured from raw text: a slow rule with more rejections comes after a fast one with fewer."""
+    t = F.col("text")
+    slow = quality.Rule("slow", F.length(F.array_join(F.transform(F.split(t, " "), lambda w: F.sha2(F.sha2(w, 512), 512)), "")) > 0)
+    fast, idle = quality.Rule("fast", t.startswith("a")), quality.Rule("idle", F.lit(False))
+    texts = spark.createDataFrame([("ab"[i % 2] + " word" * 2000,) for i in range(200)], "text string")
+    assert [r.name for r in quality.fitted_order(texts, [idle, slow, fast])] == ["fast", "slow", "idle"]
+
+
+def test_verdicts_agree_with_the_counts(docs):
+    bare = Counter((r.doc_id, r.text, r.kept) for r in quality.verdicts(docs).collect())
+    assert bare == Counter((r.doc_id, r.text, r.kept) for r in quality.quality_rules(docs).collect())
+
+
 def test_quality_runs_no_python(docs):
     plan = quality.quality_rules(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
