@@ -208,8 +208,52 @@ def test_decontamination_finds_exact_and_changed_passages(spark):
     bench = spark.createDataFrame([*items, (77, None), (78, ""), (None, "lost")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block_items=6).collect()}
     assert got == {(k, k) for k in range(15)} | {(50, 12)}
-    left = {r.doc_id for r in decontaminate.without_contamination(docs, bench).collect()}
-    assert left == {r[0] for r in rows} - set(range(15)) - {50}
+    clash = docs.withColumns({"bad": F.lit(1), "_bad": F.lit(2), "item_id": F.lit(3), "cosine": F.lit(4)})
+    left = decontaminate.without_contamination(clash, bench)
+    assert left.columns == clash.columns
+    left = left.collect()
+    assert {r.doc_id for r in left} == {r[0] for r in rows} - set(range(15)) - {50, None}  # the leak without an id goes too
+    assert all((r.bad, r._bad, r.item_id, r.cosine) == (1, 2, 3, 4) for r in left)
+
+
+def paraphrases(n, seed):
+    """Documents with loosened and changed benchmark items, and others: (rows, items)."""
+    rng = random.Random(seed)
+    lexicon = ["".join(rng.choices(["th", "er", "on", "an", "re", "ou", "ing", "st"], k=rng.randint(1, 4))) for _ in range(3000)]
+    say = lambda k: rng.choices(lexicon, k=k)
+    items, rows = [], []
+    for k in range(n):
+        w = say(rng.randint(12, 90))
+        items.append((k, " ".join(w[:-6]) + ". " + " ".join(w[-6:])))
+        for _ in range(2):
+            x = [rng.choice(lexicon) if rng.random() < 0.15 else y for y in w]
+            i = rng.randrange(len(x) - 1)
+            x[i], x[i + 1] = x[i + 1], x[i]
+            rows.append((len(rows), " ".join(say(rng.randint(0, 200)) + x + say(rng.randint(0, 200)))))
+    rows += [(len(rows) + i, " ".join(say(rng.randint(1, 300)))) for i in range(n)]
+    return rows, items
+
+
+def test_decontamination_recall_against_brute_force(spark):
+    """`reach` below every cosine checks every passage against every item."""
+    rows, items = paraphrases(60, 21)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda **kw: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, **kw).collect()}
+    every, found = pairs(reach=-9.0), pairs()
+    assert len(every) > 90 and found <= every and len(found) >= 0.9 * len(every)
+    assert pairs(block_items=7) == found
+
+
+def test_decontamination_of_short_answers(spark):
+    """A changed last word, or a lost answer of a whole copy, hides no item."""
+    body = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"{body} other"), (2, body + " and so on"), (3, " ".join(f"thing{k}" for k in range(60)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, f"{body}. Yes."), (2, f"{body}. It is all of four.")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {(1, 1), (2, 1)} <= got and not any(d == 3 for d, _ in got)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.without_contamination(docs, none).count() == 3
+    assert decontaminate.without_contamination(docs.limit(0), bench).count() == 0
 
 
 def test_common_length():
