@@ -15,7 +15,7 @@ passages and takes the item files in turn, so neither the number of items nor
 that of their windows has a bound. Windows of items are compared with passages by
 cosine. A window of n words that lies in a passage has a cosine of about the
 square root of its share of the passage (24 words at most, as the cuts may be 8
-words apart); a passage that reaches 0.45 of that is a candidate. Every candidate
+words apart); a passage that reaches 0.5 of that is a candidate. Every candidate
 is checked in place: the longest common subsequence of the item's words and the
 words around the passage must hold most of the item, and so must that of the
 item's answer, its last sentence, unless that has fewer than four words or nine
@@ -214,7 +214,7 @@ class Items:
     least: np.ndarray
 
 
-def prepared(rows: list[tuple[int | None, str]], space: Space, reach: float = 0.45) -> Items:
+def prepared(rows: list[tuple[int | None, str]], space: Space, reach: float = 0.5) -> Items:
     ids, words, answers, vectors, item_of, sizes = [], [], [], [], [], []
     for key, text in rows:
         w = plain(text).split()
@@ -349,7 +349,7 @@ def contaminated(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    reach: float = 0.45,
+    reach: float = 0.5,
     check: Check = Check(),
     block_items: int = 256,
     space: Space | None = None,
@@ -377,7 +377,7 @@ def contaminated(
 
 def without_contamination(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    reach: float = 0.45, check: Check = Check(), block_items: int = 256, space: Space | None = None,
+    reach: float = 0.5, check: Check = Check(), block_items: int = 256, space: Space | None = None,
 ) -> DataFrame:
     """`docs` without the rows that hold most of a benchmark item."""
     held = docs.sparkSession.sparkContext.broadcast(space or fit_documents(docs, doc_id, text))
