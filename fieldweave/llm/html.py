@@ -9,13 +9,18 @@ what contains it never contradict each other.
 
 No page is labelled. The fit's labels come from pages that mark their article
 (`article`, `main` or that role): elements in it are wanted, the others are not,
-and neither are elements whose own tokens name furniture. The trees then carry
-this over to pages without such marks.
+and neither are elements whose own tokens name furniture. Every such page is
+learnt from twice, as it is and with all telling tags and tokens taken away, so
+that the trees have to find the same article by text density, links, depth and
+siblings alone. These make two sets of trees, one for pages with telling tags or
+tokens and one for pages without any.
 
 A null or empty page gives an empty text. Broken markup (open or stray tags,
 text after the end) is read as browsers do in outline: a block start ends an
-open paragraph. Text is cut into blocks at block-level tags; `br` and white
-space become one space. Repeated rows get a row each; null ids pass through; an
+open paragraph. Pages of any length and depth take time in proportion. Text is
+cut into blocks at block-level tags; `br` and white space become one space. An
+element whose gain is zero, a tie, is dropped. Repeated rows get a row each; null
+ids pass through; columns called `text` and `n_chars` give way, others stay; an
 empty table gives an empty result.
 """
 
@@ -49,6 +54,8 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot dd dt li summary figcaption".split()) | frozenset("dd dt li".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr",), "th": ("tr",), "tr": ("table", "tbody", "thead", "tfoot"), "option": ("select",)}
+_CELLS = ("dt", "dd", "td", "th")
+_ACROSS_CELLS = frozenset("tr table tbody thead tfoot html body".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog button label fieldset".split())
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
@@ -62,7 +69,7 @@ _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 FEATURES = (
     "log_chars", "log_words", "density", "link_share", "tags_per_word", "furniture", "furniture_above", "article", "article_above",
     "depth", "heading", "paragraph", "list", "table", "link", "inline", "children", "place", "same_siblings", "share_of_parent",
-    "mean_block", "stops", "root",
+    "mean_block", "stops", "root", "marked",
 )
 
 
@@ -85,6 +92,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     nodes = [Node("", -1, 0)]
     stream: list[tuple[int, str | None]] = []
     stack = [0]
+    open_at: dict[str, list[int]] = {}  # places in the stack by tag, and of all blocks
     at, n = 0, len(html)
 
     def text(a: int, b: int) -> None:
@@ -96,7 +104,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             if nodes[i].tag in BLOCK:
                 stream.append((i, None))
                 break
-        del stack[k:]
+        while len(stack) > k:
+            tag = nodes[stack.pop()].tag
+            open_at[tag].pop()
+            if tag in BLOCK:
+                open_at["blocks"].pop()
+
+    def last(*tags: str) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max((places[-1] for t in tags if (places := open_at.get(t))), default=0)
 
     while at < n:
         m = _TAG.search(html, at)
@@ -110,32 +126,21 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close_to(k)
-                    break
-                if nodes[stack[k]].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "html", "body"):
-                    break
+            k = last(tag)
+            if k and (tag in _ACROSS_CELLS or k >= last("td", "th", "table")):
+                close_to(k)
             continue
         if tag == "br":
             stream.append((stack[-1], " "))
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[k]].tag
-                if t == "p":
-                    close_to(k)
-                    break
-                if t in BLOCK:
-                    break
+            k = last("p")
+            if k and k == last("blocks"):
+                close_to(k)
         if tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[k]].tag
-                if t == tag or (tag in ("dt", "dd", "td", "th") and t in ("dt", "dd", "td", "th")):
-                    close_to(k)
-                    break
-                if t in SAME[tag]:
-                    break
+            k = last(*(_CELLS if tag in _CELLS else (tag,)))
+            if k and k > last(*SAME[tag]):
+                close_to(k)
         if tag in BLOCK:
             stream.append((stack[-1], None))
         if tag in VOID:
@@ -149,17 +154,23 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         nodes[stack[-1]].children.append(me)
         if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
             continue
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_at.setdefault("blocks", []).append(len(stack))
         stack.append(me)
         if tag in RAW:
-            last = _END[tag].search(html, at)
-            text(at, last.start() if last else n)
-            at = last.end() if last else n
+            end = _END[tag].search(html, at)
+            text(at, end.start() if end else n)
+            at = end.end() if end else n
             close_to(len(stack) - 1)
     return nodes, stream
 
 
-def describe(nodes: list[Node], stream: list[tuple[int, str | None]]) -> np.ndarray:
-    """One row of FEATURES per element; sums run over subtrees."""
+def describe(nodes: list[Node], stream: list[tuple[int, str | None]], plain: bool = False) -> np.ndarray:
+    """One row of FEATURES per element; sums run over subtrees. `plain` sees no telling tag or token."""
+    for e in nodes:
+        e.chars = e.words = e.linked = e.stops = e.below = 0
+    marked = not plain and any(e.tag in FURNITURE_TAGS or e.tokens & FURNITURE or e.tokens & ARTICLE and e.tag not in ("body", "html") for e in nodes)
     blocks = [0] * len(nodes)
     hidden = [False] * len(nodes)
     for i, e in enumerate(nodes):
@@ -193,14 +204,14 @@ def describe(nodes: list[Node], stream: list[tuple[int, str | None]]) -> np.ndar
     for i, e in enumerate(nodes):
         tag = e.tag
         up = nodes[e.parent] if i else e
-        bad = len(e.tokens & FURNITURE) + (tag in FURNITURE_TAGS) + 2 * (tag in HIDDEN)
-        good = len(e.tokens & ARTICLE) if tag not in ("body", "html") else 0
+        bad = 2 * (tag in HIDDEN) + (0 if plain else len(e.tokens & FURNITURE) + (tag in FURNITURE_TAGS))
+        good = len(e.tokens & ARTICLE) if tag not in ("body", "html") and not plain else 0
         above_bad, above_good = (furniture[e.parent], article[e.parent]) if i else (0, 0)
         furniture[i], article[i] = above_bad + bad, above_good + good
         out.append((
             log1p(e.chars), log1p(e.words), e.chars / (e.below + 1), e.linked / (e.chars or 1), e.below / (e.words + 1), min(bad, 3), min(above_bad, 3), min(good, 2), min(above_good, 2),
             min(e.depth, 30), tag in HEADINGS, tag in ("p", "blockquote", "pre"), tag in ("ul", "ol", "li", "dl"), tag in ("table", "tr", "td", "th"), tag == "a", tag not in BLOCK, min(len(e.children), 50), place[i], same[i], e.chars / (up.chars or 1),
-            e.chars / (blocks[i] + 1), e.stops / (e.words + 1), tag in ("", "html", "body"),
+            e.chars / (blocks[i] + 1), e.stops / (e.words + 1), tag in ("", "html", "body"), marked,
         ))
     return np.array(out, dtype=np.float32)
 
@@ -244,6 +255,19 @@ class Trees:
         return out
 
 
+@dataclass(frozen=True)
+class Model:
+    """Trees for elements of pages with telling tags or tokens, and for those of others; the last feature tells which."""
+
+    marked: Trees
+    plain: Trees
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        out, told = np.empty(len(x)), x[:, -1] > 0
+        out[told], out[~told] = self.marked.score(x[told]), self.plain.score(x[~told])
+        return out
+
+
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32) -> Trees:
     """Second-order boosting of the logistic loss on binned features."""
     inner = (1 << depth) - 1
@@ -310,7 +334,7 @@ def _assembled(nodes: list[Node], stream: list[tuple[int, str | None]], odds: np
     return "\n".join(out)
 
 
-def main_texts(pages: list[str], trees: Trees, together: int = 20_000) -> Iterator[str]:
+def main_texts(pages: list[str], trees: Trees | Model, together: int = 20_000) -> Iterator[str]:
     """The main text of each page; elements of many pages are scored at once."""
     waiting, n = [], 0
 
@@ -332,37 +356,39 @@ def main_texts(pages: list[str], trees: Trees, together: int = 20_000) -> Iterat
         yield from flush()
 
 
-def main_text(page: str, trees: Trees) -> str:
+def main_text(page: str, trees: Trees | Model) -> str:
     return next(main_texts([page], trees))
 
 
-def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_pages: int = 400, sample_nodes: int = 40_000) -> Trees:
-    """Trees fitted on about `sample_pages` pages, chosen by a hash of id and page, and at most `sample_nodes` elements."""
+def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_pages: int = 400, sample_nodes: int = 80_000) -> Trees | Model:
+    """Trees fitted on about `sample_pages` pages, chosen by a hash of id and page, and at most `sample_nodes` elements, first by that hash."""
     draw = F.xxhash64(*[c for c in (page_id, html) if c in pages.columns]).alias("draw")
     pages = pages.select(F.col(html).alias("html"), draw).filter("html is not null and html <> ''")
     n = pages.count()
     share = min(1.0, sample_pages / max(n, 1))
-    picked = pages.filter(F.pmod("draw", F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("html")
+    picked = pages.filter(F.pmod("draw", F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("html", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
+            for t, key in zip(b.column(0), b.column(1).to_pylist()):
                 nodes, stream = parse(t.as_py())
                 y = weak_labels(nodes)
                 if y is not None:
-                    x = describe(nodes, stream)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(np.column_stack([x, y]).astype(np.float32)), pa.list_(pa.float32()))], names=["row"])
+                    x = np.vstack([np.column_stack([describe(nodes, stream, plain), y]) for plain in (False, True)]).astype(np.float32)
+                    n = len(x)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array(np.arange(n)), pa.array(list(x), pa.list_(pa.float32()))], names=["draw", "place", "row"])
 
-    rows = picked.mapInArrow(run, "row array<float>").limit(sample_nodes).collect()
+    rows = picked.mapInArrow(run, "draw long, place long, row array<float>").orderBy("draw", "place", "row").limit(sample_nodes).collect()
     if not rows:  # nothing to learn from: furniture out, text in
         f, c = np.array([[FEATURES.index("furniture_above"), 0, 0]]), np.array([[0.5, 0.0, 0.0]])
         return Trees(0.0, f, c, np.array([[1.0, 1.0, -4.0, -4.0]]))
     a = np.array(sorted(r["row"] for r in rows), dtype=np.float32)
-    # Elements under furniture count as unwanted wherever they stand, so the trees learn that too.
-    return boost(a[:, :-1], a[:, -1])
+    told = a[:, -2] > 0
+    plain = boost(a[~told, :-1], a[~told, -1])
+    return Model(boost(a[told, :-1], a[told, -1]) if told.any() else plain, plain)
 
 
-def extract(pages: DataFrame, trees: Trees | None = None, html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, trees: Trees | Model | None = None, html: str = "html") -> DataFrame:
     """`pages` with `text` and `n_chars`; columns of those names give way, the html stays."""
     trees = trees or fit(pages, html)
     own = [c for c in pages.columns if c not in ("text", "n_chars")]

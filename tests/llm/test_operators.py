@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -67,6 +68,56 @@ def test_html_keeps_the_article(spark):
     assert out[98].text == out[99].text == "" and out[98].n_chars == 0
 
 
+def plain_page(page):
+    """The page without telling tags and attributes."""
+    page = re.sub(r"</?(article|main|nav|header|footer|aside|section|form)\b", lambda m: "</div" if m[0][1] == "/" else "<div", page)
+    return re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def random_page(rng):
+    say = lambda a, b: " ".join(rng.choices(["some", "words", "that", "stand", "here", "and", "there"], k=rng.randint(a, b)))
+    menu = "".join(f'<li><a href="/{k}">{say(1, 2)}</a></li>' for k in range(rng.randint(3, 8)))
+    body = [say(20, 60) + ". " + say(10, 30) + ", then." for _ in range(rng.randint(2, 6))]
+    inside = "".join(f"<p>{x}</p>" for x in body)
+    page = f'<html><body><nav><ul>{menu}</ul></nav><article><h1>{say(3, 6)}</h1>{inside}</article><footer><a href="/x">{say(2, 4)}</a></footer></body></html>'
+    return page, body
+
+
+def test_html_finds_the_article_of_unmarked_pages(spark):
+    """Held-out pages: what marked pages teach is found where no tag or attribute tells."""
+    rng = random.Random(31)
+    train = [(k, "u", random_page(rng)[0]) for k in range(60)]
+    trees = html.fit(spark.createDataFrame(train, "page_id long, url string, html string"))
+    hits = total = 0
+    for _ in range(60):
+        page, body = random_page(rng)
+        assert set(body) <= set(html.main_text(page, trees).split("\n")) and "<li>" not in html.main_text(page, trees)
+        got = html.main_text(plain_page(page), trees).split("\n")
+        hits += sum(x in got for x in body)
+        total += len(body)
+    assert hits >= 0.95 * total
+
+
+def test_html_edges(spark):
+    rows = [(1, "u", PAGE, "a", 1), (1, "u", PAGE, "a", 1), (None, None, PAGE, "b", 2), (4, "u", None, None, None), (5, "u", "x" * 300_000, "c", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    out = html.extract(pages)
+    assert out.columns == ["page_id", "url", "html", "text", "n_chars"] and out.schema["n_chars"].dataType.typeName() == "long"
+    got = out.collect()
+    assert len(got) == 5 and len({r.text for r in got if r.html == PAGE}) == 1 and next(r for r in got if r.page_id == 4).text == ""
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_html_parses_deep_pages_in_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        html.parse("<div>" * n + "</span>" * n + "<li>" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 5
+
+
 def test_html_survives_broken_pages():
     trees = html.Trees(0.0, np.zeros((1, 7), int), np.full((1, 7), np.inf), np.ones((1, 8)))
     for page in ("<", "<p", "</p></div>text", "<p a='x>b", "<!-- open", "<script>x", "<div>" * 3000 + "deep" + "</div>" * 3000, "a<b>c</b", "<table><tr><td>1<td>2<tr><td>3</table>", "&#x110000;&bogus;"):
