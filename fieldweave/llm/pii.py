@@ -1,23 +1,29 @@
 """Personal data by weak supervision.
 
 Strict expressions give the base spans, which always stay. Wider expressions
-give further candidates. Five labelers vote on every candidate (+1, -1, or 0 to
-abstain): the strict expression, a checksum or range, a gazetteer, the words
-before it and its edges. Spark counts the vote patterns over all documents;
-there are at most 4 x 3**5 of them, so the counts fit the driver. There,
+give further candidates: addresses with spelt-out signs, long internet addresses,
+cards and phone numbers in other layouts. Five labelers vote on every candidate
+(+1, -1, or 0 to abstain): the strict expression, a checksum or range, a
+gazetteer, the words before it and its edges. Spark counts the votes together
+with the span's shape, its number of digits and which separators it has, over all
+documents; both are small numbers, so the counts fit the driver. There,
 expectation-maximisation estimates how reliable each labeler is, and a logistic
-regression on the votes is trained to its posteriors. The classifier decides
-about candidates that are not base spans.
+regression on kind, votes and shape is trained to its posteriors. The classifier
+decides about candidates that are not base spans.
 
 Null texts count as empty. Spans are in code points, the end exclusive. Added
-spans overlap neither base spans nor each other. Repeated rows get a row each;
-null ids pass through; an empty table gives an empty result.
+spans overlap neither base spans nor each other: of two that would, the first
+kind as listed stays, then the first in the text. Texts of any length take time
+in proportion. Repeated rows get a row each; null ids pass through; other columns
+are not read, or stay in `redact`, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict", "check", "gazetteer", "context", "edges")
+_SEPARATORS = (" ", "-", "./", "([{", ":")
 
 _DIGIT = re.compile("[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -46,9 +53,12 @@ _WIDE = {
 }
 
 # Words and prefixes that the labelers look for.
-TOP_LEVELS = frozenset("com org net edu gov int info biz io de fr es uk it nl eu us ca ch at".split())
+TOP_LEVELS = frozenset(
+    "com org net edu gov mil int info biz name pro io co me tv app dev ai eu us ca mx br ar cl uk ie de fr es pt it nl be lu ch at dk se no fi is pl cz sk hu ro"
+    " bg gr tr ru ua il ae sa in pk cn hk tw jp kr sg my th vn id ph au nz za eg ng ke".split()
+)
 CARD_PREFIXES = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
-COUNTRY_CODES = ("1", "33", "34", "39", "41", "43", "44", "49", "61", "81", "86", "91")
+COUNTRY_CODES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 353 358 380 420 971 972".split())
 NEAR = {
     "email": ("mail", "contact", "write", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "addr"),
@@ -117,16 +127,26 @@ def _votes(kind: str, text: str, a: int, b: int, strict: bool) -> tuple[int, ...
         known = 1 if span.startswith("(") or digits.removeprefix("00").startswith(COUNTRY_CODES) else 0
     context = 1 if any(w in before for w in NEAR[kind]) else -1 if any(w in before for w in AGAINST) else 0
     edges = 1 if (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()) else -1
-    return (1 if strict else 0, check, known, context, edges)
+    head = span[:200]
+    shape = (min(len(digits), 20), *(int(any(c in head for c in some)) for some in _SEPARATORS))
+    return (1 if strict else 0, check, known, context, edges, *shape)
 
 
 def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
-    """Base spans and wider ones that overlap no other: (kind, start, end, strict, votes)."""
+    """Base spans and wider ones that overlap no other: (kind, start, end, strict, votes and shape)."""
     base = base_spans(text)
     out = [(k, a, b, True, _votes(k, text, a, b, True)) for k, a, b in base]
     digits = bool(_DIGIT.search(text))
     lower = None
-    taken = sorted((a, b) for _, a, b in base)
+    # Disjoint, in order: what base spans cover, then also what was added.
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     for kind, wide in _WIDE.items():
         if kind == "email":
             lower = text.lower() if "dot" in text or "DOT" in text else ""
@@ -137,33 +157,41 @@ def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
             found = wide.finditer(text)
         for m in found:
             a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
+            k = bisect_left(begins, b)
+            if not k or ends[k - 1] <= a:
+                begins.insert(k, a)
+                ends.insert(k, b)
                 out.append((kind, a, b, False, _votes(kind, text, a, b, False)))
     return out
 
 
+def _features(votes: tuple[int, ...]) -> list[float]:
+    """Votes and shape as numbers of about one; a missing shape counts as zeros."""
+    shape = (*votes[len(LABELERS) :], *(0,) * (1 + len(_SEPARATORS)))[: 1 + len(_SEPARATORS)]
+    return [*votes[: len(LABELERS)], shape[0] / 10, *shape[1:]]
+
+
 @dataclass(frozen=True)
 class SpanModel:
-    """Estimated reliabilities and the classifier's weights: bias, kinds, votes."""
+    """Estimated reliabilities and the classifier's weights: bias, kinds, votes, shape."""
 
     prior: float
     right: dict[str, tuple[float, float]]
     weights: tuple[float, ...]
 
     def score(self, kind: str, votes: tuple[int, ...]) -> float:
-        z = self.weights[0] + self.weights[1 + KINDS.index(kind)] + sum(w * v for w, v in zip(self.weights[1 + len(KINDS) :], votes))
+        z = self.weights[0] + self.weights[1 + KINDS.index(kind)] + sum(w * v for w, v in zip(self.weights[1 + len(KINDS) :], _features(votes)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def fit(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> SpanModel:
-    """EM over vote patterns with counts, then logistic regression to the posteriors.
+    """EM over the votes of patterns with counts, then logistic regression to the posteriors.
 
     `right[labeler]` is its estimated chance of +1 for a true span and of -1 for
     a false one, where it votes. With no patterns the weights are the start values.
     """
     n = len(patterns)
-    votes = np.array([p[1] for p in patterns], dtype=float).reshape(n, len(LABELERS))
+    votes = np.array([p[1][: len(LABELERS)] for p in patterns], dtype=float).reshape(n, len(LABELERS))
     count = np.array([p[2] for p in patterns], dtype=float)
     yes = np.full(len(LABELERS), 0.9)
     no = np.full(len(LABELERS), 0.8)
@@ -179,13 +207,14 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> S
         yes = ((t * up).sum(axis=0) + 9) / ((t * (up | down)).sum(axis=0) + 10)
         no = ((f * down).sum(axis=0) + 8) / ((f * (up | down)).sum(axis=0) + 10)
         prior = float(np.clip((t.sum() + 1) / (count.sum() + 2), 0.05, 0.95))
-    x = np.zeros((n, 1 + len(KINDS) + len(LABELERS)))
+    last = 1 + len(KINDS) + len(LABELERS)
+    x = np.zeros((n, last + 1 + len(_SEPARATORS)))
     x[:, 0] = 1
     for i, p in enumerate(patterns):
         x[i, 1 + KINDS.index(p[0])] = 1
-    x[:, 1 + len(KINDS) :] = votes
+        x[i, 1 + len(KINDS) :] = _features(p[1])
     w = np.zeros(x.shape[1])
-    w[1 + len(KINDS) :] = 1.0
+    w[1 + len(KINDS) : last] = 1.0
     w[0] = -2.5
     start = w.copy()
     weight = np.log1p(count)  # so that rare patterns are heard
@@ -199,7 +228,7 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> S
 
 
 def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, votes, n) over all documents; at most 4 x 3**5 rows."""
+    """(kind, votes, n) over all documents, `votes` with the shape; at most 4 x 3**5 x 21 x 2**5 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

@@ -42,6 +42,39 @@ def test_language_learns_and_holds_out(spark):
     assert langid.identify(strange, model).first().rejected
 
 
+def test_language_of_held_out_and_foreign_texts(spark):
+    """Real sentences: other sentences of the languages stay, texts of other languages are rejected."""
+    known = {
+        "en": "The river rose in the night and by the morning the lower fields were under water; people moved their animals up to the road and waited there for the rain to end, as they had done in other years when the spring was late.",
+        "fr": "La rivière est montée pendant la nuit et au matin les champs du bas étaient sous les eaux; les gens ont mené leurs bêtes jusqu'à la route et ils ont attendu là que la pluie cesse, comme ils l'avaient fait les autres années.",
+        "de": "Der Fluss stieg in der Nacht, und am Morgen standen die unteren Felder unter Wasser; die Leute brachten ihre Tiere hinauf zur Straße und warteten dort, bis der Regen aufhörte, wie sie es in anderen Jahren getan hatten.",
+    }
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choices(words, k=120)), lang) for lang, text in known.items() for k, words in enumerate([text.split()] * 40)]
+    rows = [(i, t, lang) for i, (_, t, lang) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", langid.is_held_out())
+    model = langid.fit(docs.filter("not held_out"))
+    held = langid.identify(docs.filter("held_out"), model).toPandas()
+    assert len(held) > 15 and (held.lang == held.lang_pred).mean() == 1.0 and not held.rejected.any()
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek ésszel és lelkiismerettel bírnak.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "qzx jvkw pqrz xkcd wvut zzyx qqkj xvbn mmnp zxcv",
+    ]
+    strange = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert all(r.rejected for r in langid.identify(strange, model).collect())
+
+
+def test_language_clusters_stand_for_several_texts():
+    rng = np.random.default_rng(3)
+    v = np.abs(np.vstack([rng.normal(0, 0.1, (40, 30)) + 3 * np.eye(30)[0], rng.normal(0, 0.1, (40, 30)) + 3 * np.eye(30)[1], np.eye(30)[5:8] * 9]))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centers, least = langid.cluster(v, 2)
+    sizes = np.bincount(np.argmax(v @ centers.T, axis=1))
+    assert sizes.min() >= 40 and (least < 0.999).all()
+
+
 def test_language_edges(docs, empty):
     model = langid.fit(docs)
     out = langid.identify(docs, model)
@@ -222,6 +255,72 @@ def test_em_tells_good_labelers_from_bad():
     assert model.score("phone", (0, 1, 1, 1, 1)) > 0.5 > model.score("phone", (0, -1, -1, -1, 1))
 
 
+def planted(seed, n=300):
+    """Texts with base data, obfuscated data, numbers of no person, and nothing: (text, wanted spans, what must stay out)."""
+    rng = random.Random(seed)
+    say = lambda: " ".join(rng.choices(["some", "words", "here", "and", "there", "then"], k=rng.randint(3, 12)))
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    out = []
+    for _ in range(n):
+        name, host = rng.choice(["jo.doe", "ann", "max_m"]), rng.choice(["example", "mail-host"])
+        kind = rng.randrange(6)
+        if kind == 0:
+            out.append((f"{say()} contact {name}@{host}.org {say()}", [f"{name}@{host}.org"], []))
+        elif kind == 1:
+            x = f"{name} (at) {host} (dot) {rng.choice(['com', 'org', 'de'])}"
+            out.append((f"{say()} please write to {x}, {say()}", [x], []))
+        elif kind == 2:
+            x = f"({d(3)}) {rng.randint(200, 999)}-{d(4)}"
+            out.append((f"{say()} or call me: {x} {say()}", [x], []))
+        elif kind == 3:
+            out.append((f"{say()} phone +44 20 7946 0{d(3)} {say()}", [], []))
+        elif kind == 4:
+            x = f"{d(3)}-{d(3)}-{d(4)}"
+            out.append((f"{say()} order serial no{x}x {say()}", [], [x]))
+        else:
+            out.append((say(), [], []))
+    return out
+
+
+def test_classifier_adds_obfuscated_data(spark):
+    """What the strict expressions miss is found by the votes, and only by them."""
+    train, held = planted(5), planted(6)
+    model = pii.fit_spans(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(train)], "doc_id long, text string"))
+    added = wanted = 0
+    for text, want, out in held:
+        got = [text[a:b] for _, a, b in pii.chosen(text, model)]
+        base = [text[a:b] for _, a, b in pii.base_spans(text)]
+        assert set(base) <= set(got) and not set(out) & set(got)
+        added += sum(x in got and x not in base for x in want)
+        wanted += sum(x not in base for x in want)
+    assert wanted > 60 and added >= 0.95 * wanted
+
+
+def test_shape_tells_what_votes_do_not():
+    """Two patterns with the same votes: the one whose shape goes with true spans scores higher."""
+    good, bad = (10, 1, 1, 0, 0, 0), (20, 0, 0, 1, 0, 0)
+    model = pii.fit([("phone", (0, 1, 1, 1, 1, *good), 500), ("phone", (0, -1, -1, -1, -1, *bad), 400), ("phone", (0, 1, 0, 0, 1, *good), 9)])
+    assert model.score("phone", (0, 1, 0, 0, 1, *good)) > model.score("phone", (0, 1, 0, 0, 1, *bad))
+
+
+def test_pii_of_many_spans_in_linear_time():
+    def took(n):
+        text = "call (555) 123-4567 now. " * n
+        began = time.perf_counter()
+        assert len(pii.candidates(text)) == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 8
+
+
+def test_pii_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.de", "x", 1, "y"), (None, None, None, None, None)], "doc_id long, text string, spans string, n_email int, kind string")
+    out = pii.redact(docs, pii.fit([]))
+    assert out.columns == docs.columns and out.filter("doc_id = 1").first().text == "mail <EMAIL>"
+    assert pii.find_spans(docs).count() == 2
+
+
 # licences
 
 
