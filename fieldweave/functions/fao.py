@@ -128,7 +128,9 @@ def wind_at_2m(speed: Column, height: Column) -> Column:
 
 
 def hargreaves(tmin: Column, tmax: Column, et_rad: Column) -> Column:
-    return 0.0023 * ((tmin + tmax) / 2 + 17.8) * F.sqrt(tmax - tmin) * 0.408 * et_rad
+    """Null where `tmax` is under `tmin`, which simulated days can have."""
+    span = F.when(tmax >= tmin, tmax - tmin)
+    return 0.0023 * ((tmin + tmax) / 2 + 17.8) * F.sqrt(span) * 0.408 * et_rad
 
 
 def penman_monteith(net: Column, t_k: Column, wind: Column, svp: Column, avp: Column, slope: Column, psy: Column, shf: float = 0.0) -> Column:

@@ -38,6 +38,13 @@ p AS (SELECT *, 0.408e0 * rn * delta / (delta + psy * (1 + 0.34e0 * u2)) + 900 *
   0.0023e0 * ((tmin + tmax) / 2 + 17.8e0) * sqrt(tmax - tmin) * 0.408e0 * ra AS harg FROM p2)"""
 
 
+# Evapotranspiration by Hargreaves of a table with qid, date, tmin and tmax; none where tmax is under tmin.
+eto_sql = lambda d: f"""(SELECT *, CASE WHEN tmax >= tmin THEN 0.0023e0 * ((tmin + tmax) / 2 + 17.8e0) * sqrt(CASE WHEN tmax >= tmin THEN tmax - tmin END) * 0.408e0
+  * {24 * 60 / math.pi!r} * 0.0820e0 * ird * (sha * sin(rlat) * sin(dc) + cos(rlat) * cos(dc) * sin(sha)) END AS eto
+  FROM (SELECT *, acos(least(greatest(-tan(rlat) * tan(dc), -1e0), 1e0)) AS sha
+  FROM (SELECT *, radians({LAT}) AS rlat, 0.409e0 * sin({2 * math.pi / 365!r} * dayofyear(date) - 1.39e0) AS dc, 1 + 0.033e0 * cos({2 * math.pi / 365!r} * dayofyear(date)) AS ird FROM {d})))"""
+
+
 @query(
     "solar_geometry",
     _SOLAR + f" SELECT DISTINCT qid, CAST(doy AS INT) AS doy, R(dc) AS dec, R(sha) AS sha, R(ird) AS ird, R({24 / math.pi!r} * sha) AS daylight, R(ra) AS et_rad FROM s",
@@ -208,7 +215,23 @@ def index_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indices.index_pre(daily(spark, sf_dir))
 
 
-@query("index_pre_eto")
+@query("index_pre_all")
+def index_pre_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indices of rain: sums, counts, spells, SPI, and with ETo by Hargreaves its sum and SPEI."""
+    return indices.index_pre(eto.hargreaves(daily(spark, sf_dir)), eto=True, spi=True)
+
+
+_BAL = f"be AS (SELECT qid, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, sum(eto) AS eto, sum(pre) - sum(eto) AS value FROM {eto_sql('weather_daily')} GROUP BY ALL)"
+_RANKED = lambda n: f"""SELECT qid, year, month, 'spei{n}' AS index_name, R({normal.ppf_sql('p')}) AS value FROM (
+  SELECT *, (k - CASE WHEN n <= 10 THEN 0.375e0 ELSE 0.5e0 END) / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375e0 ELSE 0.5e0 END) AS p FROM (
+  SELECT *, count(*) OVER (PARTITION BY qid, month) AS n, row_number() OVER (PARTITION BY qid, month ORDER BY value, year) AS k FROM (
+  SELECT qid, year, month, CASE WHEN count(value) OVER w = {n} THEN sum(value) OVER w END AS value FROM be WINDOW w AS (PARTITION BY qid ORDER BY year, month ROWS {n - 1} PRECEDING)) WHERE value IS NOT NULL))"""
+
+
+@query(
+    "index_pre_eto",
+    _RAIN + f", {_BAL} SELECT qid, year, month, index_name, R(value) AS value FROM ({_RAIN_LONG}) UNION ALL SELECT qid, year, month, 'eto', R(eto) FROM be UNION ALL " + " UNION ALL ".join(map(_RANKED, (1, 3, 6))),
+)
 def index_pre_eto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With ETo by Hargreaves: also its monthly sum and SPEI."""
     return indices.index_pre(eto.hargreaves(daily(spark, sf_dir)), eto=True)

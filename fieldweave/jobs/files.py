@@ -40,8 +40,7 @@ def read_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_daily_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "cells")
     daily = example(spark, sf_dir, "weather_daily").select("qid", "date", "pre", "tmax").withColumn("cell", F.col("qid"))
-    for q in _IDS:  # as the files come: one a cell
-        daily.filter(F.col("cell") == q).select("date", "pre", "tmax").coalesce(1).write.parquet(f"{path}/{q}")
+    daily.repartition("cell").select("cell", "date", "pre", "tmax").write.partitionBy("cell").parquet(path)  # a folder a cell
     return tables.read_daily_by_cell(spark, path).select("qid", "date", "pre", "tmax")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from ..operators import analytics, distributions, eto, grid, rebuild, seasonal, trend
 from ..sources.examples import example
+from ..sources.scratch import stored
+from .daily import eto_sql
 from .places import LAT
 from .registry import query
 
@@ -36,6 +37,12 @@ def mann_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.mann_kendall(_yearly(spark, sf_dir), ["qid"], "year")
 
 
+@query("mann_kendall_exact")
+def mann_kendall_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the exact p of short series without ties."""
+    return trend.mann_kendall(_yearly(spark, sf_dir), ["qid"], "year", exact=True)
+
+
 @query(
     "theil_sen",
     f"""WITH {_YEARLY}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY year) - 1 AS t FROM y),
@@ -63,6 +70,12 @@ def linear_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.linear_trend(d, KEYS, "_o")
 
 
+@query("linear_trend_p")
+def linear_trend_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With Student's t and its two-sided p."""
+    return seasonal.with_correlation_p(linear_trend(spark, sf_dir))
+
+
 @query(
     "decompose_daily",
     """WITH t AS (SELECT qid, date, tmax, CASE WHEN count(*) OVER w = 365 THEN avg(tmax) OVER w END AS trend FROM weather_daily WINDOW w AS (PARTITION BY qid ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
@@ -170,8 +183,8 @@ def quantile_map_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quantile_map_gamma")
 def quantile_map_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wet = "value > 0"
-    return distributions.quantile_map_gamma(_stoc(spark, sf_dir).filter(wet), _hist(spark, sf_dir).filter(wet), ["qid"])
+    """Every day; the gammas are fitted to wet days, and a dry day stays dry."""
+    return distributions.quantile_map_gamma(_stoc(spark, sf_dir), _hist(spark, sf_dir), ["qid"])
 
 
 @query("quantile_map_berngamma")
@@ -363,11 +376,60 @@ def pca_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasonal.gram(a, grid.area_weight(F.col("lat")))
 
 
+@query("pc_normality", rounded=4)
+def pc_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K-S distance of each mode's standardised scores from the normal, and its p."""
+    keys = ["variable", "season", "mode"]
+    scores = _hist_pca(spark, sf_dir)[1].withColumnRenamed("mode", "qid").withColumnRenamed("score", "value")
+    d = seasonal.normality_d(seasonal.anomalies(scores).withColumnRenamed("qid", "mode"), keys)
+    return seasonal.with_kolmogorov_p(d, F.col("n"))
+
+
 @query("pc_variance_explained")
 def pc_variance_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasonal.variance_explained(_hist_pca(spark, sf_dir)[1])
 
 
+def _generator(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """The generator's tables, each stored once: powers, anomalies of transformed seasons, eofs, pcs, simulated scores."""
+    hist = stored(spark, hist_seasons(spark, sf_dir), "seasons")
+    powers = stored(spark, seasonal.boxcox_fit(hist, shift=1.0), "powers")
+    d = hist.join(powers, ["variable", "season", "qid"]).withColumn("value", seasonal.boxcox(F.col("value"), F.col("power"), 1.0))
+    anom = stored(spark, seasonal.anomalies(d.select(*hist.columns)), "anomalies")
+    usual = seasonal.normal_cells(anom)
+    a = grid.with_lonlat(anom.filter("anom is not null").join(usual, ["variable", "season", "qid"], "left_semi"))
+    eofs, pcs = (stored(spark, x, "modes") for x in seasonal.pca(a, grid.area_weight(F.col("lat"))))
+    mei = example(spark, sf_dir, "climate").filter(F.col("month").isin(*seasonal.SEASONS)).select(F.col("month").alias("season"), "year", F.lit("mei").alias("name"), F.col("mei").alias("x"))
+    names = _named(pcs, "score")
+    factor = seasonal.cholesky(seasonal.correlations(names.unionByName(mei), ["season"], ["year"]))
+    years = pcs.select((F.col("year") + 100).alias("year")).distinct()
+    draws = _named(seasonal.random_modes(pcs.select("variable", "season", "mode").distinct(), years, "5"), "z").withColumnRenamed("x", "z")
+    index = draws.select("season", "year").distinct().select("season", "year", F.lit("mei").alias("name"), F.expr(normal.hashed_normal_sql("concat_ws('|', 'mei', season, year)")).alias("z"))
+    sd = names.groupBy("season", "name").agg(F.stddev_samp("x").alias("sd"))
+    scores = seasonal.correlate_modes(draws.unionByName(index), factor, sd)
+    parts = F.split("name", "_(?=[0-9]+$)")
+    sim = scores.select(parts[0].alias("variable"), "season", "year", parts[1].cast("int").alias("mode"), "score")
+    return powers, anom, eofs, pcs, stored(spark, sim, "scores")
+
+
+@query("simulate_seasons", rounded=4)
+def simulate_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generator on real modes: transform, anomalies, patterns, correlated scores, and back to values within bounds."""
+    powers, anom, eofs, _, sim = _generator(spark, sf_dir)
+    weight = grid.area_weight(F.col("lat"))
+    plain = grid.with_lonlat(eofs).withColumn("loading", F.col("loading") / weight).select("variable", "season", "mode", "qid", "loading")
+    out = seasonal.synthesise(sim, plain, anom.select("variable", "season", "qid", "mean", "sd").distinct())
+    out = out.join(powers.select("variable", "season", "qid", "power"), ["variable", "season", "qid"])
+    return seasonal.finished(out, {"pre": (0.0, 2000.0), "tmax": (-60.0, 60.0), "tmin": (-90.0, 50.0)}, shift=1.0)
+
+
+@query("simulate_analogues", rounded=4)
+def simulate_analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The historic year nearest to each simulated one, by real modes."""
+    *_, pcs, sim = _generator(spark, sf_dir)
+    return seasonal.analogues(sim, pcs)
+
+
 # Scores that SQL can state: each cell's anomaly as a mode of its own.
 _PC = f"{_ANOM}, md AS (SELECT DISTINCT qid, dense_rank() OVER (ORDER BY qid) - 1 AS mode FROM am), pc AS (SELECT variable, season, CAST(mode AS INT) AS mode, year, anom AS score FROM am JOIN md USING (qid) WHERE anom IS NOT NULL)"
 _MODES = {757859: 0, 757942: 1, 2116266: 2, 2121748: 3}
@@ -431,7 +493,7 @@ def cholesky_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_PC}, {_RM}, n AS (SELECT season, year, variable || '_' || mode AS name, z FROM rz),
 s AS (SELECT season, year, name, (z - avg(z) OVER w) / stddev_samp(z) OVER w AS z FROM n WINDOW w AS (PARTITION BY season, name)),
 f AS (SELECT a.season, a.name, b.name AS src, 1e0 / (1 + length(a.name) + length(b.name)) AS l FROM (SELECT DISTINCT season, name FROM n) a JOIN (SELECT DISTINCT season, name FROM n) b ON a.season = b.season AND b.name <= a.name),
-d AS (SELECT season, variable || '_' || mode AS name, stddev_samp(score) AS sd FROM pc WHERE mode < 3 GROUP BY ALL)
+d AS (SELECT season, variable || '_' || mode AS name, stddev_samp(score) AS sd FROM pc GROUP BY ALL)
 SELECT season, year, name, R(x * sd) AS score FROM (SELECT s.season, s.year, f.name, sum(z * l) AS x FROM s JOIN f ON s.season = f.season AND s.name = f.src GROUP BY ALL) JOIN d USING (season, name)""",
 )
 def correlate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,7 +502,7 @@ def correlate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = draws.select("season", "name").distinct()
     pairs = names.withColumnRenamed("name", "var_i").join(names.withColumnRenamed("name", "var_j"), "season").filter("var_j <= var_i")
     factor = pairs.withColumn("l", 1.0 / (1 + F.length("var_i") + F.length("var_j")))
-    sd = _named(_hist_modes(spark, sf_dir).filter("mode < 3"), "score").groupBy("season", "name").agg(F.stddev_samp("x").alias("sd"))
+    sd = _named(_hist_modes(spark, sf_dir), "score").groupBy("season", "name").agg(F.stddev_samp("x").alias("sd"))
     return seasonal.correlate_modes(draws, factor, sd)
 
 
@@ -527,24 +589,17 @@ def disaggregate_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild.disaggregate(example(spark, sf_dir, "weather_hist"), _ssf(spark, sf_dir))
 
 
-@query("rebuild_daily", f"WITH {_DIS} SELECT qid, year, date, R(pre) AS pre, R(tmax) AS tmax, R(tmin) AS tmin FROM dd WHERE qid = 2116266 AND year BETWEEN 2097 AND 2099")
+@query("rebuild_daily", f"WITH {_DIS} SELECT qid, year, date, R(pre) AS pre, R(tmax) AS tmax, R(tmin) AS tmin FROM dd")
 def rebuild_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated days of a reference cell and some years, from stored factors."""
+    """Simulated days of all cells and years from stored factors; `rebuild_days` has their eto as well."""
     d = rebuild.disaggregate(example(spark, sf_dir, "weather_hist"), _ssf(spark, sf_dir))
-    return d.filter("qid = 2116266 and year between 2097 and 2099").select("qid", "year", "date", "pre", "tmax", "tmin")
-
-
-# Evapotranspiration by Hargreaves of a table with qid, date, tmin and tmax; none where tmax is under tmin.
-_ETO = lambda d: f"""(SELECT *, CASE WHEN tmax >= tmin THEN 0.0023e0 * ((tmin + tmax) / 2 + 17.8e0) * sqrt(CASE WHEN tmax >= tmin THEN tmax - tmin END) * 0.408e0
-  * {24 * 60 / math.pi!r} * 0.0820e0 * ird * (sha * sin(rlat) * sin(dc) + cos(rlat) * cos(dc) * sin(sha)) END AS eto
-  FROM (SELECT *, acos(least(greatest(-tan(rlat) * tan(dc), -1e0), 1e0)) AS sha
-  FROM (SELECT *, radians({LAT}) AS rlat, 0.409e0 * sin({2 * math.pi / 365!r} * dayofyear(date) - 1.39e0) AS dc, 1 + 0.033e0 * cos({2 * math.pi / 365!r} * dayofyear(date)) AS ird FROM {d})))"""
+    return d.select("qid", "year", "date", "pre", "tmax", "tmin")
 
 
 @query(
     "rebuild_days",
-    f"""WITH {_DIS}, he AS (SELECT * FROM {_ETO('dy')}), eh AS (SELECT qid, key, sum(eto) AS h FROM he GROUP BY ALL),
-es AS (SELECT qid, CAST(year + CASE WHEN month(date) > 11 THEN 1 ELSE 0 END AS INT) AS year, key, sum(eto) AS s FROM {_ETO('dd')} GROUP BY ALL HAVING count(eto) > 0),
+    f"""WITH {_DIS}, he AS (SELECT * FROM {eto_sql('dy')}), eh AS (SELECT qid, key, sum(eto) AS h FROM he GROUP BY ALL),
+es AS (SELECT qid, CAST(year + CASE WHEN month(date) > 11 THEN 1 ELSE 0 END AS INT) AS year, key, sum(eto) AS s FROM {eto_sql('dd')} GROUP BY ALL HAVING count(eto) > 0),
 ef AS (SELECT es.qid, es.year, es.key, s / nullif(h, 0) AS f_eto FROM es JOIN eh USING (qid, key))
 SELECT he.qid, CAST(wd.year - early AS INT) AS year, date, R(pre * f_pre) AS pre, R(tmax * f_tmax) AS tmax, R(tmin * f_tmin) AS tmin, R(eto * f_eto) AS eto
 FROM he JOIN wd USING (qid, key) LEFT JOIN ef ON ef.qid = he.qid AND ef.key = he.key AND ef.year = wd.year""",
@@ -552,15 +607,19 @@ FROM he JOIN wd USING (qid, key) LEFT JOIN ef ON ef.qid = he.qid AND ef.key = he
 def rebuild_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated days of all cells and years, eto included, from stored factors."""
     hist, ssf = example(spark, sf_dir, "weather_hist"), _ssf(spark, sf_dir)
-    days = rebuild.disaggregate(hist, ssf).filter("tmax >= tmin")
-    return rebuild.rebuilt(hist, ssf, rebuild.eto_factors(hist, days))
+    return rebuild.rebuilt(hist, ssf, rebuild.eto_factors(hist, rebuild.disaggregate(hist, ssf)))
 
 
-@query("eto_scaling_factor")
+@query(
+    "eto_scaling_factor",
+    f"""WITH {_DIS}, eh AS (SELECT qid, key, sum(eto) AS h FROM {eto_sql('dy')} GROUP BY ALL),
+es AS (SELECT qid, CAST(year + CASE WHEN month(date) > 11 THEN 1 ELSE 0 END AS INT) AS year, key, sum(eto) AS s FROM {eto_sql('dd')} GROUP BY ALL)
+SELECT qid, year, key, R(s / nullif(h, 0)) AS ssf_eto FROM es JOIN eh USING (qid, key)""",
+)
 def eto_scaling_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with tmax under tmin have no eto; a season of such days has no factor."""
     hist = example(spark, sf_dir, "weather_hist")
-    days = rebuild.disaggregate(hist, _ssf(spark, sf_dir)).filter("tmax >= tmin")
-    return rebuild.eto_factors(hist, days)
+    return rebuild.eto_factors(hist, rebuild.disaggregate(hist, _ssf(spark, sf_dir)))
 
 
 _MT = lambda v: f"R({'sum' if v == 'pre' else 'avg'}({v})) AS {v}_agg, R(max({v})) AS {v}_max, R(min({v})) AS {v}_min, R(var_samp({v})) AS {v}_var"
@@ -592,6 +651,22 @@ def check_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild.mismatches(h, stoc_seasons(spark, sf_dir), ["variable", "season", "qid", "year"], rtol=0.2)
 
 
+_SEASON_DAYS = f"""{_DIS}, mm AS (SELECT qid, CAST(year + CASE WHEN month(date) > 11 THEN 1 ELSE 0 END AS INT) AS year, key, month(date) AS m, sum(pre) AS pre, avg(tmax) AS tmax, avg(tmin) AS tmin FROM dd GROUP BY ALL),
+sa AS (SELECT qid, year, CAST(2 + 3 * (key % 4) AS INT) AS season, sum(pre) AS pre, avg(tmax) AS tmax, avg(tmin) AS tmin FROM mm GROUP BY ALL HAVING count(*) = 3),
+sl AS (SELECT qid, year, season, unnest(['pre', 'tmax', 'tmin']) AS variable, unnest([pre, tmax, tmin]) AS value FROM sa)"""
+
+
+@query(
+    "check_rebuilt",
+    f"""WITH {_SEASON_DAYS}, c AS (SELECT qid, abs(sl.value - ss.value) > 1e-4 + 1e-5 * abs(ss.value) AS bad FROM sl JOIN ss USING (variable, season, qid, year) WHERE sl.value IS NOT NULL)
+SELECT qid, count(*) AS n, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM c GROUP BY qid""",
+)
+def check_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebuilt days, put together to seasons again, against the simulated seasons that they come from."""
+    days = rebuild.disaggregate(example(spark, sf_dir, "weather_hist"), _ssf(spark, sf_dir))
+    return rebuild.mismatches(rebuild.season_totals(days), stoc_seasons(spark, sf_dir), ["variable", "season", "qid", "year"], atol=1e-4)
+
+
 # Validation
 
 
@@ -610,22 +685,22 @@ def monthly_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.quantiles(example(spark, sf_dir, "hist_monthly"))
 
 
-_DP = (1, 5, 25, 50, 75, 95, 99)
+_DP = analytics.DAILY_PERCENTILES
 
 
 @query(
     "daily_quantiles",
-    f"""WITH l AS (SELECT qid, CAST(month(date) AS INT) AS month, unnest(['pre', 'tmax']) AS variable, unnest([pre, tmax]) AS value FROM weather_daily),
+    f"""WITH l AS (SELECT qid, CAST(month(date) AS INT) AS month, unnest(['pre', 'tmax', 'tmin']) AS variable, unnest([pre, tmax, tmin]) AS value FROM weather_daily),
 g AS (SELECT qid, month, variable, quantile_cont(value, [{', '.join(repr(p / 100) for p in _DP)}]) AS qs, count(*) AS c FROM l GROUP BY ALL),
 n AS (SELECT *, max(c) OVER (PARTITION BY qid) AS n FROM g)
 SELECT qid, month, variable, R(q) AS quantile, R(v) AS value FROM (SELECT qid, month, variable, n, unnest(qs) AS v, CAST(unnest([{', '.join(repr(p / 100) for p in _DP)}]) AS DOUBLE) AS q FROM n) WHERE q > 1 / n AND q < 1 - 1 / n""",
 )
 def daily_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.daily_quantiles(example(spark, sf_dir, "weather_daily"), _DP, ("pre", "tmax"))
+    return analytics.daily_quantiles(example(spark, sf_dir, "weather_daily"), _DP, rebuild.VARIABLES)
 
 
 _EV = (*rebuild.VARIABLES, "eto")
-_BOTH = f"(SELECT 'hist' AS source, qid, date, pre, tmax, tmin, eto FROM {_ETO('weather_hist')} UNION ALL SELECT 'stoc', qid, date, pre, tmax, tmin, eto FROM {_ETO('weather_stoc')})"
+_BOTH = f"(SELECT 'hist' AS source, qid, date, pre, tmax, tmin, eto FROM {eto_sql('weather_hist')} UNION ALL SELECT 'stoc', qid, date, pre, tmax, tmin, eto FROM {eto_sql('weather_stoc')})"
 
 
 def _both_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -701,8 +776,8 @@ _ALL = " UNION ALL ".join(
 )
 
 
-@query("all_analytics", f"SELECT source, stat, qid, month, variable, count(value) AS n, R(avg(value)) AS mean, R(quantile_cont(value, 0.5)) AS median FROM ({_ALL}) GROUP BY ALL")
-def all_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("monthly_summary", f"SELECT source, stat, qid, month, variable, count(value) AS n, R(avg(value)) AS mean, R(quantile_cont(value, 0.5)) AS median FROM ({_ALL}) GROUP BY ALL")
+def monthly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median by source, statistic, cell, month and variable: one long table, one aggregation."""
     parts = []
     for source in ("hist", "stoc"):
@@ -739,17 +814,17 @@ def _long(wide: DataFrame) -> DataFrame:
 _TAGS = ("source", "stat")
 
 
-@query(
-    "run_analytics",
-    f"""{_TAGGED},
+_PARTS = f"""{_TAGGED},
 g AS (SELECT source, stat, qid, month, variable, quantile_cont(value, [{_MQS}]) AS qs FROM l WHERE value IS NOT NULL GROUP BY ALL),
 q AS (SELECT source, stat, qid, month, variable, unnest(qs) AS value, CAST(unnest([{_MQS}]) AS DOUBLE) AS quantile FROM g),
 n AS (SELECT source, stat, qid, max(year) - min(year) + 1 AS n FROM l GROUP BY ALL),
-x AS ({' UNION ALL '.join(f"SELECT source, stat, qid, month, '{a}' AS variable, '{b}' AS variable2, corr({a}, {b}) AS r FROM w GROUP BY ALL" for a in _SV for b in _SV)})
-SELECT 'climatology' AS part, source, stat, qid, month, variable, CAST(NULL AS VARCHAR) AS variable2, CAST(NULL AS DOUBLE) AS quantile, R(avg(value)) AS value FROM l WHERE value IS NOT NULL GROUP BY ALL
+x AS ({' UNION ALL '.join(f"SELECT source, stat, qid, month, '{a}' AS variable, '{b}' AS variable2, corr({a}, {b}) AS r FROM w GROUP BY ALL" for a in _SV for b in _SV)})"""
+_PARTS_OUT = """SELECT 'climatology' AS part, source, stat, qid, month, variable, CAST(NULL AS VARCHAR) AS variable2, CAST(NULL AS DOUBLE) AS quantile, R(avg(value)) AS value FROM l WHERE value IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'quantile', source, stat, qid, month, variable, NULL, R(quantile), R(value) FROM q JOIN n USING (source, stat, qid) WHERE quantile > 1 / n AND quantile < 1 - 1 / n
-UNION ALL SELECT 'correlation', source, stat, qid, month, variable, variable2, NULL, R(r) FROM x WHERE r IS NOT NULL AND NOT isnan(r)""",
-)
+UNION ALL SELECT 'correlation', source, stat, qid, month, variable, variable2, NULL, R(r) FROM x WHERE r IS NOT NULL AND NOT isnan(r)"""
+
+
+@query("run_analytics", f"{_PARTS} {_PARTS_OUT}")
 def run_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Climatology, quantiles and cross-correlation of every monthly statistic of history and simulation, climate index included."""
     wide = _tagged(spark, sf_dir)
@@ -769,16 +844,31 @@ def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.similarity_ks(long.filter("source = 'hist'"), long.filter("source = 'stoc'"), ("stat",))
 
 
+_KS_PARTS = """b AS (SELECT stat, qid, month, variable, round(value, 9) AS value, CASE WHEN source = 'hist' THEN 1 ELSE 0 END AS h FROM l WHERE variable <> 'mei' AND value IS NOT NULL),
+c AS (SELECT *, sum(h) OVER u AS a, sum(1 - h) OVER u AS b, sum(h) OVER e AS n, sum(1 - h) OVER e AS m FROM b WINDOW e AS (PARTITION BY stat, qid, month, variable), u AS (PARTITION BY stat, qid, month, variable ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
 @query(
     "similarity_ks_all",
-    f"""{_TAGGED}, b AS (SELECT stat, qid, month, variable, round(value, 9) AS value, CASE WHEN source = 'hist' THEN 1 ELSE 0 END AS h FROM l WHERE variable <> 'mei' AND value IS NOT NULL),
-c AS (SELECT *, sum(h) OVER u AS a, sum(1 - h) OVER u AS b, sum(h) OVER e AS n, sum(1 - h) OVER e AS m FROM b WINDOW e AS (PARTITION BY stat, qid, month, variable), u AS (PARTITION BY stat, qid, month, variable ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    f"""{_TAGGED}, {_KS_PARTS}
 SELECT stat, qid, month, variable, CAST(max(n) AS BIGINT) AS n_hist, CAST(max(m) AS BIGINT) AS n_stoc, R(max(abs(a / n - b / m))) AS d FROM c WHERE n > 0 AND m > 0 GROUP BY ALL""",
 )
 def similarity_ks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similarity(spark, sf_dir)
 
 
+@query(
+    "all_analytics",
+    f"""{_PARTS}, {_KS_PARTS} {_PARTS_OUT}
+UNION ALL SELECT 'ks', 'both', stat, qid, month, variable, NULL, NULL, R(max(abs(a / n - b / m))) FROM c WHERE n > 0 AND m > 0 GROUP BY ALL""",
+)
+def all_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole validation in one table: what `run_analytics` gives, and the K-S distance of simulation from history."""
+    parts = run_analytics(spark, sf_dir)
+    nothing = {"part": F.lit("ks"), "source": F.lit("both"), "variable2": F.lit(None).cast("string"), "quantile": F.lit(None).cast("double"), "value": F.col("d")}
+    return parts.unionByName(_similarity(spark, sf_dir).withColumns(nothing).select(parts.columns))
+
+
 @query("similarity_ks_all_p")
 def similarity_ks_all_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasonal.with_kolmogorov_p(_similarity(spark, sf_dir), F.col("n_hist") * F.col("n_stoc") / (F.col("n_hist") + F.col("n_stoc")))

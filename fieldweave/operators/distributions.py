@@ -222,11 +222,11 @@ def gbm_paths(params: DataFrame, days: int, sims: int, seed: str, keys: list[str
 
 
 #: The probabilities that a fit to quantiles looks at.
-KUMA_QUANTILES = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.5, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999)
+KUMA_QUANTILES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99)
 
 
 def kuma_fit_quantiles(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(keys, a, b) that bring the quantile function nearest to the sample's, by damped Gauss-Newton on logarithms of a and b.
+    """(keys, a, b) whose cdf at the sample's quantiles is nearest to their probabilities, by damped Gauss-Newton on logarithms of a and b.
 
     Spark aggregates each group to its quantiles; only those meet numpy.
     """
@@ -237,7 +237,8 @@ def kuma_fit_quantiles(values: DataFrame, keys: list[str], value: str = "value")
         p = np.array(KUMA_QUANTILES)
         out = []
         for x in quantiles:
-            gap = lambda z: (1 - (1 - p) ** np.exp(-z[1])) ** np.exp(-z[0]) - np.asarray(x, float)  # noqa: E731, B023
+            u = np.clip(np.asarray(x, float), 0.0, 1.0)
+            gap = lambda z: 1 - (1 - u ** np.exp(z[0])) ** np.exp(z[1]) - p  # noqa: E731, B023
             z, damp = np.zeros(2), 1e-3
             for _ in range(200):
                 f = gap(z)

@@ -41,6 +41,14 @@ def month_percentiles(daily: DataFrame, columns: list[str], cell: str = "qid") -
     return found.select(cell, "month", *[F.col(c)[i].alias(f"{c}_{p}") for c in columns for i, p in enumerate(("p05", "p95"))])
 
 
+def with_month_percentiles(daily: DataFrame, columns: list[str], cell: str = "qid") -> DataFrame:
+    """`daily`, which has `month`, with the percentiles of its cell and month as columns: a window, so rows that lie by cell need no exchange."""
+    w = Window.partitionBy(cell, "month")
+    d = daily.withColumns({f"_{c}_q": F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).over(w) for c in columns})
+    d = d.withColumns({f"{c}_{p}": F.col(f"_{c}_q")[i] for c in columns for i, p in enumerate(("p05", "p95"))})
+    return d.drop(*[f"_{c}_q" for c in columns])
+
+
 def _longest(flag: Column, keys: list[str]) -> tuple[Column, Column]:
     """Columns to add in turn: the count of unset rows so far, and the run length up to a row."""
     w = Window.partitionBy(*keys).orderBy("date")
@@ -66,9 +74,9 @@ def _stacked(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 def rain_month(daily: DataFrame, wet: float = 1.0, cell: str = "qid") -> DataFrame:
     """One row per (cell, year, month) with the rain indices that need no distribution."""
     keys = [cell, "year", "month"]
-    d = daily.withColumns({"year": F.year("date"), "month": F.month("date")})
+    d = daily.repartition(cell).withColumns({"year": F.year("date"), "month": F.month("date")})
     d = d.withColumns({"pre48": rolled(F.col("pre"), 2, [cell], ["date"]), "pre72": rolled(F.col("pre"), 3, [cell], ["date"])})
-    d = d.join(month_percentiles(daily, ["pre"], cell), [cell, "month"])
+    d = with_month_percentiles(d, ["pre"], cell)
     flags = {"lt": F.col("pre") <= F.col("pre_p05"), "gt": F.col("pre") > F.col("pre_p95")}
     d = with_runs(d, flags, keys)
     count = lambda f: F.sum(F.when(f, 1).otherwise(0))
@@ -89,10 +97,18 @@ def rain_month(daily: DataFrame, wet: float = 1.0, cell: str = "qid") -> DataFra
 RAIN = ["rsum", "rday", "r_count_lt_p05", "r_spell_lt_p05", "r_count_gt_p95", "r_spell_gt_p95", "r_sum_gt_p95", "pre24", "pre48", "pre72"]
 
 
-def index_pre(daily: DataFrame, eto: bool = False, wet: float = 1.0, cell: str = "qid") -> DataFrame:
-    """(cell, year, month, index_name, value); with `eto` (a column of `daily`) also its sum and SPEI 1, 3 and 6."""
+def index_pre(daily: DataFrame, eto: bool = False, wet: float = 1.0, cell: str = "qid", spi: bool = False) -> DataFrame:
+    """(cell, year, month, index_name, value); with `spi` also SPI 1, 3 and 6; with `eto` (a column of `daily`) also its sum and SPEI 1, 3 and 6."""
     keys = [cell, "year", "month"]
-    out = _stacked(rain_month(daily, wet, cell), keys, RAIN)
+    rain = rain_month(daily, wet, cell)
+    out = _stacked(rain, keys, RAIN)
+    if spi:
+        from .distributions import spi as fitted
+
+        month = rain.select(*keys, F.col("rsum").alias("value"))
+        for n in (1, 3, 6):
+            s = fitted(month, n, cell).select(*keys, F.col("spi").alias(f"spi{n}"))
+            out = out.unionByName(_stacked(s, keys, [f"spi{n}"]))
     if eto:
         month = daily.groupBy(cell, F.year("date").alias("year"), F.month("date").alias("month")).agg(F.sum("eto").alias("eto"), (F.sum("pre") - F.sum("eto")).alias("value"))
         wide = month
@@ -112,9 +128,9 @@ def index_tmp(
 ) -> DataFrame:
     """(cell, year, month, index_name, value) of the temperature indices."""
     keys = [cell, "year", "month"]
-    d = daily.withColumns({"year": F.year("date"), "month": F.month("date")})
+    d = daily.repartition(cell).withColumns({"year": F.year("date"), "month": F.month("date")})
     rolls = {f"{v}{24 * n}": rolled(F.col(v), n, [cell], ["date"], "mean") for v in ("tmax", "tmin") for n in (2, 3)}
-    d = d.withColumns(rolls).join(month_percentiles(daily, ["tmax", "tmin"], cell), [cell, "month"])
+    d = with_month_percentiles(d.withColumns(rolls), ["tmax", "tmin"], cell)
     over: dict[str, tuple[Column, Column]] = {}
     for v in ("tmax", "tmin"):
         over[f"{v}_{{}}_lt_p05"] = (F.col(v) <= F.col(f"{v}_p05"), F.col(f"{v}_p05") - F.col(v))

@@ -53,6 +53,16 @@ def month_table(days: DataFrame, year: str, sums: tuple[str, ...] = ("pre",), va
     return days.groupBy("qid", F.expr(year).alias("year"), F.month("date").alias("month")).agg(*aggs)
 
 
+def season_totals(days: DataFrame, seasons: tuple[int, ...] = SEASONS, sums: tuple[str, ...] = ("pre",), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
+    """(variable, qid, year, season, value) of simulated days (qid, year, key, date, variables): sums, or means of monthly means, of seasons with all months."""
+    year = (F.col("year") + F.when(F.month("date") > max(seasons), 1).otherwise(0)).cast("int").alias("year")
+    season = F.element_at(F.array(*[F.lit(s) for s in sorted(seasons)]), (F.col("key") % len(seasons)).cast("int") + 1).alias("season")
+    how = lambda v: F.sum(v) if v in sums else F.avg(v)
+    m = days.groupBy("qid", year, season, F.month("date").alias("_m")).agg(*[how(v).alias(v) for v in variables])
+    d = m.groupBy("qid", "year", "season").agg(F.count("*").alias("_n"), *[how(v).alias(v) for v in variables]).filter(F.col("_n") == 12 // len(seasons))
+    return d.unpivot(["qid", "year", "season"], list(variables), "variable", "value").filter("value is not null")
+
+
 def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value", rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
     """(qid, n, bad): how many common values of two tables differ by more than the tolerance, per cell."""
     d = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys)

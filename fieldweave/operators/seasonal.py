@@ -113,10 +113,24 @@ def boxcox_inverse(value: Column, power: Column, shift: float = 0.0) -> Column:
 
 def gram(anom: DataFrame, weight: Column | None = None) -> DataFrame:
     """(variable, season, y1, y2, g): inner products of years over cells; years x years rows whatever the number of cells."""
-    a = anom.withColumn("_v", F.col("anom") * (F.lit(1.0) if weight is None else weight))
-    left = a.select("variable", "season", "qid", F.col("year").alias("y1"), F.col("_v").alias("_a"))
-    right = a.select("variable", "season", "qid", F.col("year").alias("y2"), F.col("_v").alias("_b"))
-    return left.join(right, ["variable", "season", "qid"]).groupBy("variable", "season", "y1", "y2").agg(F.sum(F.col("_a") * F.col("_b")).alias("g"))
+    v = F.col("anom") * (F.lit(1.0) if weight is None else weight)
+    # A cell's years in one row, so that its products need no join; they are summed before they are shuffled.
+    cells = anom.groupBy("variable", "season", "qid").agg(F.collect_list(F.struct("year", v.alias("v"))).alias("_x"))
+    pairs = cells.select("variable", "season", "_x", F.explode("_x").alias("_a")).select("variable", "season", "_a", F.explode("_x").alias("_b"))
+    return pairs.groupBy("variable", "season", F.col("_a.year").alias("y1"), F.col("_b.year").alias("y2")).agg(F.sum(F.col("_a.v") * F.col("_b.v")).alias("g"))
+
+
+def normal_cells(anom: DataFrame, least: float = 0.05) -> DataFrame:
+    """(variable, season, qid) of cells whose anomalies the one-sample test does not reject at `least`."""
+    return with_kolmogorov_p(normality_d(anom, ["variable", "season", "qid"]), F.col("n")).filter(F.col("p") >= least).select("variable", "season", "qid")
+
+
+def finished(values: DataFrame, bounds: dict[str, tuple[float, float]], shift: float = 0.0) -> DataFrame:
+    """(variable, season, year, qid, value) from transformed values with their `power`: back through Box-Cox, zero where there is none, clipped, in single precision."""
+    x = boxcox_inverse(F.col("value"), F.col("power"), shift)
+    for name, (low, high) in bounds.items():
+        x = F.when(F.col("variable") == name, F.least(F.greatest(x, F.lit(low)), F.lit(high))).otherwise(x)
+    return values.select("variable", "season", "year", "qid", x.cast("float").cast("double").alias("value"))
 
 
 def pca(anom: DataFrame, weight: Column | None = None, least: float = 1e-8) -> tuple[DataFrame, DataFrame]:
@@ -188,17 +202,34 @@ def analogues(stoc: DataFrame, hist: DataFrame) -> DataFrame:
     return d.groupBy("season", "year").agg(best).select("season", "year", "best.histyear", "best.d2")
 
 
-def random_modes(modes: DataFrame, years: DataFrame, seed: str) -> DataFrame:
-    """(variable, season, mode, year, z): standard normals that depend on seed and keys only."""
+def random_modes(modes: DataFrame, years: DataFrame, seed: str, stored: DataFrame | None = None) -> DataFrame:
+    """(variable, season, mode, year, z): standard normals that depend on seed and keys only; `stored` draws of that form come first."""
     d = modes.join(years, how="cross")
     d = d.withColumn("_key", F.concat_ws("|", F.lit(seed), F.col("year").cast("string"), F.col("season").cast("string"), "variable", F.col("mode").cast("string")))
-    return d.withColumn("z", F.expr(normal.hashed_normal_sql("_key"))).select("variable", "season", "mode", "year", "z")
+    d = d.withColumn("z", F.expr(normal.hashed_normal_sql("_key"))).select("variable", "season", "mode", "year", "z")
+    if stored is None:
+        return d
+    keys = ["variable", "season", "mode", "year"]
+    d = d.join(stored.select(*keys, F.col("z").alias("_z")), keys, "left")
+    return d.select(*keys, F.coalesce("_z", "z").alias("z"))
+
 
+def synthesise(scores: DataFrame, eofs: DataFrame, moments: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(variable, season, year, qid, value): scores times loadings, times the deviation, plus the mean of (variable, season, qid, mean, sd).
 
-def synthesise(scores: DataFrame, eofs: DataFrame, moments: DataFrame) -> DataFrame:
-    """(variable, season, year, qid, value): scores times loadings, times the deviation, plus the mean of (variable, season, qid, mean, sd)."""
-    d = scores.join(eofs, ["variable", "season", "mode"]).groupBy("variable", "season", "year", "qid").agg(F.sum(F.col("score") * F.col("loading")).alias("_a"))
-    return d.join(moments, ["variable", "season", "qid"]).select("variable", "season", "year", "qid", (F.col("_a") * F.col("sd") + F.col("mean")).alias("value"))
+    A year's scores and a cell's loadings are one row each, and cells lie in
+    `blocks` that all years are sent to, so the join makes a row for each value
+    of the result and no more, over as many keys as there are blocks and seasons.
+    """
+    n = blocks or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_mode = lambda value: F.map_from_entries(F.collect_list(F.struct("mode", value)))
+    cells = eofs.groupBy("variable", "season", "qid").agg(F.array_sort(F.collect_list(F.struct("mode", "loading"))).alias("_l"))
+    cells = cells.join(moments, ["variable", "season", "qid"]).withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n)))
+    years = scores.groupBy("variable", "season", "year").agg(by_mode("score").alias("_s")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    d = cells.join(years, ["variable", "season", "_block"])
+    terms = F.filter(F.transform("_l", lambda x: x["loading"] * F.try_element_at("_s", x["mode"])), lambda x: x.isNotNull())
+    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    return d.filter(F.size(terms) > 0).select("variable", "season", "year", "qid", (total * F.col("sd") + F.col("mean")).alias("value"))
 
 
 def cholesky(found: DataFrame, ridge: float = 1e-9) -> DataFrame:

@@ -6,7 +6,9 @@ each group, meant for yearly or monthly series.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
@@ -20,8 +22,33 @@ def _pairs(series: DataFrame, keys: list[str], order: str, value: str) -> DataFr
     return a.join(b, keys).filter("ta < tb")
 
 
-def mann_kendall(series: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
-    """(keys, n, s, tau, p): Kendall's tau-b against time, with a two-sided p by the normal approximation with ties."""
+def _exact_p(n: Column, s: Column) -> Column:
+    """The exact two-sided p of Kendall's s for n values without ties, from the counts of orders by inversions."""
+
+    @F.pandas_udf("double")
+    def p(n: pd.Series, s: pd.Series) -> pd.Series:
+        held: dict[int, np.ndarray] = {}
+        out = []
+        for k, x in zip(n.to_numpy(int), s.to_numpy(float)):
+            if k not in held:
+                share = np.ones(1)
+                for j in range(2, k + 1):  # a j-th value adds 0 to j - 1 inversions, each as likely
+                    share = np.convolve(share, np.full(j, 1 / j))
+                held[k] = share
+            most = k * (k - 1) // 2
+            few = int(round((most - abs(x)) / 2))
+            out.append(min(1.0, 2 * float(held[k][: few + 1].sum())))
+        return pd.Series(out, dtype=float)
+
+    return p(n, s)
+
+
+def mann_kendall(series: DataFrame, keys: list[str], order: str, value: str = "value", exact: bool = False) -> DataFrame:
+    """(keys, n, s, tau, p): Kendall's tau-b against time, with a two-sided p by the normal approximation with ties.
+
+    With `exact`, p is exact where no values are tied and there are at most 33 of
+    them, or at most one pair of values is out of order.
+    """
     s = _pairs(series, keys, order, value).groupBy(*keys).agg(F.sum(F.signum(F.col("xb") - F.col("xa"))).alias("s"))
     ties = series.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("t"))
     t = F.col("t")
@@ -32,7 +59,13 @@ def mann_kendall(series: DataFrame, keys: list[str], order: str, value: str = "v
     d = d.withColumn("tau", F.try_divide(2 * F.col("s"), F.sqrt(whole) * F.sqrt(whole - F.col("tied"))))
     var = (n * (n - 1) * (2 * n + 5) - F.col("v")) / 18.0
     d = d.withColumn("z", -F.abs(F.try_divide("s", F.sqrt(var))))
-    return d.select(*keys, "n", "s", "tau", (2 * F.expr(normal.cdf_sql("z"))).alias("p"))
+    p = 2 * F.expr(normal.cdf_sql("z"))
+    if exact:
+        most = n * (n - 1) / 2
+        plain = (F.col("tied") == 0) & (n > 1) & ((n <= 33) | ((n <= 1000) & (most - F.abs("s") <= 2)))
+        d = d.withColumn("_p", _exact_p(F.when(plain, n).otherwise(F.lit(2)), F.when(plain, F.col("s")).otherwise(F.lit(0.0))))
+        p = F.when(plain, F.col("_p")).otherwise(p)
+    return d.select(*keys, "n", "s", "tau", p.alias("p"))
 
 
 def theil_sen(series: DataFrame, keys: list[str], order: str, value: str = "value", z: float = 1.959963984540054) -> DataFrame:

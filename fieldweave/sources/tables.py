@@ -30,8 +30,8 @@ def read_trend(spark: SparkSession, path: str, variable: str) -> DataFrame:
 
 
 def read_daily_by_cell(spark: SparkSession, path: str) -> DataFrame:
-    """Daily rows of a folder with a file (or a folder) per cell; the cell's id is its name."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)(?:\.parquet)?(?:/[^/]*)?$", 1)
+    """Daily rows of a folder with a file (or a folder) per cell; the cell's id is its name, or what follows = in it."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]*=)?(\d+)(?:\.parquet)?(?:/[^/]*)?$", 1)
     return spark.read.option("recursiveFileLookup", True).parquet(path).select("*", name.cast("long").alias("qid"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import math
 import random
 import statistics
@@ -185,6 +186,83 @@ def test_cholesky_gives_the_matrix_back(spark):
     assert low["a", "a"] == pytest.approx(1.0) and low["b", "a"] * low["a", "a"] == pytest.approx(0.5) and low["b", "a"] ** 2 + low["b", "b"] ** 2 == pytest.approx(1.0)
 
 
+def test_exact_trend_p_counts_orders(spark):
+    """Against all orders of five values."""
+    scores = [sum((b > a) - (b < a) for i, a in enumerate(x) for b in x[i + 1 :]) for x in itertools.permutations(range(5))]
+    series = [(1, y, float(v)) for y, v in enumerate((1, 0, 2, 3, 4))] + [(2, y, float(v)) for y, v in enumerate((0, 3, 1, 4, 2))] + [(3, y, float(v)) for y, v in enumerate((1, 1, 2, 3, 4))]
+    got = {r.k: r for r in trend.mann_kendall(spark.createDataFrame(series, "k int, year int, value double"), ["k"], "year", exact=True).collect()}
+    for k in (1, 2):
+        assert got[k].p == pytest.approx(sum(abs(s) >= abs(got[k].s) for s in scores) / len(scores))
+    plain = {r.k: r for r in trend.mann_kendall(spark.createDataFrame(series, "k int, year int, value double"), ["k"], "year").collect()}
+    assert got[3].p == plain[3].p and got[1].p != plain[1].p
+
+
+def test_kumaraswamy_fit_to_quantiles_is_the_best_of_a_grid(spark):
+    rng = np.random.default_rng(4)
+    x = (1 - (1 - rng.random(4000)) ** (1 / 3.0)) ** (1 / 1.7)
+    r = distributions.kuma_fit_quantiles(spark.createDataFrame([(1, float(v)) for v in x], "k int, value double"), ["k"]).first()
+    p = np.array(distributions.KUMA_QUANTILES)
+    loss = lambda a, b: float(((1 - (1 - np.quantile(x, p) ** a) ** b - p) ** 2).sum())
+    assert loss(r.a, r.b) <= min(loss(a, b) for a in np.linspace(1.2, 2.2, 41) for b in np.linspace(2.2, 4.0, 41)) + 1e-9
+    assert r.a == pytest.approx(1.7, rel=0.1) and r.b == pytest.approx(3.0, rel=0.15)
+
+
+def test_all_indices_are_the_single_ones(spark):
+    from fieldweave.jobs import load
+
+    from .conftest import SF
+
+    q = load()[0]
+    rows = lambda d, *c: {tuple(r) for r in d.filter("value is not null").select("qid", "year", "month", *c).collect()}
+    every = q["index_pre_all"](spark, SF).cache()
+    assert rows(q["index_pre"](spark, SF), "index_name", "value") <= rows(every, "index_name", "value")
+    assert rows(q["index_pre_eto"](spark, SF), "index_name", "value") <= rows(every, "index_name", "value")
+    got = rows(every.filter("index_name = 'spi3'"), "value")
+    want = {(r.qid, r.year, r.month, r.spi) for r in q["spi"](spark, SF).collect() if r.spi is not None}
+    assert len(got) == len(want) and {x[:3] for x in got} == {x[:3] for x in want}
+    assert {r.index_name for r in every.select("index_name").distinct().collect()} >= {"spi1", "spi3", "spi6", "eto", "spei1", "spei3", "spei6"}
+
+
+def test_gamma_mapping_keeps_dry_days(spark):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(np.concatenate([np.zeros(50), rng.gamma(2.0, 3.0, 150)]))], "qid int, i int, value double")
+    out = distributions.quantile_map_gamma(d, d.withColumn("value", F.col("value") * 2), ["qid"]).collect()
+    assert len(out) == 200 and all(r.mapped == 0 for r in out if r.value == 0)
+    assert all(r.mapped == pytest.approx(2 * r.value, rel=1e-6) for r in out if r.value > 0)
+
+
+def test_generator_gives_its_seasons_back(spark):
+    """With the historic scores in place of simulated ones, the chain gives the historic values of more than four cells."""
+    rng = np.random.default_rng(6)
+    rows = [("pre", y, 2, q, float(v)) for q in range(20) for y, v in enumerate(rng.gamma(3.0, 2.0, 12))]
+    hist = spark.createDataFrame(rows, "variable string, year int, season int, qid long, value double").cache()
+    powers = seasonal.boxcox_fit(hist, shift=1.0).cache()
+    d = hist.join(powers, ["variable", "season", "qid"]).withColumn("value", seasonal.boxcox(F.col("value"), F.col("power"), 1.0))
+    anom = seasonal.anomalies(d.select(*hist.columns)).cache()
+    eofs, pcs = seasonal.pca(anom)
+    out = seasonal.synthesise(pcs, eofs, anom.select("variable", "season", "qid", "mean", "sd").distinct(), blocks=3)
+    back = seasonal.finished(out.join(powers.select("variable", "season", "qid", "power"), ["variable", "season", "qid"]), {"pre": (0.0, 12.0)}, shift=1.0)
+    got = back.withColumnRenamed("value", "x").join(hist, ["variable", "season", "year", "qid"]).collect()
+    assert len(got) == 240 and all(r.x == pytest.approx(min(r.value, 12.0), rel=1e-5) for r in got)
+    draws = seasonal.random_modes(pcs.select("variable", "season", "mode").distinct(), pcs.select("year").distinct(), "1", stored=pcs.withColumnRenamed("score", "z").filter("year < 5")).collect()
+    held = {(r.year, r.mode): r.score for r in pcs.collect()}
+    assert all((r.z == held[r.year, r.mode]) == (r.year < 5) for r in draws)
+
+
+def test_monthly_indices_exchange_days_once(spark):
+    from fieldweave.operators import indices
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = days(spark, [1.0, 2.0, 3.0] * 40).withColumns({"tmax": F.lit(20.0), "tmin": F.lit(10.0)})
+        for out in (indices.index_pre(d), indices.index_tmp(d)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_seasons_wrap_around_the_year(spark):
     d = spark.range(1, 13).select(F.col("id").cast("int").alias("m"))
     got = [r.s for r in d.select(seasonal.season_of(F.col("m")).alias("s"), "m").orderBy("m").collect()]
