@@ -289,7 +289,8 @@ def scan(docs: DataFrame, text: str = "text", least: float = 0.85, templates: li
             F.size(F.filter("hits", lambda h: h["name"] == n)).alias("hits"),
         ),
     )
-    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in own], found.alias("licences"))
+    d = d.select("row", found.alias("found"))
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("found").alias("licences"))
 
 
 def summary(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:

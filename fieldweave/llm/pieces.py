@@ -11,8 +11,10 @@ A unit is a run of the space mark and what follows it up to the next mark. No
 piece of the vocabulary has a mark after another character (checked on
 loading), so no merge crosses units. Characters without a piece become bytes.
 
-Null texts count as empty. Very long units work in linear time. Repeated rows
-get a row each; null ids pass through; an empty table gives an empty result.
+Null texts count as empty. Very long units work in linear time. Of pairs with the
+same score the leftmost is merged, as the library does. Repeated rows get a row
+each; null ids pass through; columns called `ids` and `decoded` give way, others
+may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ files only at its end; readers open what the stored manifest lists, so a lost
 executor or a second try leaves at most unlisted files.
 
 Null texts count as empty; a null id is stored as such and comes first. Rows
-with the same id keep a record each, ordered by a hash of the text. An empty
-table gives an empty manifest.
+with the same id keep a record each, ordered by a hash of the text; rows that are
+tied in that too have the same text. Texts of any length are one record. Other
+columns are not read, whatever their names. An empty table gives an empty
+manifest.
 """
 
 from __future__ import annotations
