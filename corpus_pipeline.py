@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import decontaminate, langid, pieces, pii, simhash
-from fieldweave.llm.common import table, written
+from fieldweave.llm.common import place, removed, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, with an id or without."""
     return decontaminate.without_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -62,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; a stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = place(spark, f"pipeline-{name}")
+        docs = written(spark, stage(spark, docs, sf_dir), path)
+        if before is not None:
+            removed(spark, before)
+        before = path
     return docs
