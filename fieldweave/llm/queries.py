@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, licences, passages, pieces, pii, quality, records, simhash
+from . import conversations, decontaminate, html, langid, licences, passages, pieces, pii, quality, records, simhash, topk, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,20 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows.filter("vec_id % 50 = 0"), rows)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -100,9 +114,14 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_records": op9_records,
     "op10_pieces": op10_pieces,
+    "op11_topk": op11_topk,
+    "op12_whitening": op12_whitening,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op5_licences": licences.oracle_sql(),
     "op8_quality": OP8_SQL,
+    "op11_topk": topk.oracle_sql(),
+    "op13_repair": conversations.oracle_sql(),
 }
