@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import let, packed
 
 # Licence notices, opening paragraphs and short full texts, by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
@@ -204,26 +204,44 @@ def _paired(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _windows(places: Column, t: Column, grams: Column) -> Column:
-    """(name, dice) of the windows between two of a template's places in the text's bigrams."""
-    reach = lambda a, b: b - a < t["many"]
-    firsts = F.filter(
-        F.transform(places, lambda a, k: F.struct(a.alias("a"), k.alias("k"))),
-        lambda x: F.coalesce(reach(x["a"], F.get(places, x["k"] + t["few"] - 1)), F.lit(False)),
-    )
-    spans = F.flatten(
-        F.transform(
-            firsts,
-            lambda x: F.transform(
-                F.filter(F.slice(places, x["k"] + t["few"], t["many"] - t["few"] + 1), lambda b: reach(x["a"], b)),
-                lambda b: F.array_distinct(F.slice(grams, x["a"] + 1, b - x["a"] + 1)),
-            ),
-        )
-    )
-    return F.transform(
-        spans,
-        lambda g: F.struct(t["name"].alias("name"), (F.size(F.array_intersect(g, t["grams"])) * 2.0 / (F.size(g) + t["n"])).alias("dice")),
-    )
+def _marks(grams: Column, known: Column) -> Column:
+    """(i, before, gram) for each place of a text's bigrams: where the same bigram was before (-1: nowhere), and the bigram if a template has it."""
+    sorted_by_gram = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    before = lambda pairs, x, k: F.when(F.get(pairs, k - 1)["g"] == x["g"], F.get(pairs, k - 1)["i"]).otherwise(F.lit(-1))
+    marked = lambda pairs: F.transform(pairs, lambda x, k: F.struct(x["i"].alias("i"), before(pairs, x, k).alias("before"), F.when(known(x["g"]), x["g"]).alias("gram")))
+    return F.array_sort(let(sorted_by_gram, marked))
+
+
+def _slid(marks: Column, t: Column, a: Column) -> Column:
+    """The best coefficient of the windows that begin at the place `a` of the template `t` and end at another: one pass over the bigrams after it.
+
+    A bigram is new to the window if it was not there since `a`, so counts are all that is carried along.
+    """
+
+    def step(at: Column, x: Column) -> Column:
+        new = (x["before"] < a).cast("int")
+        sizes = F.struct((at["all"] + new).alias("all"), (at["both"] + F.when(x["hit"], new).otherwise(F.lit(0))).alias("both"), (at["places"] + x["hit"].cast("int")).alias("places"), at["best"].alias("best"))
+        reached = lambda n: F.when(x["hit"] & (n["places"] >= t["few"]), F.greatest(n["best"], n["both"] * 2.0 / (n["all"] + t["n"]))).otherwise(n["best"])
+        return let(sizes, lambda n: F.struct(n["all"].alias("all"), n["both"].alias("both"), n["places"].alias("places"), reached(n).alias("best")))
+
+    begin = F.struct(F.lit(0).alias("all"), F.lit(0).alias("both"), F.lit(0).alias("places"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.slice(marks, a + 1, t["many"]), begin, step, lambda at: at["best"])
+
+
+def _best_window(marks: Column, t: Column) -> Column:
+    """(name, dice) of the best window between two of a template's places in a text, or null where the places lie too far apart."""
+
+    def best(own: Column, places: Column) -> Column:
+        near = lambda a, k: F.coalesce(F.get(places, k + t["few"] - 1) - a < t["many"], F.lit(False))
+        firsts = F.filter(F.transform(places, lambda a, k: F.when(near(a, k), a)), lambda a: a.isNotNull())
+        # One number at a time: windows never lie side by side.
+        return F.aggregate(firsts, F.lit(0.0), lambda most, a: F.greatest(most, _slid(own, t, a)))
+
+    of_template = lambda x: F.coalesce(F.array_contains(t["grams"], x["gram"]), F.lit(False))
+    own = F.transform(marks, lambda x: F.struct(x["before"].alias("before"), of_template(x).alias("hit")))
+    places = F.filter(F.transform(marks, lambda x: F.when(of_template(x), x["i"])), lambda i: i.isNotNull())
+    dice = let(places, lambda at: F.when(F.size(at) >= t["few"], let(own, lambda marks: best(marks, at))))
+    return F.struct(t["name"].alias("name"), F.coalesce(dice, F.lit(0.0)).alias("dice"))
 
 
 def scan(docs: DataFrame, text: str = "text", least: float = 0.85, templates: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -259,21 +277,11 @@ def scan(docs: DataFrame, text: str = "text", least: float = 0.85, templates: li
     )
     d = d.withColumn("all", _paired(_split(F.col("text"))))
     every = sorted({g for _, t in templates for g in bigrams(t)})
-    d = d.withColumn("known", F.filter(F.transform("all", lambda g, i: F.when(g.isin(*every), F.struct(i.alias("i"), g.alias("g")))), lambda x: x.isNotNull()))
-    # Wrapped into an array of one, a template's places are computed once.
-    windows = F.flatten(
-        F.transform(
-            known,
-            lambda t: F.flatten(
-                F.transform(
-                    F.array(F.transform(F.filter("known", lambda x: F.array_contains(t["grams"], x["g"])), lambda x: x["i"])),
-                    lambda places: _windows(places, t, F.col("all")),
-                )
-            ),
-        )
-    )
+    known_grams = lambda g: g.isin(*every)
+    d = d.withColumn("marks", F.when(F.exists("all", known_grams), _marks(F.col("all"), known_grams)))
     d = d.withColumn("hits", F.filter(hits, lambda h: h["dice"] >= least - 1e-9))
-    d = d.withColumn("windows", F.when(F.size("known") > 0, F.filter(windows, lambda h: h["dice"] >= least - 1e-9)).otherwise(F.slice("hits", 1, 0)))
+    windows = F.filter(F.transform(known, lambda t: _best_window(F.col("marks"), t)), lambda h: h["dice"] >= least - 1e-9)
+    d = d.withColumn("windows", F.when(F.col("marks").isNotNull(), windows).otherwise(F.slice("hits", 1, 0)))
     best = lambda hits, n: F.array_max(F.transform(F.filter(hits, lambda h: h["name"] == n), lambda h: h["dice"]))
     better = F.filter(
         F.transform(F.array_distinct(F.transform("windows", lambda h: h["name"])), lambda n: F.struct(n.alias("name"), best("windows", n).alias("dice"))),
