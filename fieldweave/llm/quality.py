@@ -1,15 +1,17 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-Every rule is a Boolean column over the raw text. On a bounded sample the job
-times each rule by itself, from the text, against a job that asks nothing, and
-counts what it rejects; the cascade then asks the rules in order of rejections
-per second, and a document stops at the first rule that rejects it, so what
-later rules would need is not computed. The order changes only what is computed,
-never whether a document stays.
-
-`verdicts` is the bare cascade. `quality_rules` also gives the base counts, which
-it has to compute for every row; there the base condition comes first, from these
-counts, and only documents that pass it enter the cascade of the other rules.
+Every rule is a Boolean column. On a bounded sample the job times each rule by
+itself against a job that asks nothing, and counts what it rejects; the cascade
+then asks the rules in order of rejections per second, and a document stops at
+the first rule that rejects it, so what later rules would need is not computed.
+Rules are timed in the form in which they are asked. The order changes only what
+is computed, never whether a document stays.
+
+`verdicts` is the bare cascade: its rules look at the raw text. `quality_rules`
+also gives the base counts, which it has to compute for every row; there the base
+condition comes first, from these counts, and only documents that pass it enter
+the cascade of the other rules, which look at counts and words that are there:
+comparisons of counts go before walks over the words unless these reject far more.
 
 Words are maximal runs of anything but the six ASCII white-space characters.
 A null text counts as an empty one, and so do texts without a word: they fail.
@@ -27,10 +29,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, packed
+from .common import SPACES, let, packed
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\f\r"
+SYMBOLS = "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -42,11 +43,6 @@ class Rule:
     rejects: Column
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
@@ -56,22 +52,24 @@ def n_words(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, BLANKS, "")).cast("long")
+    return F.length(F.regexp_replace(text, SPACES, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(text, F.lit(SYMBOLS)).cast("long")
 
 
 def lines(text: Column) -> Column:
     """Lines with a word."""
-    return F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, BLANKS, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _windows(w: Column) -> Column:
-    """A 64-bit hash of every three words in a row."""
-    three = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), three))
+    """A 64-bit hash of every three words in a row; each word is hashed once."""
+    n = F.size(w)
+    near = lambda h, k: F.slice(h, k, n - 2)
+    pairs = lambda h: F.zip_with(near(h, 1), near(h, 2), lambda a, b: F.xxhash64(a, b))
+    return F.when(n >= 3, let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.zip_with(pairs(h), near(h, 3), lambda a, b: F.xxhash64(a, b))))
 
 
 def _repeats(windows: Column) -> Column:
@@ -87,7 +85,8 @@ def _covered(repeats: Column) -> Column:
     same = lambda x, i: F.coalesce(x["h"] == F.get(repeats, i)["h"], F.lit(False))
     again = F.filter(repeats, lambda x, i: same(x, i - 1) | same(x, i + 1))
     at = F.flatten(F.transform(again, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2)))
-    return F.coalesce(F.size(F.array_distinct(at)), F.lit(0)).cast("long")
+    # The size of a null array is -1 or null, as ANSI mode is off or on.
+    return F.when(repeats.isNotNull(), F.size(F.array_distinct(at))).otherwise(F.lit(0)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -108,7 +107,7 @@ def _duplicates(x: Column) -> Column:
 
 def raw_inputs(text: str = "text") -> Inputs:
     t = F.col(text)
-    return Inputs(n_words(t), word_chars(t), n_symbols(t), F.size(lines(t)).cast("long"), _let(lines(t), _duplicates), words(t))
+    return Inputs(n_words(t), word_chars(t), n_symbols(t), F.size(lines(t)).cast("long"), let(lines(t), _duplicates), words(t))
 
 
 def measured(texts: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def measured(texts: DataFrame) -> DataFrame:
     d = d.withColumn("repeats", _repeats(F.col("windows"))).withColumn("lines", lines(t))
     return (
         d.withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("word_chars", word_chars(t))
+        .withColumn("word_chars", F.length(F.concat_ws("", "words")).cast("long"))
         .withColumn("n_symbols", n_symbols(t))
         .withColumn("n_lines", F.size("lines").cast("long"))
         .withColumn("n_dup_lines", _duplicates(F.col("lines")))
@@ -133,7 +132,7 @@ def measured(texts: DataFrame) -> DataFrame:
 def base_rules(x: Inputs | None = None) -> list[Rule]:
     """The base condition in two rules."""
     x = x or raw_inputs()
-    repeated = _let(x.words, lambda w: _let(_windows(w), lambda h: _let(_repeats(h), _covered)))
+    repeated = let(x.words, lambda w: let(_windows(w), lambda h: let(_repeats(h), _covered)))
     return [Rule("few_words", x.n_words < 50), Rule("repeated_words", repeated * 100 > x.n_words * 50)]
 
 
@@ -181,10 +180,10 @@ def cascade(rules: list[Rule]) -> Column:
     return out
 
 
-def fitted_order(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, seed: int = 17) -> list[Rule]:
-    """`rules` in the order that a sample of at most `sample_rows` texts gives."""
-    share = min(1.0, 2.0 * sample_rows / max(docs.count(), 1))
-    sample = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).sample(share, seed).limit(sample_rows).cache()
+def fitted_order(texts: DataFrame, rules: list[Rule], sample_rows: int = 1000, seed: int = 17) -> list[Rule]:
+    """`rules` in the order that a sample of at most `sample_rows` rows gives; `texts` has what the rules look at."""
+    share = min(1.0, 2.0 * sample_rows / max(texts.count(), 1))
+    sample = texts.sample(share, seed).limit(sample_rows).cache()
     try:
         sample.count()
         return [x[0] for x in ordered(sample, rules)]
@@ -192,11 +191,15 @@ def fitted_order(docs: DataFrame, rules: list[Rule], text: str = "text", sample_
         sample.unpersist()
 
 
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return packed(docs, text).select("row", F.coalesce("c0", F.lit("")).alias("text"))
+
+
 def verdicts(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = 1000, seed: int = 17) -> DataFrame:
     """`docs` with `failed_rule` and `kept` by the bare cascade, base rules included."""
-    order = fitted_order(docs, [*base_rules(), *default_rules()] if rules is None else rules, text, sample_rows, seed)
+    d = _texts(docs, text)
+    order = fitted_order(d.select("text"), [*base_rules(), *default_rules()] if rules is None else rules, sample_rows, seed)
     own = [c for c in docs.columns if c.lower() not in ("failed_rule", "kept")]
-    d = packed(docs, text).select("row", F.coalesce("c0", F.lit("")).alias("text"))
     d = d.select("row", cascade(order).alias("failed_rule"))
     return d.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "failed_rule", F.col("failed_rule").isNull().alias("kept"))
 
@@ -205,15 +208,13 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     """`docs` with the base counts, `base_failed`, `failed_rule` and `kept`.
 
     `sample_rows` bounds what the order of the rules is fitted on. The default
-    rules are timed from raw text and then asked over the counts.
+    rules look at the counts and words that are there already, and so do their times.
     """
-    order = fitted_order(docs, default_rules() if rules is None else rules, text, sample_rows, seed)
-    if rules is None:
-        counted = default_rules(Inputs(*[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "words")]))
-        order = [next(r for r in counted if r.name == x.name) for x in order]
+    rules = default_rules(Inputs(*[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "words")])) if rules is None else rules
+    d = measured(_texts(docs, text))
+    order = fitted_order(d.select("text", "words", "n_lines", *COUNTS), rules, sample_rows, seed)
     new = (*COUNTS, "base_failed", "failed_rule", "kept")
     own = [c for c in docs.columns if c.lower() not in new]
-    d = measured(packed(docs, text).select("row", F.coalesce("c0", F.lit("")).alias("text")))
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     d = d.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
     return d.withColumn("kept", F.col("failed_rule").isNull()).select(*[F.col(f"row.`{c}`").alias(c) for c in own], *new)
