@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 from math import log1p
@@ -38,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
+#: A tag ends at the first > outside quotes; after a tag that has none such, quotes say nothing and any > ends one.
+_TAG, _LOOSE = (re.compile(x, re.S) for x in (
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
-    re.S,
-)
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+))
+#: A name begins where a run of name characters does and takes all of it, so that no run is read twice.
+_ATTR = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 
 # What HTML says about tags, and the names that page furniture goes by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,7 +67,7 @@ FURNITURE = frozenset(
 )
 ARTICLE = frozenset("article main content post entry story body text articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 FEATURES = (
     "log_chars", "log_words", "density", "link_share", "tags_per_word", "furniture", "furniture_above", "article", "article_above",
     "depth", "heading", "paragraph", "list", "table", "link", "inline", "children", "place", "same_siblings", "share_of_parent",
@@ -93,7 +95,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     stream: list[tuple[int, str | None]] = []
     stack = [0]
     open_at: dict[str, list[int]] = {}  # places in the stack by tag, and of all blocks
-    at, n = 0, len(html)
+    at, n, tag_at = 0, len(html), _TAG
 
     def text(a: int, b: int) -> None:
         if a < b:
@@ -115,16 +117,21 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         return max((places[-1] for t in tags if (places := open_at.get(t))), default=0)
 
     while at < n:
-        m = _TAG.search(html, at)
+        m = tag_at.search(html, at)
         if not m:
             text(at, n)
             break
         text(at, m.start())
         at = m.end()
-        name = m[2] or m[5]
+        found = m.groups()
+        if found[1] is None and len(found) > 3:
+            if found[4] is not None:
+                tag_at = _LOOSE
+            found = found[3:]
+        closing, name, attributes = found[:3]
         if not name:
             continue
-        tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        tag = name.lower()
         if closing:
             k = last(tag)
             if k and (tag in _ACROSS_CELLS or k >= last("td", "th", "table")):
@@ -334,9 +341,9 @@ def _assembled(nodes: list[Node], stream: list[tuple[int, str | None]], odds: np
     return "\n".join(out)
 
 
-def main_texts(pages: list[str], trees: Trees | Model, together: int = 20_000) -> Iterator[str]:
-    """The main text of each page; elements of many pages are scored at once."""
-    waiting, n = [], 0
+def main_texts(pages: Iterable[str], trees: Trees | Model, together: int = 20_000, most: int = 4_000_000) -> Iterator[str]:
+    """The main text of each page; elements of many pages are scored at once, of some `most` characters together."""
+    waiting, n, size = [], 0, 0
 
     def flush() -> Iterator[str]:
         odds = trees.score(np.concatenate([x for _, _, x in waiting]))
@@ -349,9 +356,10 @@ def main_texts(pages: list[str], trees: Trees | Model, together: int = 20_000) -
         nodes, stream = parse(page)
         waiting.append((nodes, stream, describe(nodes, stream)))
         n += len(nodes)
-        if n > together:
+        size += len(page)
+        if n > together or size > most:
             yield from flush()
-            waiting, n = [], 0
+            waiting, n, size = [], 0, 0
     if waiting:
         yield from flush()
 
@@ -397,7 +405,7 @@ def extract(pages: DataFrame, trees: Trees | Model | None = None, html: str = "h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = own.index(html)
         for b in batches:
-            found = list(main_texts([t or "" for t in b.column(at).to_pylist()], trees))
+            found = list(main_texts((t.as_py() or "" for t in b.column(at)), trees))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*own, "text", "n_chars"])
 
     return pages.select(*own).mapInArrow(run, schema)
