@@ -11,6 +11,10 @@ A unit is a run of the space mark and what follows it up to the next mark. No
 piece of the vocabulary has a mark after another character (checked on
 loading), so no merge crosses units. Characters without a piece become bytes.
 
+The automaton's matches are taken as the walk goes, for a stretch of a unit at a
+time, so a long unit takes the memory of its ids and no more, and long units are
+not remembered.
+
 Null texts count as empty. Very long units work in linear time. Of pairs with the
 same score the leftmost is merged, as the library does. Repeated rows get a row
 each; null ids pass through; columns called `ids` and `decoded` give way, others
@@ -21,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -33,6 +39,8 @@ from pyspark.sql import types as T
 from .common import TwoAges
 
 MARK = "▁"
+_STRETCH = 256
+_REMEMBERED = 200
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -55,6 +63,7 @@ class PieceEncoder:
                 self.text[i], self.score[piece] = piece, (m.get_score(i), i)
         if len(self.byte) != 256 or any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score):
             raise ValueError("the model needs byte fallback, and no piece with a mark after another character")
+        self.longest = max(map(len, self.score), default=1)
         self.automaton = ahocorasick.Automaton()
         for piece, (_, i) in self.score.items():
             self.automaton.add_word(piece, (len(piece), i))
@@ -67,18 +76,29 @@ class PieceEncoder:
         self.bos, self.eos = m.bos_id(), m.eos_id()
 
     def merged(self, text: str) -> list[str]:
-        """The pieces (or characters without one) that merging the best pair again and again gives."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s[0] > best):
-                    best, at = s[0], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The pieces (or characters without one) that merging the best pair again and again gives, the leftmost of equally good ones first."""
+        score, n = self.score, len(text)
+        size, before = [1] * n, list(range(-1, n - 1))  # of the part that starts at a place; 0: no part does any more
+
+        def pair(a: int) -> tuple[float, int, int] | None:
+            b = a + size[a]
+            found = score.get(text[a : b + size[b]]) if b < n else None
+            return found and (-found[0], a, b + size[b])
+
+        waiting = [x for a in range(n) if (x := pair(a))]
+        heapify(waiting)
+        while waiting:
+            _, a, end = heappop(waiting)
+            b = a + size[a]
+            if not size[a] or b >= n or b + size[b] != end:
+                continue  # one of the two has been merged since
+            size[a], size[b] = end - a, 0
+            if end < n:
+                before[end] = a
+            for left in (before[a], a):
+                if left >= 0 and (x := pair(left)):
+                    heappush(waiting, x)
+        return [text[a : a + k] for a, k in enumerate(size) if k]
 
     def fit(self, left: int, right: int) -> bool:
         """Whether two neighbours survive a merge of their text; left -1: whether one piece does."""
@@ -91,64 +111,75 @@ class PieceEncoder:
             found = self.fits[key] = self.merged("".join(want)) == want
         return found
 
-    def known(self, text: str) -> list[int]:
+    def known(self, text: str) -> array:
         """The ids of a text all of whose characters have pieces."""
-        n = len(text)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, i) in self.automaton.iter(text):
-            at[end - size + 1].append((size, i))  # shorter ones come first
+        n, score, fit = len(text), self.score, self.fit
         dead = bytearray(n // 8 + 1)
-        out: list[tuple[int, int]] = []  # (rank among the matches of its place, size)
-        ids: list[int] = []
-        place, rank = 0, len(at[0]) - 1
-        fit = self.fit
+        sizes, ids = array("H"), array("I")
+        place, size = 0, 0  # 0: the longest piece at the place, else the longest that may still be tried
+        ahead, until = None, 0  # the automaton's longest matches one after another, from a place on and for a stretch
         while place < n:
-            here, last = at[place], ids[-1] if ids else -1
-            while rank >= 0:
-                size, i = here[rank]
+            if not size:
+                if ahead is None or (place + self.longest > until and until < n):
+                    until = min(n, place + _STRETCH)
+                    ahead = self.automaton.iter_long(text[place:until])
+                size = next(ahead)[1][0]
+                longest = size
+            else:
+                ahead, longest = None, 0
+            last = ids[-1] if ids else -1
+            while size:
+                found = score.get(text[place : place + size])
                 end = place + size
-                if not dead[end >> 3] >> (end & 7) & 1 and fit(last, i):
+                if found is not None and not dead[end >> 3] >> (end & 7) & 1 and fit(last, found[1]):
                     break
-                rank -= 1
-            if rank >= 0:
-                ids.append(i)
-                out.append((rank, size))
-                place = end
-                if place < n:
-                    rank = len(at[place]) - 1
-            else:
+                size -= 1
+            if size:
+                if size != longest:
+                    ahead = None
+                ids.append(found[1])
+                sizes.append(size)
+                place, size = end, 0
+                continue
+            while not size:  # nothing fits: back to a place where something shorter may
                 if not ids:
                     raise ValueError("no sequence of pieces gives this text")
                 dead[place >> 3] |= 1 << (place & 7)
                 ids.pop()
-                rank, size = out.pop()
+                size = sizes.pop()
                 place -= size
+                size -= 1
         return ids
 
-    def unit(self, text: str) -> list[int]:
+    def unit(self, text: str) -> array:
         """The ids of a unit; characters without a piece become their bytes."""
         if self.inner and not self.inner.isdisjoint(text):
-            out = []
+            out = array("I")
             for p in self.merged(text):
                 s = self.score.get(p)
-                out += [s[1]] if s else [self.byte[x] for x in p.encode()]
+                out.extend([s[1]] if s else [self.byte[x] for x in p.encode()])
             return out
         if self.single.issuperset(text):
             return self.known(text)
-        out, run = [], ""
+        out = array("I")
         begin = 0
         for k, c in enumerate(text):
             if c not in self.single:
-                run = text[begin:k]
-                out += (self.known(run) if run else []) + [self.byte[x] for x in c.encode()]
+                if begin < k:
+                    out.extend(self.known(text[begin:k]))
+                out.extend([self.byte[x] for x in c.encode()])
                 begin = k + 1
-        run = text[begin:]
-        return out + (self.known(run) if run else [])
+        if begin < len(text):
+            out.extend(self.known(text[begin:]))
+        return out
+
+    def _encoded(self, key: str) -> bytes:
+        ids = self.unit(key if key[:1] in ("\n", MARK) else MARK + key)
+        return np.array(ids, dtype="<u4").tobytes()
 
     def _learn(self, held: dict[str, bytes], keys: set[str]) -> None:
         for key in keys:
-            whole = key if key[:1] in ("\n", MARK) else MARK + key
-            held[key] = np.array(self.unit(whole), dtype="<u4").tobytes()
+            held[key] = self._encoded(key)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, without begin and end, as little-endian unsigned 32-bit integers.
@@ -158,11 +189,15 @@ class PieceEncoder:
         """
         if not text:
             return b""
-        keys = text.replace(MARK, " ").replace("\n", " \n").split(" ")
-        if "" in keys:
+        spaced = text.replace(MARK, " ").replace("\n", " \n")
+        if "  " in spaced or spaced[0] == " " or spaced[-1] == " ":
             keys = _UNITS.findall(MARK + text.replace(" ", MARK))
-        held = self.held.fill(set(keys), self._learn)
-        return b"".join([held[k] for k in keys])
+        else:
+            keys = spaced.split(" ")
+        distinct = set(keys)
+        held = self.held.fill({k for k in distinct if len(k) <= _REMEMBERED}, self._learn)
+        long = {k: self._encoded(k) for k in distinct if len(k) > _REMEMBERED}
+        return b"".join([held[k] if len(k) <= _REMEMBERED else long[k] for k in keys])
 
     def encode_with_ends(self, text: str) -> np.ndarray:
         ids = np.frombuffer(self.encode(text), dtype="<u4")
