@@ -84,6 +84,91 @@ def kolmogorov_p(d: float, n: float) -> float:
     return float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))) if t > 0.2 else 1.0
 
 
+def smirnov_p(d: float, n: int) -> float:
+    """The exact p-value of the one-sided distance d of n values, summed in logarithms."""
+    j = np.arange(int(math.floor(n * (1 - d))) + 1, dtype=float)
+    left = 1 - d - j / n
+    j, left = j[left > 0], left[left > 0]
+    if not len(j):
+        return d**n if d < 1 else 0.0
+    logs = math.lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + (j - 1) * np.log(d + j / n) + (n - j) * np.log(left)
+    return float(min(1.0, d * np.exp(logs).sum()))
+
+
+def kolmogorov_exact_p(d: float, n: int, most: int = 10_000) -> float:
+    """The exact two-sided p-value of the one-sample distance d of n values; asymptotic above `most` values.
+
+    The distribution is an entry of the n-th power of a matrix of about 2nd rows,
+    whose powers of two are scaled as they grow. Where the two sides exclude each
+    other, or p is too small to be a difference from one, it is twice the one-sided p.
+    """
+    if not 0 < d < 1 or n < 1:
+        return 1.0 if d <= 0 else 0.0
+    if n > most:
+        return kolmogorov_p(d, n)
+    if 2 * n * d <= 1:
+        return 1.0
+    if d >= 0.5 or n * d * d > 18:
+        return min(1.0, 2 * smirnov_p(d, n))
+    k = int(n * d) + 1
+    m, h = 2 * k - 1, k - n * d
+    i = np.arange(m)
+    # Entries 1/(i-j+1)! on and under the first upper diagonal; the first column and last row lose powers of h.
+    x = i[:, None] - i[None, :] + 1
+    x = np.where(x >= 0, np.exp(-lgamma(np.maximum(x, 0) + 1.0)), 0.0)
+    lost = h ** (i + 1.0) * np.exp(-lgamma(i + 2.0))
+    x[:, 0] -= lost
+    x[-1, :] -= lost[::-1]
+    if 2 * h > 1:
+        x[-1, 0] += (2 * h - 1) ** m * math.exp(-math.lgamma(m + 1))
+    out, scale, x_scale, e = np.eye(m), 0, 0, n
+    while e:
+        if e & 1:
+            out, scale = out @ x, scale + x_scale
+            if out[k - 1, k - 1] > 1e140:
+                out, scale = out * 1e-140, scale + 140
+        e >>= 1
+        if e:
+            x, x_scale = x @ x, 2 * x_scale
+            if x[k - 1, k - 1] > 1e140:
+                x, x_scale = x * 1e-140, x_scale + 140
+    # Times n!/n^n.
+    inside = out[k - 1, k - 1]
+    if inside <= 0:
+        return 1.0
+    return float(min(1.0, max(0.0, -math.expm1(math.log(inside) + scale * math.log(10) + math.lgamma(n + 1) - n * math.log(n)))))
+
+
+def two_sample_p(d: float, n: int, m: int, most: int = 10_000) -> float:
+    """The exact two-sided p-value of the two-sample distance d of n and m values without ties between samples; asymptotic where one has more than `most`.
+
+    Of all lattice paths from (0, 0) to (n, m), the share that reaches a distance
+    of d: a point's share is the mean of its two predecessors' by the number of
+    paths through them, so nothing overflows and small shares keep their digits.
+    """
+    if n < 1 or m < 1:
+        return math.nan
+    if max(n, m) > most:
+        return kolmogorov_p(d, n * m / (n + m))
+    n, m = max(n, m), min(n, m)
+    reach = round(d * math.lcm(n, m))
+    if reach <= 0:
+        return 1.0
+    a, b = math.lcm(n, m) // n, math.lcm(n, m) // m
+    j = np.arange(m + 1)
+    share = np.zeros(m + 1)  # of the points (s - j, j) on one antidiagonal s
+    for s in range(1, n + m + 1):
+        low, high = max(0, s - n), min(s, m)
+        at = j[low : high + 1]
+        i = s - at
+        left = share[low : high + 1] * i  # from (i - 1, j); no such point has i = 0
+        below = np.where(at > 0, share[at - 1], 0.0) * at
+        new = (left + below) / s
+        share = np.zeros(m + 1)
+        share[low : high + 1] = np.where(np.abs(i * a - at * b) >= reach, 1.0, new)
+    return float(min(1.0, share[m]))
+
+
 def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided p-values, by the continued fraction of the incomplete beta function."""
     t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))

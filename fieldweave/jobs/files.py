@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,17 @@ from .registry import query
 _IDS = [q for q, _ in CELLS]
 
 
-@query("read_monthly_wide", "SELECT variable, qid, year, month, R(value) AS value FROM weather_monthly WHERE variable = 'pre'")
+_VARIABLES = ("pre", "tmax", "tmin")
+
+
+@query("read_monthly_wide", "SELECT variable, qid, year, month, R(value) AS value FROM weather_monthly")
 def read_monthly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every variable through a file of its own."""
     path = scratch(spark, "wide")
-    example(spark, sf_dir, "month_wide").groupBy("year", "month").pivot("qid", _IDS).agg(F.first("pre")).write.parquet(path)
-    return tables.read_monthly_wide(spark, path, "pre")
+    wide = example(spark, sf_dir, "month_wide")
+    for v in _VARIABLES:
+        wide.groupBy("year", "month").pivot("qid", _IDS).agg(F.first(v)).write.parquet(f"{path}/{v}")
+    return reduce(DataFrame.unionByName, [tables.read_monthly_wide(spark, f"{path}/{v}", v) for v in _VARIABLES])
 
 
 @query("read_climate", "SELECT year, month, R(mei) AS mei FROM climate")
@@ -29,11 +37,13 @@ def read_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_climate(spark, path, ["mei"])
 
 
-@query("read_trend", "SELECT variable, qid, month, R(slope) AS slope FROM trend WHERE variable = 'tmin'")
+@query("read_trend", "SELECT variable, qid, month, R(slope) AS slope FROM trend")
 def read_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "trend")
-    example(spark, sf_dir, "trend").filter("variable = 'tmin'").groupBy("qid").pivot("month", list(range(1, 13))).agg(F.first("slope")).write.parquet(path)
-    return tables.read_trend(spark, path, "tmin")
+    slopes = example(spark, sf_dir, "trend")
+    for v in _VARIABLES:
+        slopes.filter(F.col("variable") == v).groupBy("qid").pivot("month", list(range(1, 13))).agg(F.first("slope")).write.parquet(f"{path}/{v}")
+    return reduce(DataFrame.unionByName, [tables.read_trend(spark, f"{path}/{v}", v) for v in _VARIABLES])
 
 
 @query("read_daily_by_cell", "SELECT qid, date, R(pre) AS pre, R(tmax) AS tmax FROM weather_daily")

@@ -11,7 +11,7 @@ from ..operators import analytics, distributions, eto, grid, rebuild, seasonal,
 from ..sources.examples import example
 from ..sources.scratch import stored
 from .daily import eto_sql
-from .places import LAT
+from .places import LAT, LON
 from .registry import query
 
 KEYS = ["variable", "qid"]
@@ -37,6 +37,32 @@ def mann_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.mann_kendall(_yearly(spark, sf_dir), ["qid"], "year")
 
 
+_DAYS = "y AS (UNPIVOT (SELECT qid, date, pre, tmax, tmin, rs, rh, u2 FROM weather_daily) ON pre, tmax, tmin, rs, rh, u2 INTO NAME variable VALUE value)"
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["pre", "tmax", "tmin", "rs", "rh", "u2"]
+    return example(spark, sf_dir, "weather_daily").unpivot(["qid", "date"], names, "variable", "value").filter("value is not null")
+
+
+@query(
+    "mann_kendall_daily",
+    f"""WITH {_DAYS}, s AS (SELECT a.variable, a.qid, CAST(sum(sign(b.value - a.value)) AS DOUBLE) AS s FROM y a JOIN y b ON a.variable = b.variable AND a.qid = b.qid AND a.date < b.date GROUP BY ALL),
+t AS (SELECT variable, qid, sum(t) AS n, sum(t * (t - 1)) AS tied, sum(t * (t - 1) * (2 * t + 5)) AS v FROM (SELECT variable, qid, value, count(*) AS t FROM y GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT variable, qid, CAST(n AS BIGINT) AS n, s, 2 * s / (sqrt(n * (n - 1)) * sqrt(n * (n - 1) - tied)) AS tau, -abs(s / sqrt((n * (n - 1) * (2 * n + 5) - v) / 18e0)) AS z FROM s JOIN t USING (variable, qid))
+SELECT variable, qid, n, R(s) AS s, R(tau) AS tau, R(2 * {normal.cdf_sql('z')}) AS p FROM z""",
+)
+def mann_kendall_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every variable's days, cell by cell."""
+    return trend.mann_kendall(_days(spark, sf_dir), KEYS, "date")
+
+
+@query("theil_sen_daily")
+def theil_sen_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every variable's days, cell by cell; the slopes of all pairs are too many for SQL."""
+    return trend.theil_sen(_days(spark, sf_dir), KEYS, "date")
+
+
 @query("mann_kendall_exact")
 def mann_kendall_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the exact p of short series without ties."""
@@ -78,24 +104,23 @@ def linear_trend_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "decompose_daily",
-    """WITH t AS (SELECT qid, date, tmax, CASE WHEN count(*) OVER w = 365 THEN avg(tmax) OVER w END AS trend FROM weather_daily WINDOW w AS (PARTITION BY qid ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
-s AS (SELECT *, avg(tmax - trend) OVER (PARTITION BY qid, dayofyear(date)) AS seasonal FROM t)
-SELECT qid, date, R(trend) AS trend, R(seasonal) AS seasonal, R(tmax - trend - seasonal) AS residual FROM s""",
+    f"""WITH {_DAYS}, t AS (SELECT *, CASE WHEN count(*) OVER w = 365 THEN avg(value) OVER w END AS trend FROM y WINDOW w AS (PARTITION BY variable, qid ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
+s AS (SELECT *, avg(value - trend) OVER (PARTITION BY variable, qid, dayofyear(date)) AS seasonal FROM t)
+SELECT variable, qid, date, R(trend) AS trend, R(seasonal) AS seasonal, R(value - trend - seasonal) AS residual FROM s""",
 )
 def decompose_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = example(spark, sf_dir, "weather_daily").withColumn("doy", F.dayofyear("date"))
-    return trend.decompose(d, ["qid"], ["date"], "doy", 182, 182, "tmax").select("qid", "date", "trend", "seasonal", "residual")
+    d = _days(spark, sf_dir).withColumn("doy", F.dayofyear("date"))
+    return trend.decompose(d, KEYS, ["date"], "doy", 182, 182).select("variable", "qid", "date", "trend", "seasonal", "residual")
 
 
 @query(
     "decompose_monthly",
-    """WITH t AS (SELECT *, CASE WHEN count(*) OVER w = 12 THEN avg(value) OVER w END AS trend FROM weather_monthly WHERE variable <> 'pre' WINDOW w AS (PARTITION BY variable, qid ORDER BY year, month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)),
+    """WITH t AS (SELECT *, CASE WHEN count(*) OVER w = 12 THEN avg(value) OVER w END AS trend FROM weather_monthly WINDOW w AS (PARTITION BY variable, qid ORDER BY year, month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)),
 s AS (SELECT *, avg(value / nullif(trend, 0)) OVER (PARTITION BY variable, qid, month) AS seasonal FROM t)
 SELECT variable, qid, year, month, R(trend) AS trend, R(seasonal) AS seasonal, R(value / nullif(trend * seasonal, 0)) AS residual FROM s""",
 )
 def decompose_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = example(spark, sf_dir, "weather_monthly").filter("variable <> 'pre'")
-    out = trend.decompose(d, KEYS, ["year", "month"], "month", 6, 5, multiplicative=True)
+    out = trend.decompose(example(spark, sf_dir, "weather_monthly"), KEYS, ["year", "month"], "month", 6, 5, multiplicative=True)
     return out.select("variable", "qid", "year", "month", "trend", "seasonal", "residual")
 
 
@@ -104,10 +129,11 @@ def detrend_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.detrend(example(spark, sf_dir, "weather_monthly"), example(spark, sf_dir, "trend"), 2000, KEYS).select("variable", "qid", "year", "month", "value")
 
 
-@query("detrend_daily", "SELECT qid, date, R(tmax + (2000 - year(date)) * slope) AS value FROM weather_daily d JOIN trend t USING (qid) WHERE t.variable = 'tmax' AND t.month = month(d.date)")
+@query("detrend_daily", f"WITH {_DAYS} SELECT variable, qid, date, R(value + (2000 - year(date)) * slope) AS value FROM y JOIN trend t USING (variable, qid) WHERE t.month = month(y.date)")
 def detrend_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = example(spark, sf_dir, "weather_daily").select("qid", "date", F.year("date").alias("year"), F.month("date").alias("month"), F.col("tmax").alias("value"))
-    return trend.detrend(d, example(spark, sf_dir, "trend").filter("variable = 'tmax'"), 2000, ["qid"]).select("qid", "date", "value")
+    """Every variable that has a trend."""
+    d = _days(spark, sf_dir).withColumns({"year": F.year("date"), "month": F.month("date")})
+    return trend.detrend(d, example(spark, sf_dir, "trend"), 2000, KEYS).select("variable", "qid", "date", "value")
 
 
 # Distributions
@@ -362,6 +388,23 @@ def pca_eof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.with_lonlat(_hist_pca(spark, sf_dir)[0]).select("variable", "season", "mode", "qid", "lon", "lat", "loading")
 
 
+@query(
+    "eof_cube",
+    f"""WITH {_ANOM}, k AS (SELECT variable, season, count(DISTINCT year) AS years, count(DISTINCT qid) AS cells FROM am WHERE anom IS NOT NULL GROUP BY ALL),
+c AS (SELECT DISTINCT variable, season, qid FROM am WHERE anom IS NOT NULL)
+SELECT variable, season, qid, R({LON}) AS lon, R({LAT}) AS lat, CAST(least(years - 1, cells) AS BIGINT) AS modes, R(1) AS ortho FROM c JOIN k USING (variable, season)""",
+)
+def eof_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading patterns as a long cube with coordinates, a row for each cell; `ortho` is its part in the patterns' squared lengths, summed over cells.
+
+    Every pattern has length one, so the mean over modes of the sum over cells is one.
+    """
+    cube = pca_eof(spark, sf_dir)
+    keys = ["variable", "season"]
+    length = cube.groupBy(*keys, "mode").agg(F.sum(F.pow("loading", F.lit(2))).alias("_l")).groupBy(*keys).agg(F.avg("_l").alias("ortho"))
+    return cube.groupBy(*keys, "qid", "lon", "lat").agg(F.count("*").alias("modes")).join(F.broadcast(length), keys).select(*keys, "qid", "lon", "lat", "modes", "ortho")
+
+
 @query("pca_scores")
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hist_pca(spark, sf_dir)[1]
@@ -736,7 +779,7 @@ def similarity_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similarity_ks_p")
 def similarity_ks_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seasonal.with_kolmogorov_p(similarity_ks(spark, sf_dir), F.col("n_hist") * F.col("n_stoc") / (F.col("n_hist") + F.col("n_stoc")))
+    return seasonal.with_two_sample_p(similarity_ks(spark, sf_dir))
 
 
 _X = ("pre", "tmax", "tmin", "mei")
@@ -873,7 +916,7 @@ def all_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similarity_ks_all_p")
 def similarity_ks_all_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seasonal.with_kolmogorov_p(_similarity(spark, sf_dir), F.col("n_hist") * F.col("n_stoc") / (F.col("n_hist") + F.col("n_stoc")))
+    return seasonal.with_two_sample_p(_similarity(spark, sf_dir))
 
 
 # Row sets

@@ -59,20 +59,25 @@ def qtid_to_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ll_to_qtid(spark, sf_dir).select("id", lon.alias("lon"), lat.alias("lat"))
 
 
-# Grids around the suppliers' points: a 4 by 3 degree box whose corner is the rounded point.
-_BOX = """SELECT id, CAST(floor(lon) AS INT) AS x0, CAST(floor(lat) AS INT) AS y0 FROM points WHERE lon < 175 AND lat BETWEEN -85 AND 85"""
+# Grids around the suppliers' points: a 4 by 3 degree box whose corner is the rounded point; boxes go on beyond the date line and end at the pole.
+_BOX = """SELECT id, CAST(floor(lon) AS INT) AS x0, CAST(least(floor(lat), 87) AS INT) AS y0 FROM points"""
 _GRID = f"""
 WITH box AS ({_BOX}),
-g AS (SELECT id, x0 + 0.5e0 + i AS lon, y0 + 0.5e0 + j AS lat FROM box CROSS JOIN (SELECT unnest(range(4)) AS i) CROSS JOIN (SELECT unnest(range(3)) AS j))
+u AS (SELECT id, x0 + 0.5e0 + i AS x, y0 + 0.5e0 + j AS lat FROM box CROSS JOIN (SELECT unnest(range(4)) AS i) CROSS JOIN (SELECT unnest(range(3)) AS j)),
+g AS (SELECT id, x, CASE WHEN x >= 180 THEN x - 360 ELSE x END AS lon, lat FROM u)
 """
 _GRID_QID = code_sql("lon", "lat", 1.0, 256.0, 9)
 
 
+def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return example(spark, sf_dir, "points").select("id", F.floor("lon").cast("int").alias("x0"), F.least(F.floor("lat"), F.lit(87)).cast("int").alias("y0"))
+
+
 def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of a world grid at one degree that lie in the boxes, by cell id."""
-    box = example(spark, sf_dir, "points").filter("lon < 175 and lat between -85 and 85").select("id", F.floor("lon").cast("int").alias("x0"), F.floor("lat").cast("int").alias("y0"))
+    box = _corners(spark, sf_dir)
     wanted = box.select("id", F.explode(F.sequence("x0", F.col("x0") + 3)).alias("x"), "y0").select("id", "x", F.explode(F.sequence("y0", F.col("y0") + 2)).alias("y"))
-    wanted = wanted.select("id", grid.ll_to_qid(F.col("x") + 0.5, F.col("y") + 0.5, 1.0).alias("qid"))
+    wanted = wanted.select("id", grid.ll_to_qid(F.when(F.col("x") >= 180, F.col("x") - 359.5).otherwise(F.col("x") + 0.5), F.col("y") + 0.5, 1.0).alias("qid"))
     return wanted.join(grid.make_grid(spark, 1.0), "qid").select("id", "qid", "lon", "lat")
 
 
@@ -97,20 +102,20 @@ _EDGES = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(_
 @query(
     "polygon_mask",
     f"""{_GRID}, e(x1, y1, x2, y2) AS (VALUES {_EDGES}),
-j AS (SELECT id, lon, lat, (y0 + y1 > lat) <> (y0 + y2 > lat) AND lon < x0 + x1 + (lat - y0 - y1) * (x2 - x1) / nullif(y2 - y1, 0) AS hit,
-  least(greatest(((lon - x0 - x1) * (x2 - x1) + (lat - y0 - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, x0, y0, x1, y1, x2, y2
+j AS (SELECT id, x, lon, lat, (y0 + y1 > lat) <> (y0 + y2 > lat) AND x < x0 + x1 + (lat - y0 - y1) * (x2 - x1) / nullif(y2 - y1, 0) AS hit,
+  least(greatest(((x - x0 - x1) * (x2 - x1) + (lat - y0 - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, x0, y0, x1, y1, x2, y2
   FROM g JOIN box USING (id) CROSS JOIN e),
 m AS (SELECT id, lon, lat, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS n,
-  min(sqrt((lon - x0 - x1 - t * (x2 - x1)) * (lon - x0 - x1 - t * (x2 - x1)) + (lat - y0 - y1 - t * (y2 - y1)) * (lat - y0 - y1 - t * (y2 - y1)))) AS gap
+  min(sqrt((x - x0 - x1 - t * (x2 - x1)) * (x - x0 - x1 - t * (x2 - x1)) + (lat - y0 - y1 - t * (y2 - y1)) * (lat - y0 - y1 - t * (y2 - y1)))) AS gap
   FROM j GROUP BY id, lon, lat)
 SELECT id, R(lon) AS lon, R(lat) AS lat, n % 2 = 1 OR gap <= 0.25 AS mask FROM m""",
 )
 def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An L-shaped ring in every box, grown by a quarter of a degree; each box's cells meet its own ring."""
-    cells = _boxed(spark, sf_dir)
-    ring = F.array(*[F.struct((F.floor("lon") + x).alias("lon"), (F.floor("lat") + y).alias("lat")) for x, y in _RING])
-    rings = example(spark, sf_dir, "points").filter("lon < 175 and lat between -85 and 85").select("id", ring.alias("ring"))
-    return grid.polygon_mask(cells, grid.polygon_edges(rings, "id"), 0.25, "id", equal=["id"]).select("id", "lon", "lat", "mask")
+    """An L-shaped ring in every box, grown by a quarter of a degree; the cells of the world meet the blocks that cover the rings."""
+    ring = F.array(*[F.struct((F.col("x0") + x).alias("lon"), (F.col("y0") + y).alias("lat")) for x, y in _RING])
+    rings = _corners(spark, sf_dir).select("id", ring.alias("ring"))
+    found = grid.polygon_cells(grid.make_grid(spark, 1.0), rings, 1.0, 0.25, "id").select("id", "qid", F.lit(True).alias("mask"))
+    return _boxed(spark, sf_dir).join(found, ["id", "qid"], "left").select("id", "lon", "lat", F.coalesce("mask", F.lit(False)).alias("mask"))
 
 
 @query("area_weights", f"SELECT id, R(sqrt(cos(radians({LAT})))) AS weight FROM (SELECT id, {QID} AS qid FROM points)")
@@ -148,12 +153,12 @@ def haversine_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "attach_lonlat",
-    f"""SELECT source, qid, year, month, R({LON}) AS lon, R({LAT}) AS lat, R(value) AS value FROM (
-  SELECT 'hist' AS source, * FROM hist_monthly UNION ALL SELECT 'stoc', * FROM stoc_monthly) WHERE variable = 'pre'""",
+    f"""SELECT source, variable, qid, year, month, R({LON}) AS lon, R({LAT}) AS lat, R(value) AS value FROM (
+  SELECT 'hist' AS source, * FROM hist_monthly UNION ALL SELECT 'stoc', * FROM stoc_monthly)""",
 )
 def attach_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = example(spark, sf_dir, "hist_monthly").withColumn("source", F.lit("hist")).unionByName(example(spark, sf_dir, "stoc_monthly").withColumn("source", F.lit("stoc")))
-    return grid.with_lonlat(both.filter("variable = 'pre'")).select("source", "qid", "year", "month", "lon", "lat", "value")
+    return grid.with_lonlat(both).select("source", "variable", "qid", "year", "month", "lon", "lat", "value")
 
 
 @query("spatial_bbox", f"SELECT id, R({LON}) AS lon, R({LAT}) AS lat FROM (SELECT id, {QID} AS qid FROM points) WHERE {LON} BETWEEN -60 AND 60 AND {LAT} BETWEEN -30 AND 30")

@@ -117,35 +117,54 @@ def cell_polygon(lon: Column, lat: Column, res: float) -> Column:
     return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *ring), F.lit("))"))
 
 
-def polygon_edges(rings: DataFrame, name: str = "name", ring: str = "ring") -> DataFrame:
-    """(name, x1, y1, x2, y2): the edges of closed rings given as arrays of (lon, lat) structs."""
-    n = F.size(ring)
-    edges = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1)).alias("b")),
-    )
-    return rings.select(name, F.explode(edges).alias("e")).select(
-        name, F.col("e.a.lon").alias("x1"), F.col("e.a.lat").alias("y1"), F.col("e.b.lon").alias("x2"), F.col("e.b.lat").alias("y2")
-    )
-
-
-def polygon_mask(cells: DataFrame, edges: DataFrame, buff: float = 0.0, name: str = "name", equal: list[str] | None = None) -> DataFrame:
-    """(name, qid, lon, lat, mask) for every cell and polygon, or only for those with the same `equal` columns.
-
-    Inside means an odd number of crossings of a line to the east, or a distance
-    of at most `buff` to an edge. The edge table is the small side of the join.
+def polygon_cells(cells: DataFrame, rings: DataFrame, res: float, buff: float = 0.0, name: str = "name", ring: str = "ring", up: int = 3) -> DataFrame:
+    """(name, qid, lon, lat) of the cells in each closed ring grown by `buff`, without pairing cells with polygons.
+
+    Every ring is covered with blocks of the quadtree, 2**up cells wide: blocks that
+    no edge comes near lie in it or out of it as a whole, others carry the edges of
+    their latitudes. A block's number is the upper part of its cells' ids, so cells
+    find their blocks by an equality join, and only cells of edge blocks look at
+    edges. Rings may run over the date line with longitudes beyond 180 degrees; a
+    ring is less than 360 degrees wide.
     """
-    px, py = F.col("lon"), F.col("lat")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    crosses = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < F.col("x1") + F.try_divide((py - F.col("y1")) * dx, dy))
-    along = F.least(F.greatest(F.coalesce(F.try_divide((px - F.col("x1")) * dx + (py - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    gap = F.sqrt(F.pow(px - F.col("x1") - along * dx, F.lit(2)) + F.pow(py - F.col("y1") - along * dy, F.lit(2)))
-    joined = cells.join(edges, equal) if equal else cells.select("qid", "lon", "lat").join(edges, how="cross")
-    found = joined.groupBy(name, "qid", "lon", "lat").agg(
-        F.sum(F.when(crosses, 1).otherwise(0)).alias("n"), F.min(gap).alias("gap")
-    )
-    inside = (F.col("n") % 2 == 1) | ((F.col("gap") <= buff) if buff > 0 else F.lit(False))
-    return found.select(name, "qid", "lon", "lat", inside.alias("mask"))
+    n = levels(res)
+    reach, side = res * (1 << (n - 1)), res * (1 << up)
+    point = lambda i: F.element_at(ring, i)
+    corners = F.size(ring)
+    after = lambda i: point(F.when(i == corners, F.lit(1)).otherwise(i + 1))
+    # In the cells' longitudes: a ring may lie there once more, a turn to the west or east.
+    edge = lambda i: F.struct((point(i)["lon"] - F.col("turn")).alias("x1"), point(i)["lat"].alias("y1"), (after(i)["lon"] - F.col("turn")).alias("x2"), after(i)["lat"].alias("y2"))
+    d = rings.filter(corners > 0).select(name, ring, F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).alias("turn"))
+    d = d.select(name, F.transform(F.sequence(F.lit(1), corners), edge).alias("edges"))
+    least = lambda c, k: F.array_min(F.transform("edges", lambda e: e[c])) - k
+    most = lambda c, k: F.array_max(F.transform("edges", lambda e: e[c])) + k
+    d = d.select(name, "edges", F.greatest(least("x1", buff), F.lit(-180.0)).alias("west"), F.least(most("x1", buff), F.lit(180.0)).alias("east"), F.greatest(least("y1", buff), F.lit(-90.0)).alias("south"), F.least(most("y1", buff), F.lit(90.0)).alias("north"))
+    number = lambda c: F.floor((F.col(c) + reach) / side)
+    d = d.filter("west <= east and south <= north").select(name, "edges", "south", "north", F.explode(F.sequence(number("west"), number("east"))).alias("bx"))
+    d = d.select(name, "edges", "bx", F.explode(F.sequence(number("south"), number("north"))).alias("by"))
+    x0, y0 = F.col("bx") * side - reach, F.col("by") * side - reach
+    over = lambda a, b, low, high: (F.least(a, b) <= high + buff) & (F.greatest(a, b) >= low - buff)
+    beside = F.filter("edges", lambda e: over(e["y1"], e["y2"], y0, y0 + side))
+    near = F.exists("edges", lambda e: over(e["x1"], e["x2"], x0, x0 + side) & over(e["y1"], e["y2"], y0, y0 + side))
+    d = d.select(name, _weave(F.col("bx").cast("long"), F.col("by").cast("long"), n - up).alias("block"), F.when(near, beside).alias("some"), _inside(F.col("edges"), x0 + side / 2, y0 + side / 2).alias("whole"))
+    cover = d.filter("some is not null or whole").drop("whole")
+    found = cells.select("qid", "lon", "lat", F.shiftright("qid", 2 * up).alias("block")).join(cover, "block")
+    own = _inside(F.col("some"), F.col("lon"), F.col("lat"))
+    if buff > 0:
+        own = own | F.exists("some", lambda e: _edge_gap(e, F.col("lon"), F.col("lat")) <= buff)
+    return found.filter(F.col("some").isNull() | own).select(name, "qid", "lon", "lat")
+
+
+def _inside(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a line to the east crosses the edges an odd number of times."""
+    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"]))
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def _edge_gap(e: Column, x: Column, y: Column) -> Column:
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    along = F.least(F.greatest(F.coalesce(F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return F.sqrt(F.pow(x - e["x1"] - along * dx, F.lit(2)) + F.pow(y - e["y1"] - along * dy, F.lit(2)))
 
 
 def area_weight(lat: Column) -> Column:

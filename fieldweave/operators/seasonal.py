@@ -71,13 +71,31 @@ def normality_d(anom: DataFrame, keys: list[str], value: str = "anom") -> DataFr
 
 
 def with_kolmogorov_p(stats: DataFrame, n: Column) -> DataFrame:
-    """`stats` (with d) and the asymptotic p-value for an effective size n."""
+    """`stats` (with d, the distance of n values from a distribution) and its exact p-value; asymptotic above 10,000 values."""
 
     @F.pandas_udf("double")
     def p(d: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([special.kolmogorov_p(a, b) for a, b in zip(d, m)], dtype=float)
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else special.kolmogorov_exact_p(float(a), int(b)) for a, b in zip(d, m)], dtype=float)
 
-    return stats.withColumn("p", p("d", n.cast("double")))
+    return stats.withColumn("p", p("d", n.cast("long")))
+
+
+def with_two_sample_p(stats: DataFrame, n: str = "n_hist", m: str = "n_stoc") -> DataFrame:
+    """`stats` (with d, the distance of samples of n and m values) and its exact p-value; asymptotic above 10,000 values.
+
+    Groups of equal sizes and distance share their p, which is counted once in a batch.
+    """
+
+    @F.pandas_udf("double")
+    def p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        held: dict[tuple, float] = {}
+        for key in set(zip(d, n, m)):
+            held[key] = special.two_sample_p(float(key[0]), int(key[1]), int(key[2]))
+        return pd.Series([held[key] for key in zip(d, n, m)], dtype=float)
+
+    known = F.col("d").isNotNull() & F.col(n).isNotNull() & F.col(m).isNotNull()
+    value = p(F.when(known, F.col("d")).otherwise(1.0), F.when(known, F.col(n)).otherwise(1).cast("long"), F.when(known, F.col(m)).otherwise(1).cast("long"))
+    return stats.withColumn("p", F.when(known, value))
 
 
 def boxcox_fit(seasonal: DataFrame, shift: float = 0.0, powers: tuple[float, ...] = tuple(np.arange(0.001, 1.001, 0.002).round(3).tolist())) -> DataFrame:
@@ -133,19 +151,35 @@ def finished(values: DataFrame, bounds: dict[str, tuple[float, float]], shift: f
     return values.select("variable", "season", "year", "qid", x.cast("float").cast("double").alias("value"))
 
 
-def pca(anom: DataFrame, weight: Column | None = None, least: float = 1e-8) -> tuple[DataFrame, DataFrame]:
+def complete_cells(anom: DataFrame, most_years: int = 3000) -> DataFrame:
+    """`anom` without the cells that lack a value in a year that their (variable, season) has."""
+    keys = ["variable", "season"]
+    known = anom.filter("anom is not null")
+    years = known.groupBy(*keys).agg(F.count_distinct("year").alias("_years"))
+    cells = known.groupBy(*keys, "qid").agg(F.count_distinct("year").alias("_own"))
+    full = cells.join(F.broadcast(years), keys).filter("_own = _years").select(*keys, "qid", F.lit(True).alias("_full"))
+    facts = years.join(full.groupBy(*keys).agg(F.count("*").alias("_cells")), keys, "left").collect()  # a row for each variable and season
+    for r in facts:
+        if not r["_cells"] or r["_years"] > most_years:
+            raise ValueError(f"{r['variable']}, season {r['season']}: {r['_cells'] or 0} complete cells, {r['_years']} years of at most {most_years}")
+    return known.join(full.drop("_full"), [*keys, "qid"], "left_semi")
+
+
+def pca(anom: DataFrame, weight: Column | None = None, least: float = 1e-6, most_years: int = 3000) -> tuple[DataFrame, DataFrame]:
     """(eofs, pcs): leading patterns (variable, season, mode, qid, loading) and scores (variable, season, year, mode, score).
 
     The Gram matrix of years is decomposed on the driver, cells never leave the
-    executors. Modes without variance are left out; the largest score of a mode is positive.
+    executors; `most_years` bounds its size. A cell that lacks one of its group's
+    years is left out, the group stays; a group without a complete cell is an error
+    that names it. Modes without variance are left out; the largest score of a mode
+    is positive.
     """
     spark = anom.sparkSession
+    anom = complete_cells(anom, most_years)
     rows = gram(anom, weight).toPandas()
     vectors = []
     for (v, s), g in rows.groupby(["variable", "season"]):
         m = g.pivot(index="y1", columns="y2", values="g").sort_index().sort_index(axis=1)
-        if m.isna().any().any():
-            continue
         lam, vec = np.linalg.eigh(m.to_numpy())
         order = np.argsort(lam)[::-1]
         size = np.sqrt(np.maximum(lam[order], 0))

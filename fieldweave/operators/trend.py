@@ -1,11 +1,14 @@
 """Trends and decompositions per cell.
 
-Pairwise statistics join a series with itself on its keys: n(n-1)/2 rows for
-each group, meant for yearly or monthly series.
+Pairwise statistics take time of n log n for a series of n values, not of its
+pairs: orders are counted by merging sorted runs, and of slopes only those are
+listed that lie between two counted ones. A series is one group of a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +18,99 @@ from ..functions import normal
 from ..functions.stats import corr
 
 
-def _pairs(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    s = series.filter(F.col(value).isNotNull())
-    a = s.select(*keys, F.col(order).alias("ta"), F.col(value).alias("xa"))
-    b = s.select(*keys, F.col(order).alias("tb"), F.col(value).alias("xb"))
-    return a.join(b, keys).filter("ta < tb")
+def _merges(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Merge sort from the bottom: at each level (places in runs, for each place of a right run how many of its left run rank below it, and how many not above).
+
+    Runs lie in rows, a left and a right half in each; places beyond the end rank above all.
+    """
+    n = len(rank)
+    size = 1 << max(n - 1, 0).bit_length()
+    rank = np.append(rank, np.full(size - n, n + 1, dtype=np.int64))
+    at, width = np.arange(size), 1
+    while width < size:
+        runs = at.reshape(-1, 2 * width)
+        base = np.arange(len(runs))[:, None] * (n + 2)
+        left, right = (rank[runs[:, :width]] + base).ravel(), (rank[runs[:, width:]] + base).ravel()
+        before = np.repeat(np.arange(len(runs)) * width, width)
+        yield runs, np.searchsorted(left, right, "left") - before, np.searchsorted(left, right, "right") - before
+        at = np.take_along_axis(runs, np.argsort(rank[runs], axis=1, kind="stable"), 1).ravel()
+        width *= 2
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1].astype(np.int64).ravel()
+
+
+def kendall_s(x: np.ndarray) -> int:
+    """Pairs in order less pairs out of order."""
+    out = 0
+    for runs, below, upto in _merges(_ranks(x)):
+        width = runs.shape[1] // 2
+        real = runs[:, width:].ravel() < len(x)
+        out += int(below[real].sum()) - int((width - upto[real]).sum())
+    return out
+
+
+def _slopes_upto(t: np.ndarray, x: np.ndarray, slope: float) -> int:
+    """How many pairs have at most this slope."""
+    out = 0
+    for runs, below, _ in _merges(_ranks(x - slope * t)):
+        width = runs.shape[1] // 2
+        real = runs[:, width:].ravel() < len(x)
+        out += int((width - below[real]).sum())
+    return out
+
+
+def _slopes_between(t: np.ndarray, x: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The slopes above `low` and up to `high`: those of the pairs whose order by x - slope t differs at the two."""
+    first = np.lexsort((-t, x - low * t))
+    out = []
+    for runs, below, _ in _merges(_ranks((x - high * t)[first])):
+        width = runs.shape[1] // 2
+        rights = runs[:, width:].ravel()
+        count = np.where(rights < len(x), width - below, 0)
+        a = np.repeat(np.repeat(np.arange(len(runs)) * 2 * width, width) + below, count)
+        a = runs.ravel()[a + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)]
+        a, b = first[a], first[np.repeat(rights, count)]
+        out.append((x[b] - x[a])[t[a] < t[b]] / (t[b] - t[a])[t[a] < t[b]])
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def nth_slopes(t: np.ndarray, x: np.ndarray, places: list[int], most: int = 300_000) -> list[float]:
+    """The slopes of pairs at `places` of their sorted order, from 0.
+
+    The interval of slopes is halved by counting until at most `most` are left in
+    it, which are then listed, or until it holds equal slopes only, up to rounding.
+    """
+    n = len(x)
+    steps = np.diff(x) / np.diff(t)
+    low, high = float(steps.min()) - 1.0, float(steps.max()) + 1.0  # a pair's slope is a mean of the steps between
+    known = {low: 0, high: n * (n - 1) // 2}
+
+    def upto(slope: float) -> int:
+        if slope not in known:
+            known[slope] = _slopes_upto(t, x, slope)
+        return known[slope]
+
+    out = []
+    for k in places:
+        a, b = low, high
+        for zero in (np.nextafter(0.0, -1.0), 0.0):  # values that repeat make many slopes of zero
+            if a < zero < b:
+                a, b = (a, zero) if upto(zero) > k else (zero, b)
+        while upto(b) - upto(a) > most:
+            mid = a + (b - a) / 2
+            if not a < mid < b or b - a <= 1e-15 * max(abs(a), abs(b)):
+                break
+            a, b = (a, mid) if upto(mid) > k else (mid, b)
+        if a == np.nextafter(0.0, -1.0) and b == 0.0:
+            out.append(0.0)
+        elif upto(b) - upto(a) > most:
+            out.append(b)
+        else:
+            found = np.sort(_slopes_between(t, x, a, b))
+            out.append(float(found[min(max(k - upto(a), 0), len(found) - 1)]) if len(found) else b)
+    return out
 
 
 def _exact_p(n: Column, s: Column) -> Column:
@@ -49,7 +140,12 @@ def mann_kendall(series: DataFrame, keys: list[str], order: str, value: str = "v
     With `exact`, p is exact where no values are tied and there are at most 33 of
     them, or at most one pair of values is out of order.
     """
-    s = _pairs(series, keys, order, value).groupBy(*keys).agg(F.sum(F.signum(F.col("xb") - F.col("xa"))).alias("s"))
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[value].to_numpy(float)
+        return pdf[keys].iloc[:1].assign(s=float(kendall_s(x)))
+
+    known = series.filter(F.col(value).isNotNull()).select(*keys, order, value)
+    s = known.groupBy(*keys).applyInPandas(counted, known.select(*keys).schema.add("s", "double"))
     ties = series.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("t"))
     t = F.col("t")
     by = ties.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(t * (t - 1)).alias("tied"), F.sum(t * (t - 1) * (2 * t + 5)).alias("v"))
@@ -73,22 +169,25 @@ def theil_sen(series: DataFrame, keys: list[str], order: str, value: str = "valu
 
     Time counts rows from zero.
     """
-    rank = series.filter(F.col(value).isNotNull()).withColumn("_t", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    p = _pairs(rank, keys, "_t", value).withColumn("slope", (F.col("xb") - F.col("xa")) / (F.col("tb") - F.col("ta")))
-    w = Window.partitionBy(*keys)
-    mid = p.groupBy(*keys).agg(F.percentile("slope", F.lit(0.5)).alias("slope"))
-    level = rank.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("y"), F.percentile("_t", F.lit(0.5)).alias("x"))
-    ties = rank.groupBy(*keys, value).agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("v"))
-    n = F.col("n")
-    sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("v")) / 18.0)
-    bounds = level.join(ties, keys).withColumn("m", n * (n - 1) / 2)
-    bounds = bounds.withColumns({
-        "lo": F.greatest(F.bround((F.col("m") - z * sigma) / 2).cast("long") - 1, F.lit(0)),
-        "hi": F.least(F.bround((F.col("m") + z * sigma) / 2).cast("long"), F.col("m").cast("long") - 1),
-    })
-    ranked = p.withColumn("r", F.row_number().over(w.orderBy("slope")) - 1).join(bounds.select(*keys, "lo", "hi"), keys)
-    ends = ranked.groupBy(*keys).agg(F.max(F.when(F.col("r") == F.col("lo"), F.col("slope"))).alias("low"), F.max(F.when(F.col("r") == F.col("hi"), F.col("slope"))).alias("high"))
-    return mid.join(bounds, keys).join(ends, keys).select(*keys, "slope", (F.col("y") - F.col("slope") * F.col("x")).alias("intercept"), "low", "high")
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[value].to_numpy(float)
+        n, t = len(x), np.arange(len(x), dtype=float)
+        if n < 2:
+            return pdf[keys].iloc[:0].assign(slope=0.0, intercept=0.0, low=0.0, high=0.0)
+        tied = np.unique(x, return_counts=True)[1].astype(float)
+        pairs = n * (n - 1) // 2
+        reach = z * np.sqrt((n * (n - 1) * (2 * n + 5) - (tied * (tied - 1) * (2 * tied + 5)).sum()) / 18)
+        places = [(pairs - 1) // 2, pairs // 2, max(round((pairs - reach) / 2) - 1, 0), min(round((pairs + reach) / 2), pairs - 1)]
+        a, b, low, high = nth_slopes(t, x, places)
+        slope = (a + b) / 2
+        return pdf[keys].iloc[:1].assign(slope=slope, intercept=float(np.median(x)) - slope * (n - 1) / 2, low=low, high=high)
+
+    known = series.filter(F.col(value).isNotNull()).select(*keys, order, value)
+    schema = known.select(*keys).schema
+    for c in ("slope", "intercept", "low", "high"):
+        schema = schema.add(c, "double")
+    return known.groupBy(*keys).applyInPandas(fitted, schema)
 
 
 def linear_trend(series: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
