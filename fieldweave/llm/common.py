@@ -67,7 +67,10 @@ def bucketed(spark: SparkSession, df: DataFrame, column: str, name: str) -> Data
     path = place(spark, name)
     held = os.path.basename(path).replace("-", "_")
     df.repartition(n, column).write.bucketBy(n, column).option("path", path).saveAsTable(held)
-    return spark.table(held)
+    out = spark.table(held)
+    # The result knows its files by now; the catalog need not.
+    spark.sql(f"DROP TABLE {held}")
+    return out
 
 
 def removed(spark: SparkSession, path: str) -> None:

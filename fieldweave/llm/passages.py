@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, bucketed, kept, place, removed, run_hashes, word_hashes, word_spans, written
@@ -111,10 +111,14 @@ def copies(prints: DataFrame) -> DataFrame:
 
 
 def recurring_anchors(named: DataFrame) -> DataFrame:
-    """(shard, anchor): anchors of a shard's documents that another document names as well, from (anchor, doc_id, shard)."""
+    """(shard, anchor): anchors of a shard's documents that another document names as well, from (anchor, doc_id, shard).
+
+    The common anchors are found by an aggregation, which sums up before it
+    shuffles, and go back to the shards by a join, which splits a hot one.
+    """
     per = named.groupBy("anchor", "shard").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    w = Window.partitionBy("anchor")
-    return per.withColumns({"lo": F.min("least").over(w), "hi": F.max("most").over(w)}).filter("lo < hi").select("shard", "anchor")
+    common = per.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("most").alias("hi")).filter("lo < hi").select("anchor")
+    return per.join(common, "anchor", "left_semi").select("shard", "anchor")
 
 
 def _texts(docs: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -157,35 +161,38 @@ def windows(docs: DataFrame, facts: DataFrame, window: int, gram: int) -> DataFr
 
 
 def needed(found: DataFrame, shard: Column, block: int = BLOCK) -> DataFrame:
-    """(shard, owner_id, block), once each: the blocks that own a window of a shard's later documents. A window has a row per shard at most."""
-    w = Window.partitionBy("h1", "h2")
-    d = found.select(shard.alias("shard"), "last", F.min(F.struct("doc_id", "place")).over(w).alias("own"))
-    return d.filter("own.doc_id < last").select("shard", F.col("own.doc_id").alias("owner_id"), F.expr(f"own.place div {block}").alias("block")).distinct()
+    """(shard, owner_id, block), once each: the blocks that own a window of a shard's later documents. A window has a row per shard at most.
+
+    As with anchors, owners are aggregated and joined back: no task has all rows of a window.
+    """
+    keys = ["h1", "h2"]
+    owners = found.groupBy(*keys).agg(F.min(F.struct("doc_id", "place")).alias("own"), F.max("last").alias("most")).filter("own.doc_id < most").drop("most")
+    d = found.select(*keys, shard.alias("shard"), "last").join(owners, keys).filter("own.doc_id < last")
+    return d.select("shard", F.col("own.doc_id").alias("owner_id"), F.expr(f"own.place div {block}").alias("block")).distinct()
 
 
 def passages(docs: DataFrame, wanted: DataFrame, window: int, block: int = BLOCK) -> DataFrame:
-    """(owner_id, block, some, passage) for the rows (shard, owner_id, block, some) of `wanted`, whose shard is the owner's."""
-    schema = pa.schema([("owner_id", pa.int64()), ("block", pa.int64()), ("some", pa.int64()), ("passage", pa.string())])
+    """(owner_id, block, passage) for the distinct rows (shard, owner_id, block) of `wanted`, whose shard is the owner's: each once."""
+    schema = pa.schema([("owner_id", pa.int64()), ("block", pa.int64()), ("passage", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks: dict[int, dict[int, list[int]]] = {}
-        for owner, k, some in zip(*(right.column(c).to_pylist() for c in ("owner_id", "block", "some"))):
-            blocks.setdefault(owner, {}).setdefault(k, []).append(some)
-        ids, at, groups, found = [], [], [], []
+        blocks: dict[int, list[int]] = {}
+        for owner, k in zip(*(right.column(c).to_pylist() for c in ("owner_id", "block"))):
+            blocks.setdefault(owner, []).append(k)
+        ids, at, found = [], [], []
         for key, t in _texts(left):
             if key not in blocks:
                 continue
             words = t.split()
-            for k, asked in blocks[key].items():
+            for k in blocks[key]:
                 line = words[k * block : (k + 1) * block + window - 1]
                 if len(line) >= window:
-                    ids += [key] * len(asked)
-                    at += [k] * len(asked)
-                    groups += asked
-                    found += [b" ".join(line)] * len(asked)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(groups, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], schema=schema)
+                    ids.append(key)
+                    at.append(k)
+                    found.append(b" ".join(line))
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], schema=schema)
 
-    out = "owner_id long, block long, some long, passage string"
+    out = "owner_id long, block long, passage string"
     return docs.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(run, out)
 
 
@@ -315,12 +322,19 @@ def remove_repeats(
 
     none = F.lit(None).cast("long")
     facts = recurring_anchors(named).withColumn("copy", none).unionByName(copied.select("shard", none.alias("anchor"), F.col("doc_id").alias("copy")))
-    wanted = written(spark, needed(windows(dealt, facts, window, gram), shard_of(shards)), "blocks")
+    found_at = place(spark, "windows")
+    found = written(spark, windows(dealt, facts, window, gram), found_at)
+    wanted = written(spark, needed(found, shard_of(shards)), "blocks")
     removed(spark, names)
-    # Shards ask together for a passage, but not too many of them: no task gets all that want a common one.
-    wanted = wanted.withColumn("some", F.expr(f"shard div {_TOGETHER}"))
-    asked = wanted.select(shard_of(shards, "owner_id").alias("shard"), "owner_id", "block", "some").distinct()
-    shared = wanted.join(passages(dealt, asked, window), ["owner_id", "block", "some"]).select("shard", "owner_id", "passage")
+    removed(spark, found_at)
+    # An owner's shard gives each block once. Its askers are counted off into groups, and the block is
+    # copied for each group in a row of its own, so that no task has all that want a common one.
+    asked = wanted.select(shard_of(shards, "owner_id").alias("shard"), "owner_id", "block").distinct()
+    blocks = passages(dealt, asked, window)
+    some = F.expr(f"shard div {_TOGETHER}")
+    groups = wanted.select("owner_id", "block", some.alias("some")).distinct()
+    copied_out = groups.join(blocks, ["owner_id", "block"])
+    shared = wanted.withColumn("some", some).join(copied_out, ["owner_id", "block", "some"]).select("shard", "owner_id", "passage")
     facts = shared.unionByName(copied.select("shard", F.col("doc_id").alias("owner_id"), F.lit(None).cast("string").alias("passage")))
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
     lost = every.filter("doc_id is null").select(
