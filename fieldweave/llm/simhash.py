@@ -98,7 +98,7 @@ def links(fps: DataFrame, distance: int = 3, fp: str = "fp") -> DataFrame:
     return joined.select("a", "b")
 
 
-def components(spark: SparkSession, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of `pairs` (a, b) reaches.
 
     Each round points every node at the smallest label around it and at its
@@ -107,7 +107,7 @@ def components(spark: SparkSession, pairs: DataFrame, max_rounds: int = 60) -> D
     """
     both = kept(spark, pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = kept(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
-    for _ in range(max_rounds):
+    while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = labels.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         # Roots follow what their members found, then everyone follows the root.
@@ -120,7 +120,6 @@ def components(spark: SparkSession, pairs: DataFrame, max_rounds: int = 60) -> D
         labels = moved.select("node", "root")
         if not changed:
             return labels
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, common: int = 1000) -> DataFrame:
