@@ -37,7 +37,7 @@ _letters: list[np.ndarray] = []
 
 def _letter_table() -> np.ndarray:
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x30000)), dtype=bool, count=0x30000))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
     return _letters[0]
 
 
@@ -51,7 +51,7 @@ def gram_counts(text: str) -> np.ndarray | None:
     seen = False
     for at in range(0, len(text), _SLICE):
         codes = np.frombuffer(f" {text[at : at + _SLICE].lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        letter = table[np.minimum(codes, len(table) - 1)]
+        letter = table[codes]
         if not letter.any():
             continue
         seen = True
@@ -138,25 +138,27 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return out, n
 
 
-def fit(train: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_per_language: int = 400, clusters: int = 4) -> LanguageModel:
+def fit(train: DataFrame, lang: str = "lang", text: str = "text", sample_per_language: int = 400, clusters: int = 4, most_languages: int = 256) -> LanguageModel:
     """Learns from `train`; rows without a language are left out.
 
     Frequencies cover all rows; the centroids are fitted on about
-    `sample_per_language` rows of each language, chosen by a hash of id and text,
-    so that a large group of copies is thinned like other rows.
+    `sample_per_language` distinct texts of each language, chosen by a hash of the
+    text, so that copies count once. Of more than `most_languages` names only those
+    with the most texts, then the first by name, are learnt.
     """
     train = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(*[c for c in (doc_id, text) if c in train.columns]).alias("draw")
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("draw")
     )
     seen, n = document_frequencies(train.select("text"))
     idf = np.log((1 + n) / (1 + seen)) + 1.0
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    counted = train.select("lang", "draw").distinct().groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in counted.orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes or not n:
         return LanguageModel((), idf, np.zeros((0, DIM)), np.zeros(0))
     share = F.lit(0.0)
     for name, size in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, sample_per_language / size))).otherwise(share)
-    picked = train.filter(F.pmod("draw", F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text")
+    picked = train.filter(F.pmod("draw", F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
