@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal, special
 from ..functions.stats import corr
+from ..sources.scratch import stored
 
 SEASONS = (2, 5, 8, 11)
 
@@ -151,47 +152,130 @@ def finished(values: DataFrame, bounds: dict[str, tuple[float, float]], shift: f
     return values.select("variable", "season", "year", "qid", x.cast("float").cast("double").alias("value"))
 
 
-def complete_cells(anom: DataFrame, most_years: int = 3000) -> DataFrame:
-    """`anom` without the cells that lack a value in a year that their (variable, season) has."""
+def complete_cells(anom: DataFrame) -> DataFrame:
+    """`anom` without the cells that lack a value in a year that their (variable, season) has; a group without a complete cell is an error that names it."""
     keys = ["variable", "season"]
     known = anom.filter("anom is not null")
     years = known.groupBy(*keys).agg(F.count_distinct("year").alias("_years"))
     cells = known.groupBy(*keys, "qid").agg(F.count_distinct("year").alias("_own"))
-    full = cells.join(F.broadcast(years), keys).filter("_own = _years").select(*keys, "qid", F.lit(True).alias("_full"))
-    facts = years.join(full.groupBy(*keys).agg(F.count("*").alias("_cells")), keys, "left").collect()  # a row for each variable and season
-    for r in facts:
-        if not r["_cells"] or r["_years"] > most_years:
-            raise ValueError(f"{r['variable']}, season {r['season']}: {r['_cells'] or 0} complete cells, {r['_years']} years of at most {most_years}")
-    return known.join(full.drop("_full"), [*keys, "qid"], "left_semi")
+    full = cells.join(F.broadcast(years), keys).filter("_own = _years").select(*keys, "qid")  # years has a row for each variable and season
+    lost = years.join(full.select(*keys).distinct(), keys, "left_anti").collect()
+    if lost:
+        raise ValueError("no cell has every year of " + ", ".join(f"{r['variable']}, season {r['season']}" for r in lost))
+    return known.join(full, [*keys, "qid"], "left_semi")
+
+
+class _Krylov:
+    """Leading eigenvectors of one group's products of years, from products with blocks of vectors; the matrix itself is never there."""
+
+    def __init__(self, years: list[int], pairs: int | None, block: int, tolerance: float):
+        self.years, self.pairs, self.block, self.tolerance = years, pairs, block, tolerance
+        self.basis = self.image = np.zeros((len(years), 0))
+        self.rng = np.random.default_rng(len(years))
+        self.asked = self._orthogonal(self.rng.standard_normal((len(years), min(block, len(years)))))
+        self.values, self.vectors = np.zeros(0), self.basis
+
+    def _orthogonal(self, new: np.ndarray) -> np.ndarray:
+        """`new` made orthonormal and orthogonal to the basis; directions that vanish are drawn anew while there is room."""
+        n, out = len(self.years), self.basis
+        for column in new.T:
+            if out.shape[1] == n:
+                break
+            for _ in range(20):
+                left = column - out @ (out.T @ column)
+                left -= out @ (out.T @ left)
+                if np.linalg.norm(left) > 1e-10 * max(np.linalg.norm(column), 1e-300):
+                    break
+                column = self.rng.standard_normal(n)
+            left /= np.linalg.norm(left)
+            left -= out @ (out.T @ left)
+            out = np.column_stack([out, left / np.linalg.norm(left)])
+        return out[:, self.basis.shape[1] :]
+
+    def told(self, image: np.ndarray) -> bool:
+        """Takes the product with `asked`; whether the wanted pairs have settled, or the basis spans all years."""
+        self.basis, self.image = np.column_stack([self.basis, self.asked]), np.column_stack([self.image, image])
+        small = self.basis.T @ self.image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        n = self.basis.shape[1]
+        wanted = n if self.pairs is None else min(self.pairs, n)
+        self.values, self.vectors = values[:wanted], self.basis @ turn[:, :wanted]
+        if n == len(self.years):
+            return True
+        if self.pairs is not None and n > self.pairs:
+            one_more = wanted + 1  # pairs of equal size can hide behind one another
+            rest = self.image @ turn[:, :one_more] - self.basis @ turn[:, :one_more] * values[:one_more]
+            if np.linalg.norm(rest, axis=0).max() <= self.tolerance * max(values[0], 0.0):
+                return True
+        self.asked = self._orthogonal(image)
+        return False
+
+
+def _products(cells: DataFrame, blocks: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int], np.ndarray]:
+    """Sum over cells of x (x'B) for each group's block B; tasks add up their cells, Spark adds up the tasks year by year."""
+    width = max(b.shape[1] for b in blocks.values())
+    names = [f"s{j}" for j in range(width)]
+
+    def run(batches):
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(["variable", "season"]):
+                b = blocks.get((key[0], int(key[1])))
+                if b is not None:
+                    x = np.stack(part["x"].to_list())
+                    sums[key] = sums.get(key, 0) + x.T @ (x @ b)
+        for (v, s), total in sums.items():
+            out = pd.DataFrame(np.pad(total, ((0, 0), (0, width - total.shape[1]))), columns=names)
+            yield out.assign(variable=v, season=int(s), at=np.arange(len(out)))[["variable", "season", "at", *names]]
+
+    schema = "variable string, season int, at long, " + ", ".join(f"{c} double" for c in names)
+    rows = cells.mapInPandas(run, schema).groupBy("variable", "season", "at").agg(*[F.sum(c).alias(c) for c in names]).collect()
+    out = {k: np.zeros(b.shape) for k, b in blocks.items()}
+    for r in rows:
+        own = out[r["variable"], r["season"]]
+        own[r["at"]] = [r[c] for c in names[: own.shape[1]]]
+    return out
 
 
-def pca(anom: DataFrame, weight: Column | None = None, least: float = 1e-6, most_years: int = 3000) -> tuple[DataFrame, DataFrame]:
+def pca(
+    anom: DataFrame, weight: Column | None = None, least: float = 1e-6, modes: int | None = None, block: int = 16, tolerance: float = 1e-12
+) -> tuple[DataFrame, DataFrame]:
     """(eofs, pcs): leading patterns (variable, season, mode, qid, loading) and scores (variable, season, year, mode, score).
 
-    The Gram matrix of years is decomposed on the driver, cells never leave the
-    executors; `most_years` bounds its size. A cell that lacks one of its group's
-    years is left out, the group stays; a group without a complete cell is an error
-    that names it. Modes without variance are left out; the largest score of a mode
-    is positive.
+    Cells never leave the executors, and products of years with years are never
+    formed: a block Krylov iteration asks for products of all cells with a few
+    vectors over years at a time, until the first `modes` have settled or all
+    directions are there. So the driver holds years x directions. A cell that lacks
+    one of its group's years is left out, the group stays; a group without a
+    complete cell is an error. Modes without variance are left out; the largest
+    score of a mode is positive.
     """
     spark = anom.sparkSession
-    anom = complete_cells(anom, most_years)
-    rows = gram(anom, weight).toPandas()
+    w = F.lit(1.0) if weight is None else weight
+    anom = complete_cells(anom).withColumn("_v", F.col("anom") * w)
+    by_year = F.array_sort(F.collect_list(F.struct("year", "_v")))
+    cells = anom.groupBy("variable", "season", "qid").agg(by_year.alias("_x")).select("variable", F.col("season").cast("int").alias("season"), F.transform("_x", lambda y: y["_v"]).alias("x"))
+    cells = stored(spark, cells, "cells")
+    years: dict[tuple[str, int], list[int]] = {}
+    for r in anom.select("variable", "season", "year").distinct().collect():
+        years.setdefault((r["variable"], int(r["season"])), []).append(int(r["year"]))
+    groups = {k: _Krylov(sorted(v), modes, block, tolerance) for k, v in years.items()}
+    open_ = dict(groups)
+    while open_:
+        images = _products(cells, {k: g.asked for k, g in open_.items()})
+        open_ = {k: g for k, g in open_.items() if not g.told(images[k])}
     vectors = []
-    for (v, s), g in rows.groupby(["variable", "season"]):
-        m = g.pivot(index="y1", columns="y2", values="g").sort_index().sort_index(axis=1)
-        lam, vec = np.linalg.eigh(m.to_numpy())
-        order = np.argsort(lam)[::-1]
-        size = np.sqrt(np.maximum(lam[order], 0))
-        for k, j in enumerate(order):
+    for (v, s), g in groups.items():
+        size = np.sqrt(np.maximum(g.values, 0))
+        for k in range(len(size)):
             if size[k] > least * max(size[0], 1e-300) and size[k] > 1e-9:
-                u = vec[:, j] * np.sign(vec[np.argmax(np.abs(vec[:, j])), j])
-                vectors += [(v, int(s), int(y), k, float(x), float(size[k])) for y, x in zip(m.index, u)]
+                u = g.vectors[:, k] * np.sign(g.vectors[np.argmax(np.abs(g.vectors[:, k])), k])
+                vectors += [(v, s, y, k, float(x), float(size[k])) for y, x in zip(g.years, u)]
     table = spark.createDataFrame(vectors, "variable string, season int, year int, mode int, v double, size double")
     pcs = table.select("variable", "season", "year", "mode", (F.col("v") * F.col("size")).alias("score"))
-    w = F.lit(1.0) if weight is None else weight
-    joined = anom.join(F.broadcast(table), ["variable", "season", "year"])  # years x modes rows, whatever the number of cells
-    eofs = joined.groupBy("variable", "season", "mode", "qid").agg((F.sum(F.col("anom") * w * F.col("v") / F.col("size"))).alias("loading"))
+    joined = anom.join(table, ["variable", "season", "year"])  # years x modes rows, whatever the number of cells
+    eofs = joined.groupBy("variable", "season", "mode", "qid").agg((F.sum(F.col("_v") * F.col("v") / F.col("size"))).alias("loading"))
     return eofs, pcs
 
 

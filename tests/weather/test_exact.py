@@ -129,5 +129,20 @@ def test_patterns_keep_groups_with_gaps(spark):
     assert rows(got[1]) == rows(want[1]) and rows(got[0]) == rows(want[0])
     with pytest.raises(ValueError, match="pre, season 2"):
         seasonal.pca(df.filter("qid < 5 and year <> qid"))
-    with pytest.raises(ValueError, match="5 years"):
-        seasonal.pca(df, most_years=4)
+
+
+def test_patterns_of_many_years_without_a_matrix_of_years(spark):
+    """300 years of 40 cells: the leading modes are those of the plain decomposition, from blocks of 8 directions."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 300)) * np.geomspace(9, 0.5, 40)[:, None]
+    df = spark.createDataFrame([("pre", 2, y, q, float(x[q, y])) for q in range(40) for y in range(300)], "variable string, season int, year int, qid long, anom double")
+    eofs, pcs = seasonal.pca(df, modes=4, block=8)
+    u, size, vt = np.linalg.svd(x, full_matrices=False)
+    got = pcs.toPandas().pivot(index="mode", columns="year", values="score").to_numpy()
+    want = size[:4, None] * vt[:4]
+    want *= np.sign(want[np.arange(4), np.abs(want).argmax(axis=1)])[:, None]
+    assert np.abs(got - want).max() < 1e-8
+    loads = eofs.toPandas().pivot(index="qid", columns="mode", values="loading").to_numpy()
+    assert loads.shape == (40, 4) and np.abs(loads @ got - u[:, :4] * size[:4] @ vt[:4]).max() < 1e-8
+    every = seasonal.pca(df, block=16)[1].toPandas().pivot(index="mode", columns="year", values="score").to_numpy()
+    assert every.shape == (40, 300) and np.abs(np.linalg.norm(every, axis=1) - size).max() < 1e-8
