@@ -166,9 +166,10 @@ def needed(found: DataFrame, shard: Column, block: int = BLOCK) -> DataFrame:
     As with anchors, owners are aggregated and joined back: no task has all rows of a window.
     """
     keys = ["h1", "h2"]
-    owners = found.groupBy(*keys).agg(F.min(F.struct("doc_id", "place")).alias("own"), F.max("last").alias("most")).filter("own.doc_id < most").drop("most")
-    d = found.select(*keys, shard.alias("shard"), "last").join(owners, keys).filter("own.doc_id < last")
-    return d.select("shard", F.col("own.doc_id").alias("owner_id"), F.expr(f"own.place div {block}").alias("block")).distinct()
+    # Single numbers are summed up in place, a struct of two would be sorted for; a document has one row for a window.
+    owners = found.groupBy(*keys).agg(F.min("doc_id").alias("owner_id"), F.min_by("place", "doc_id").alias("at"), F.max("last").alias("most")).filter("owner_id < most").drop("most")
+    d = found.select(*keys, shard.alias("shard"), "last").join(owners, keys).filter("owner_id < last")
+    return d.select("shard", "owner_id", F.expr(f"at div {block}").alias("block")).distinct()
 
 
 def passages(docs: DataFrame, wanted: DataFrame, window: int, block: int = BLOCK) -> DataFrame:
