@@ -9,6 +9,20 @@ import numpy as np
 lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
+def log_gamma_ratio(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """ln gamma(x) - ln gamma(x + c) for positive x and x + c, without the loss that a difference of large numbers has."""
+    out, y = np.zeros(np.broadcast(x, c).shape), x
+    for _ in range(8):  # up to where the asymptotic series is exact
+        out = out + np.log1p(c / y)
+        y = y + 1
+
+    def rest(v):
+        f = 1 / (v * v)
+        return (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f * (1 / 1680 - f / 1188)))) / v
+
+    return out - (y - 0.5) * np.log1p(c / y) - c * np.log(y + c) + c + rest(y) - rest(y + c)
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
     x = np.array(x, dtype=float)
     out = np.zeros_like(x)

@@ -149,8 +149,14 @@ def kuma_quantile(q: Column, a: Column, b: Column) -> Column:
     return F.pow(1 - F.pow(1 - q, 1 / b), 1 / a)
 
 
+def _kuma_log_moment(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    c = n / a
+    small, large = np.minimum(b, c), np.maximum(b, c)  # the two may change places, and small steps lose nothing
+    return special.log_gamma_ratio(1 + large, small) - special.log_gamma_ratio(np.ones_like(small), small)
+
+
 def _kuma_moment(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return b * np.exp(special.lgamma(1 + n / a) + special.lgamma(b) - special.lgamma(1 + n / a + b))
+    return np.exp(_kuma_log_moment(n, a, b))
 
 
 def kuma_moments(df: DataFrame, a: str, b: str, n: int) -> DataFrame:
@@ -163,29 +169,61 @@ def kuma_moments(df: DataFrame, a: str, b: str, n: int) -> DataFrame:
     return df.withColumn("moment", moment(a, b))
 
 
+def _newton(gap, n: int, rounds: int = 100) -> np.ndarray:
+    """(n, 2) roots of n systems of two equations at once, by Newton steps that each system halves until it gains; `gap(z, rows)` gives the equations of some systems.
+
+    Systems that have settled leave the batch.
+    """
+    z, live = np.zeros((n, 2)), np.arange(n)
+    for _ in range(rounds):
+        f = gap(z[live], live)
+        j = np.stack([(gap(z[live] + e, live) - gap(z[live] - e, live)) / 2e-6 for e in np.eye(2) * 1e-6], axis=2)
+        det = j[:, 0, 0] * j[:, 1, 1] - j[:, 0, 1] * j[:, 1, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.stack([j[:, 0, 1] * f[:, 1] - j[:, 1, 1] * f[:, 0], j[:, 1, 0] * f[:, 0] - j[:, 0, 0] * f[:, 1]], axis=1) / det[:, None]
+        step = np.where(np.isfinite(step), step, 0.0)
+        size, miss = np.ones(len(live)), (f**2).sum(axis=1)
+        reached = lambda: np.clip(z[live] + size[:, None] * step, -40, 60)  # noqa: E731, B023
+        for _ in range(14):
+            worse = ~((gap(reached(), live) ** 2).sum(axis=1) < miss)
+            if not worse.any():
+                break
+            size[worse] /= 2
+        move = np.abs(reached() - z[live]).max(axis=1)
+        z[live] = reached()
+        live = live[move >= 1e-12]
+        if not len(live):
+            break
+    return z
+
+
 def kuma_fit_moments(df: DataFrame, mean: str, sd: str) -> DataFrame:
-    """`df` with (a, b) whose mean and variance are those given, by Newton steps on their logarithms."""
+    """`df` with (a, b) whose mean and variance are those given, by Newton steps between the logarithms of both, all rows of a batch at once.
+
+    Null where the mean or the deviation is null, where no distribution on (0, 1) has
+    them, and where a or b would pass what doubles can tell apart.
+    """
 
     @F.pandas_udf("struct<a: double, b: double>")
     def solve(m: pd.Series, s: pd.Series) -> pd.DataFrame:
-        out = []
-        for mu, var in zip(m.to_numpy(float), s.to_numpy(float) ** 2):
-            z = np.zeros(2)
-            gap = lambda z: np.array([_kuma_moment(1, *np.exp(z)[:, None])[0] - mu, _kuma_moment(2, *np.exp(z)[:, None])[0] - var - mu * mu])  # noqa: E731, B023
-            for _ in range(100):
-                f = gap(z)
-                j = np.stack([(gap(z + e) - f) / 1e-6 for e in np.eye(2) * 1e-6], axis=1)
-                step = np.linalg.lstsq(j, -f, rcond=None)[0]
-                size = 1.0
-                while size > 1e-4 and not (np.abs(gap(z + size * step)) ** 2).sum() < (f**2).sum():
-                    size /= 2
-                z = np.clip(z + size * step, -6, 12)
-                if np.abs(size * step).max() < 1e-12:
-                    break
-            out.append(np.exp(z))
-        return pd.DataFrame(np.array(out).reshape(-1, 2), columns=["a", "b"])
-
-    return df.withColumn("_s", solve(mean, sd)).withColumns({"a": F.col("_s.a"), "b": F.col("_s.b")}).drop("_s")
+        mu, var = m.to_numpy(float), s.to_numpy(float) ** 2
+        out = np.full((len(mu), 2), np.nan)
+        good = np.flatnonzero((mu > 0) & (mu < 1) & (var > 0) & (var < mu * (1 - mu)))
+        mu, var = mu[good], var[good]
+
+        def gap(z, rows):
+            a, b = np.exp(z[:, 0]), np.exp(z[:, 1])
+            first, second = _kuma_log_moment(1, a, b), _kuma_log_moment(2, a, b)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                return np.stack([first - np.log(mu[rows]), np.log(np.expm1(second - 2 * first)) - np.log(var[rows] / mu[rows] ** 2)], axis=1)
+
+        z = _newton(gap, len(good))
+        reached = np.abs(gap(z, np.arange(len(good)))).max(axis=1) < 1e-6
+        out[good] = np.where(reached[:, None], np.exp(z), np.nan)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    d = df.withColumn("_s", solve(mean, sd))
+    return d.withColumns({c: F.when(~F.isnan(f"_s.{c}"), F.col(f"_s.{c}")) for c in ("a", "b")}).drop("_s")
 
 
 def gbm_fit(prices: DataFrame, year_from: int = -1, month_from: int = 1, year_to: int = 0, month_to: int = 12) -> DataFrame:
@@ -230,28 +268,26 @@ def kuma_fit_quantiles(values: DataFrame, keys: list[str], value: str = "value")
 
     Spark aggregates each group to its quantiles; only those meet numpy.
     """
-    q = values.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in KUMA_QUANTILES])).alias("_q"))
+    q = values.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in KUMA_QUANTILES])).alias("_q")).filter("_q is not null")
 
     @F.pandas_udf("struct<a: double, b: double>")
     def solve(quantiles: pd.Series) -> pd.DataFrame:
         p = np.array(KUMA_QUANTILES)
-        out = []
-        for x in quantiles:
-            u = np.clip(np.asarray(x, float), 0.0, 1.0)
-            gap = lambda z: 1 - (1 - u ** np.exp(z[0])) ** np.exp(z[1]) - p  # noqa: E731, B023
-            z, damp = np.zeros(2), 1e-3
-            for _ in range(200):
-                f = gap(z)
-                j = np.stack([(gap(z + e) - gap(z - e)) / 2e-6 for e in np.eye(2) * 1e-6], axis=1)
-                step = np.linalg.solve(j.T @ j + damp * np.eye(2), -j.T @ f)
-                if (gap(z + step) ** 2).sum() < (f**2).sum():
-                    z, damp = np.clip(z + step, -8, 12), damp / 3
-                else:
-                    damp *= 4
-                if np.abs(step).max() < 1e-11 or damp > 1e12:
-                    break
-            out.append(np.exp(z))
-        return pd.DataFrame(np.array(out).reshape(-1, 2), columns=["a", "b"])
+        u = np.clip(np.array([np.asarray(x, float) for x in quantiles]).reshape(-1, len(p)), 0.0, 1.0)
+        z, damp, live = np.zeros((len(u), 2)), np.full(len(u), 1e-3), np.arange(len(u))
+        gap = lambda z, rows: 1 - (1 - u[rows] ** np.exp(z[:, :1])) ** np.exp(z[:, 1:]) - p
+        for _ in range(200):
+            if not len(live):
+                break
+            f = gap(z[live], live)
+            j = np.stack([(gap(z[live] + e, live) - gap(z[live] - e, live)) / 2e-6 for e in np.eye(2) * 1e-6], axis=2)
+            normal_matrix = np.einsum("nki,nkj->nij", j, j) + damp[live][:, None, None] * np.eye(2)
+            step = np.linalg.solve(normal_matrix, -np.einsum("nki,nk->ni", j, f)[:, :, None])[:, :, 0]
+            gains = (gap(z[live] + step, live) ** 2).sum(axis=1) < (f**2).sum(axis=1)
+            z[live] = np.where(gains[:, None], np.clip(z[live] + step, -8, 12), z[live])
+            damp[live] = np.where(gains, damp[live] / 3, damp[live] * 4)
+            live = live[(np.abs(step).max(axis=1) >= 1e-11) & (damp[live] <= 1e12)]
+        return pd.DataFrame(np.exp(z), columns=["a", "b"])
 
     return q.withColumn("_s", solve("_q")).select(*keys, F.col("_s.a").alias("a"), F.col("_s.b").alias("b"))
 
