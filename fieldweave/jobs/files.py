@@ -95,6 +95,22 @@ def write_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("variable", "qid", "month", "lon", "lat", "value")
 
 
+_NEAR = (-60.0, -30.0, 80.0, 30.0)
+
+
+@query(
+    "read_cube",
+    f"""SELECT * FROM (SELECT source, variable, qid, year, month, R({LON}) AS lon, R({LAT}) AS lat, R(value) AS value FROM (
+  SELECT 'hist' AS source, * FROM hist_monthly UNION ALL SELECT 'stoc', * FROM stoc_monthly)) WHERE lon BETWEEN {_NEAR[0]} AND {_NEAR[2]} AND lat BETWEEN {_NEAR[1]} AND {_NEAR[3]}""",
+)
+def read_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sources as one stored cube, of which the cells of a box are read."""
+    path = scratch(spark, "cube")
+    sides = [example(spark, sf_dir, f"{s}_monthly").select(F.lit(s).alias("source"), "variable", "qid", "year", "month", "value") for s in ("hist", "stoc")]
+    tables.write_cube(sides[0].unionByName(sides[1]), path)
+    return tables.read_cube(spark, path, _NEAR).select("source", "variable", "qid", "year", "month", "lon", "lat", "value")
+
+
 @query("rain_stream", "SELECT qid, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, R(sum(pre)) AS rsum, count(pre) AS days FROM weather_daily GROUP BY ALL")
 def rain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rain dropped as a folder of files, summed by a stream; the delay spans all years, as drops come in any order here."""

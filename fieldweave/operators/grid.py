@@ -167,6 +167,46 @@ def _edge_gap(e: Column, x: Column, y: Column) -> Column:
     return F.sqrt(F.pow(x - e["x1"] - along * dx, F.lit(2)) + F.pow(y - e["y1"] - along * dy, F.lit(2)))
 
 
+def box_ranges(west: float, south: float, east: float, north: float, res: float = 0.25, most: int = 32) -> list[tuple[int, int]]:
+    """At most `most` ranges (first, last) of cell ids that hold every cell whose centre is in the box, ends included.
+
+    Blocks of the quadtree that lie in the box are taken whole; of the others, the
+    largest is parted first, while there is room. Where west is above east the box
+    runs over the date line.
+    """
+    if west > east:
+        halves = box_ranges(west, south, 180.0, north, res, max(most // 2, 1)) + box_ranges(-180.0, south, east, north, res, max(most // 2, 1))
+        return _merged(halves)
+    reach = res * (1 << (levels(res) - 1))
+    first = lambda x: math.ceil((x + reach) / res - 0.5 - 1e-9)
+    last = lambda x: math.floor((x + reach) / res - 0.5 + 1e-9)
+    x0, x1, y0, y1 = first(west), last(east), first(south), last(north)
+    # A block: cells a side, then the column, row and id of its first cell.
+    whole, part = [], [(1 << levels(res), 0, 0, 0)]
+    while part and len(whole) + len(part) + 3 <= most:
+        part.sort()
+        side, x, y, code = part.pop()
+        half = side // 2
+        for digit, (dx, dy) in enumerate(((half, half), (0, half), (0, 0), (half, 0))):
+            bx, by = x + dx, y + dy
+            if bx > x1 or bx + half - 1 < x0 or by > y1 or by + half - 1 < y0:
+                continue
+            inside = bx >= x0 and bx + half - 1 <= x1 and by >= y0 and by + half - 1 <= y1
+            (whole if inside else part).append((half, bx, by, code + digit * half * half))
+    return _merged([(code, code + side * side - 1) for side, _, _, code in whole + part])
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted, with ranges that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def area_weight(lat: Column) -> Column:
     return F.sqrt(F.cos(F.radians(lat)))
 
@@ -192,13 +232,26 @@ def self_distances(a: DataFrame, key: str = "id", radius: float = EARTH_KM) -> D
     return mirrored.unionByName(a.select(F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(0.0).alias("km")))
 
 
-def pairs_within(a: DataFrame, b: DataFrame, km: float, key: str = "id", radius: float = EARTH_KM) -> DataFrame:
+def pairs_within(a: DataFrame, b: DataFrame, km: float, key: str = "id", radius: float = EARTH_KM, tile: int = 2000) -> DataFrame:
     """(id_a, id_b, km) of pairs at most `km` apart, by an equality join on coarse bands.
 
     Each point of `b` falls in one band of latitude and one bin of longitude that
     is wide enough for the band; each of `a` looks into its neighbours. Near the
-    poles, where bins would be too wide, a band has a single bin.
+    poles, where bins would be too wide, a band has a single bin. A bin with more
+    than `tile` points of either set is a grid of tiles, each about `tile` points
+    of `a` by as many of `b`, so a city is spread over tasks.
     """
+    left, right = binned(a, b, km, key, radius, tile)
+    dist = haversine_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"), radius)
+    return left.join(right, TILE).withColumn("km", dist).filter(F.col("km") <= km).select("id_a", "id_b", "km")
+
+
+#: What two points must share to be compared.
+TILE = ["band", "bin", "part_a", "part_b"]
+
+
+def binned(a: DataFrame, b: DataFrame, km: float, key: str = "id", radius: float = EARTH_KM, tile: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Both sets with the bands, bins and tiles in which they meet."""
     step = math.degrees(km / radius)
     band = lambda lat: F.floor((lat + 90) / step).cast("long")
     # The bins of a band fit its edge nearest to a pole.
@@ -208,8 +261,18 @@ def pairs_within(a: DataFrame, b: DataFrame, km: float, key: str = "id", radius:
     right = b.select(F.col(key).alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), band(F.col("lat")).alias("band"))
     right = right.withColumn("n", bins(F.col("band"))).withColumn("bin", F.floor((F.col("lon_b") + 180) * F.col("n") / 360).cast("long") % F.col("n")).drop("n")
     left = a.select(F.col(key).alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), band(F.col("lat")).alias("own"))
-    left = left.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).withColumn("n", bins(F.col("band")))
+    left = left.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own").withColumn("n", bins(F.col("band")))
     at = F.floor((F.col("lon_a") + 180) * F.col("n") / 360).cast("long")
-    left = left.withColumn("bin", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(at + d, F.col("n"))))))
-    dist = haversine_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"), radius)
-    return left.join(right, ["band", "bin"]).withColumn("km", dist).filter(F.col("km") <= km).select("id_a", "id_b", "km")
+    left = left.withColumn("bin", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(at + d, F.col("n")))))).drop("n")
+    # Bins of more than a tile: how many parts each set has there.
+    parts = lambda d, name: d.groupBy("band", "bin").agg(F.ceil(F.count("*") / tile).alias(name))
+    dense = parts(left, "parts_a").join(parts(right, "parts_b"), ["band", "bin"], "full").filter("parts_a > 1 or parts_b > 1")
+    return _tiled(left, dense, "a", "b"), _tiled(right, dense, "b", "a")
+
+
+def _tiled(points: DataFrame, dense: DataFrame, own: str, other: str) -> DataFrame:
+    """Each point in its own part, once for every part of the other set."""
+    d = points.join(dense, ["band", "bin"], "left")
+    part = F.pmod(F.xxhash64(f"id_{own}", f"lon_{own}", f"lat_{own}"), F.coalesce(f"parts_{own}", F.lit(1))).alias(f"part_{own}")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"parts_{other}", F.lit(1)) - 1)).alias(f"part_{other}")
+    return d.select("band", "bin", f"id_{own}", f"lon_{own}", f"lat_{own}", part, every)

@@ -70,10 +70,34 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, fmt: str
     writer.option("header", True).format(fmt).save(path)
 
 
-def write_cube(df: DataFrame, path: str, res: float = 0.25) -> None:
-    """Writes a cell table in long form with its coordinates, sorted by place within files."""
+def write_cube(df: DataFrame, path: str, res: float = 0.25, files: int | None = None) -> None:
+    """Writes a cell table in long form with its coordinates, laid out by cell id: neighbouring cells lie in one file and in one row group.
+
+    Ids follow the quadtree, so a box of the map is a few ranges of them, which `read_cube` asks for. Where
+    `files` is not given, Spark sizes them.
+    """
     from ..operators.grid import with_lonlat
 
     out = with_lonlat(df, res)
     first = [c for c in out.columns if c not in ("lon", "lat")]
-    out.repartitionByRange("lat", "lon").sortWithinPartitions("lat", "lon").select(*first, "lat", "lon").write.mode("errorifexists").parquet(path)
+    ranged = out.repartitionByRange("qid") if files is None else out.repartitionByRange(files, "qid")
+    ranged.sortWithinPartitions("qid").select(*first, "lat", "lon").write.mode("errorifexists").parquet(path)
+
+
+def read_cube(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, res: float = 0.25, ranges: int = 32) -> DataFrame:
+    """A stored cube, or its cells with centres in a box (west, south, east, north), ends included; west above east runs over the date line.
+
+    The box becomes at most `ranges` ranges of cell ids, which Parquet's statistics
+    answer without reading the row groups of other places; the coordinates decide.
+    """
+    from ..operators.grid import box_ranges
+
+    cube = spark.read.parquet(path)
+    if box is None:
+        return cube
+    west, south, east, north = box
+    near = F.lit(False)
+    for a, b in box_ranges(west, south, east, north, res, ranges):
+        near = near | F.col("qid").between(a, b)
+    across = F.col("lon").between(west, east) if west <= east else (F.col("lon") >= west) | (F.col("lon") <= east)
+    return cube.filter(near).filter(across & F.col("lat").between(south, north))
