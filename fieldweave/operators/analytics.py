@@ -29,15 +29,41 @@ def quantiles(monthly: DataFrame, percentiles: tuple[float, ...] = PERCENTILES,
     return d.filter("quantile > 1 / _n and quantile < 1 - 1 / _n").select(*by, "qid", "month", "variable", "quantile", "value")
 
 
-def daily_quantiles(daily: DataFrame, percentiles: tuple[float, ...], variables: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+def percentiles(values: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 64) -> DataFrame:
+    """(keys, n, i, value): the exact, interpolated percentile probs[i] of each group's n values, however many they are; nulls do not count.
+
+    Equal values become one row with a count. Rough percentiles part each group
+    into about `bins` ranges of values; the ranges' counts say where each begins, so
+    ranks are counted range by range and no task holds or sorts a whole group.
+    """
+    each = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    cuts = each.groupBy(*keys).agg(F.percentile_approx("_x", [k / bins for k in range(1, bins)], 20 * bins).alias("_cuts"), F.sum("_c").alias("n"))
+    d = each.join(cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = d.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_s")).withColumn("_before", before).drop("_s")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.join(starts, [*keys, "_bin"]).withColumn("_end", F.col("_before") + upto).withColumn("_start", F.col("_end") - F.col("_c"))
+    # What a value gives to each percentile: all, its part of two neighbouring ranks, or nothing.
+    has = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_end"))
+
+    def part(p):
+        at = p * (F.col("n") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        return F.when(has(low) & has(high), F.lit(1.0)).when(has(low), high - at).when(has(high), at - low)
+
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    d = d.filter(F.exists(ps, lambda p: part(p).isNotNull())).select(*keys, "n", "_x", F.posexplode(F.transform(ps, part)).alias("i", "_part")).filter("_part is not null")
+    return d.groupBy(*keys, "n", "i").agg(F.sum(F.col("_part") * F.col("_x")).alias("value"))
+
+
+def daily_quantiles(daily: DataFrame, shown: tuple[float, ...], variables: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(qid, month, variable, quantile, value) of days, limited by the largest count of days in a cell's months."""
-    probs = [p / 100 for p in percentiles]
+    probs = [p / 100 for p in shown]
+    keys = [*by, "qid", "month", "variable"]
     long = daily.withColumn("month", F.month("date")).unpivot([*by, "qid", "month"], list(variables), "variable", "value")
-    g = long.groupBy(*by, "qid", "month", "variable").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"), F.count("value").alias("_c"))
-    most = F.max("_c").over(Window.partitionBy(*by, "qid"))
-    d = g.withColumn("_n", most).select(*by, "qid", "month", "variable", "_n", F.posexplode("_q").alias("_i", "value"))
-    d = d.withColumn("quantile", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1))
-    return d.filter("quantile > 1 / _n and quantile < 1 - 1 / _n").select(*by, "qid", "month", "variable", "quantile", "value")
+    d = percentiles(long, keys, "value", probs).withColumn("_n", F.max("n").over(Window.partitionBy(*by, "qid")))
+    d = d.withColumn("quantile", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1))
+    return d.filter("quantile > 1 / _n and quantile < 1 - 1 / _n").select(*keys, "quantile", "value")
 
 
 def similarity_ks(hist: DataFrame, stoc: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
