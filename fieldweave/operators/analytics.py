@@ -43,17 +43,15 @@ def percentiles(values: DataFrame, keys: list[str], value: str, probs: list[floa
     starts = d.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_s")).withColumn("_before", before).drop("_s")
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
     d = d.join(starts, [*keys, "_bin"]).withColumn("_end", F.col("_before") + upto).withColumn("_start", F.col("_end") - F.col("_c"))
-    # What a value gives to each percentile: all, its part of two neighbouring ranks, or nothing.
-    has = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_end"))
-
-    def part(p):
-        at = p * (F.col("n") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        return F.when(has(low) & has(high), F.lit(1.0)).when(has(low), high - at).when(has(high), at - low)
-
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    d = d.filter(F.exists(ps, lambda p: part(p).isNotNull())).select(*keys, "n", "_x", F.posexplode(F.transform(ps, part)).alias("i", "_part")).filter("_part is not null")
-    return d.groupBy(*keys, "n", "i").agg(F.sum(F.col("_part") * F.col("_x")).alias("value"))
+    # The percentiles at a rank between a value's first and last, or next to them, and what it gives to each: all or a part.
+    ps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    last = F.col("n") - 1
+    mine = F.filter(ps, lambda p: (p["p"] * last > F.col("_start") - 1) & (p["p"] * last < F.col("_end")))
+    d = d.select(*keys, "n", "_x", "_start", "_end", F.explode(mine).alias("_p"))
+    at = F.col("_p.p") * last
+    low, high = F.floor(at), F.ceil(at)
+    share = F.when((low >= F.col("_start")) & (high < F.col("_end")), F.lit(1.0)).when(low >= F.col("_start"), high - at).otherwise(at - low)
+    return d.groupBy(*keys, "n", F.col("_p.i").alias("i")).agg(F.sum(share * F.col("_x")).alias("value"))
 
 
 def daily_quantiles(daily: DataFrame, shown: tuple[float, ...], variables: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
