@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import licences
+from fieldweave.llm import decontaminate, licences
+from fieldweave.llm.common import table
 
 
 def test_licences_within_lines_and_across_them(spark):
@@ -22,3 +23,11 @@ def test_licences_within_lines_and_across_them(spark):
     got = {r.doc_id: r for r in licences.summary(licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))).collect()}
     assert {k: r.licences for k, r in got.items()} == {k: want for k, _, want in rows}
     assert all(got[k].best_dice == 1.0 for k in (1, 2, 3, 4, 7)) and 0.85 <= got[5].best_dice < 1
+
+
+def test_leaks_of_the_given_tables_are_those_of_checking_every_passage(spark):
+    docs, bench = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    space = decontaminate.fit_documents(docs)
+    pairs = lambda **kw: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, space=space, **kw).collect()}
+    got, want = pairs(), pairs(reach=-9.0)
+    assert want and got <= want and len(got) >= 0.9 * len(want)
