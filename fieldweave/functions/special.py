@@ -184,8 +184,9 @@ def two_sample_p(d: float, n: int, m: int, most: int = 10_000) -> float:
 
 
 def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Two-sided p-values, by the continued fraction of the incomplete beta function."""
+    """Two-sided p-values, by the continued fraction of the incomplete beta function; NaN without a degree of freedom."""
     t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    df, known = np.where(df > 0, df, 1.0), df > 0
     x, a, b = df / (df + t * t), df / 2, np.full_like(df, 0.5)
 
     def fraction(x, a, b):
@@ -203,4 +204,5 @@ def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
     with np.errstate(all="ignore"):
         front = np.exp(a * np.log(x) + b * np.log1p(-x) - (lgamma(a) + lgamma(b) - lgamma(a + b)))
-        return np.clip(np.where(x >= 1, 1.0, np.where(x < (a + 1) / (a + b + 2), front * fraction(x, a, b) / a, 1 - front * fraction(1 - x, b, a) / b)), 0, 1)
+        p = np.where(x >= 1, 1.0, np.where(x < (a + 1) / (a + b + 2), front * fraction(x, a, b) / a, 1 - front * fraction(1 - x, b, a) / b))
+    return np.where(known, np.clip(p, 0, 1), np.nan)

@@ -649,8 +649,7 @@ FROM he JOIN wd USING (qid, key) LEFT JOIN ef ON ef.qid = he.qid AND ef.key = he
 )
 def rebuild_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated days of all cells and years, eto included, from stored factors."""
-    hist, ssf = example(spark, sf_dir, "weather_hist"), _ssf(spark, sf_dir)
-    return rebuild.rebuilt(hist, ssf, rebuild.eto_factors(hist, rebuild.disaggregate(hist, ssf)))
+    return rebuild.rebuilt_from_seasons(example(spark, sf_dir, "weather_hist"), _ssf(spark, sf_dir))
 
 
 @query(

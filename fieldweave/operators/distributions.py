@@ -299,42 +299,116 @@ def kuma_grid(df: DataFrame, means: tuple[float, ...], variations: tuple[float,
     return kuma_fit_moments(g, "mean", "sd").drop("sd")
 
 
+def _genlogistic_fits(x: np.ndarray, starts: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """(groups, 3) of location, scale and shape c of the likeliest type I generalised logistic of each group; a group's values lie together in `x` from its start on.
+
+    For given location and scale the best c is closed, so damped Newton steps with exact
+    derivatives search location and log scale, for all groups at once; those that have settled
+    leave the batch. Groups without deviation are NaN. Where the likelihood grows towards the edge of
+    the family (skewness beyond a Gumbel's or an exponential's), steps end at the bounds
+    or when they gain nothing any more.
+    """
+    n = np.diff([*starts, len(x)])
+    mean = np.add.reduceat(x, starts) / n
+    sd = np.sqrt(np.add.reduceat((x - np.repeat(mean, n)) ** 2, starts) / n)
+    with np.errstate(all="ignore"):
+        u = (x - np.repeat(mean, n)) / np.repeat(sd, n)
+    owner = np.repeat(np.arange(len(n)), n)
+    low, high = np.array([-40.0, -12.0]), np.array([40.0, 4.0])
+    at, damp = np.tile([0.0, -0.6], (len(n), 1)), np.full(len(n), 1e-3)
+    alive = sd > 1e-12 * np.maximum(np.abs(mean), 1e-300)
+
+    def loss(place, v, first, count, whole=False):
+        """Mean negative log-likelihood up to a constant; with `whole`, its gradient and Hessian as well."""
+        scale = np.exp(place[:, 1])
+        z = (v - np.repeat(place[:, 0], count)) / np.repeat(scale, count)
+        each = lambda w: np.add.reduceat(w, first) / count
+        tail = np.exp(-np.abs(z))
+        soft = np.log1p(tail) + np.maximum(-z, 0.0)
+        t, zm = each(soft), each(z)
+        f = np.log(t) + place[:, 1] + zm + t
+        if not whole:
+            return f
+        g = np.where(z > 0, tail, 1.0) / (1 + tail)
+        h = tail / (1 + tail) ** 2
+        tl, ts = each(g) / scale, each(g * z)
+        tll, tls, tss = each(h) / scale**2, (each(h * z) - each(g)) / scale, each(h * z * z) - ts
+        by = 1 / t + 1
+        gradient = np.stack([by * tl - 1 / scale, by * ts + 1 - zm], axis=1)
+        a, b, d = by * tll - (tl / t) ** 2, by * tls - tl * ts / t**2 + 1 / scale, by * tss - (ts / t) ** 2 + zm
+        return f, gradient, np.stack([np.stack([a, b], axis=1), np.stack([b, d], axis=1)], axis=1)
+
+    # Short groups may have several peaks: begin on the best place of a grid.
+    live, best = np.flatnonzero(alive), np.full(len(n), np.inf)
+    for place in ((a, b) for a in (-2.0, -1.0, 0.0, 0.7, 1.4, 2.2) for b in (-4.0, -2.5, -1.5, -0.6, 0.0)):
+        if not len(live):
+            break
+        count = n[live]
+        with np.errstate(divide="ignore", over="ignore"):
+            f = loss(np.tile(place, (len(live), 1)), u[alive[owner]], np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        better = np.isfinite(f) & (f < best[live])
+        at[live[better]], best[live[better]] = place, f[better]
+    for _ in range(rounds):
+        if not len(live):
+            break
+        mine = np.zeros(len(n), bool)
+        mine[live] = True
+        v, count = u[mine[owner]], n[live]
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        f, gradient, hessian = loss(at[live], v, first, count, True)
+        # Lift the smaller eigenvalue above zero, so that every step goes downhill.
+        half, diff, off = (hessian[:, 0, 0] + hessian[:, 1, 1]) / 2, (hessian[:, 0, 0] - hessian[:, 1, 1]) / 2, hessian[:, 0, 1]
+        least = half - np.hypot(diff, off)
+        lift = damp[live] * np.abs(half) + np.maximum(0.0, -least) * 1.001 + 1e-14
+        aa, dd = hessian[:, 0, 0] + lift, hessian[:, 1, 1] + lift
+        det = aa * dd - off**2
+        with np.errstate(all="ignore"):
+            step = -np.stack([dd * gradient[:, 0] - off * gradient[:, 1], aa * gradient[:, 1] - off * gradient[:, 0]], axis=1) / det[:, None]
+        step = np.where(np.isfinite(step), np.clip(step, -2.0, 2.0), 0.0)
+        there = np.clip(at[live] + step, low, high)
+        with np.errstate(divide="ignore"):
+            reached = loss(there, v, first, count)
+        gains = np.isfinite(reached) & (reached <= f)
+        moved = np.abs(there - at[live]).max(axis=1)
+        at[live] = np.where(gains[:, None], there, at[live])
+        damp[live] = np.where(gains, np.maximum(damp[live] / 10, 1e-15), damp[live] * 8 + 1e-12)
+        live = live[(moved >= 1e-11) & (damp[live] < 1e12)]
+    scale = np.exp(at[:, 1])
+    with np.errstate(all="ignore"):
+        z = (u - np.repeat(at[:, 0], n)) / np.repeat(scale, n)
+        shape = n / np.add.reduceat(np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0.0), starts)
+    return np.where(alive[:, None], np.stack([mean + at[:, 0] * sd, scale * sd, shape], axis=1), np.nan)
+
+
+def genlogistic_fit(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, loc, scale, c, _rows): the likeliest type I generalised logistic of each group, with the group's rows beside it.
+
+    The density is c exp(-z) / (1 + exp(-z))^(c + 1) / scale with z = (x - loc) / scale. All groups of an
+    Arrow batch, which is bounded by bytes, are fitted at once. Nulls do not count; groups without deviation have null parameters.
+    """
+    rest = [c for c in values.columns if c not in keys]
+    grouped = values.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+
+    @F.pandas_udf("struct<loc: double, scale: double, c: double>")
+    def solve(lists: pd.Series) -> pd.DataFrame:
+        sizes = np.array([len(v) for v in lists], dtype=np.int64)
+        x = np.concatenate([np.asarray(v, float) for v in lists]) if len(lists) else np.zeros(0)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+        return pd.DataFrame(_genlogistic_fits(x, starts) if len(lists) else np.zeros((0, 3)), columns=["loc", "scale", "c"])
+
+    d = grouped.withColumn("_s", solve(F.transform("_rows", lambda r: r[value].cast("double"))))
+    return d.select(*keys, *[F.nanvl(f"_s.{c}", F.lit(None).cast("double")).alias(c) for c in ("loc", "scale", "c")], "_rows")
+
+
 def spei_mle(balance: DataFrame, n: int = 3, cell: str = "qid") -> DataFrame:
-    """(cell, year, month, value, spei) through a type I generalised logistic fitted by maximum likelihood.
+    """(cell, year, month, value, spei) through a generalised logistic that is fitted to a calendar month's n-month sums by maximum likelihood.
 
-    The density is c exp(-z) / (1 + exp(-z))^(c + 1) / scale with z = (x - loc) / scale. For given loc and scale the best c is
-    closed, so the search has two dimensions, in one small group a cell and calendar month.
+    Null where all sums of a month are equal. One exchange by cell serves the sums and the fits.
     """
     from .indices import rolling_month
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["value"].to_numpy(float)
-        sd = x.std() or 1.0
-
-        def shape(loc, scale):
-            return len(x) / np.logaddexp(0, -(x - loc) / scale).sum()
-
-        def loss(t):
-            loc, scale = t[0], np.exp(t[1])
-            z = (x - loc) / scale
-            return -(len(x) * np.log(shape(loc, scale) / scale) - z.sum() - (shape(loc, scale) + 1) * np.logaddexp(0, -z).sum())
-
-        # A simplex of three points that is reflected, stretched and shrunk.
-        t = [np.array([x.mean(), np.log(sd / 1.8)]), np.array([x.mean() + sd, np.log(sd / 1.8)]), np.array([x.mean(), np.log(sd)])]
-        for _ in range(400):
-            t.sort(key=loss)
-            mid = (t[0] + t[1]) / 2
-            tries = [mid + k * (mid - t[2]) for k in (1.0, 2.0, 0.5, -0.5)]
-            best = min(tries, key=loss)
-            if loss(best) < loss(t[2]):
-                t[2] = best
-            else:
-                t = [t[0], (t[0] + t[1]) / 2, (t[0] + t[2]) / 2]
-            if max(np.abs(t[0] - t[2]).max(), np.abs(t[0] - t[1]).max()) < 1e-9:
-                break
-        loc, scale = t[0][0], np.exp(t[0][1])
-        p = np.exp(-shape(loc, scale) * np.logaddexp(0, -(x - loc) / scale))
-        return pdf.assign(spei=normal.ppf(p))
-
-    d = rolling_month(balance, n, cell)
-    return d.groupBy(cell, "month").applyInPandas(run, d.select("*").schema.add("spei", "double"))
+    d = genlogistic_fit(rolling_month(balance, n, cell), [cell, "month"])
+    d = d.select(cell, "month", "loc", "scale", "c", F.inline("_rows"))
+    d = d.withColumn("_z", (F.col("value") - F.col("loc")) / F.col("scale"))
+    d = d.withColumn("_p", F.exp(-F.col("c") * (F.log1p(F.exp(-F.abs("_z"))) + F.greatest(-F.col("_z"), F.lit(0.0)))))
+    return d.withColumn("spei", F.expr(normal.ppf_sql("_p"))).select(cell, "year", "month", "value", "spei")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import bucketed
 from .seasonal import SEASONS, season_key, season_of, season_year
 
 VARIABLES = ("pre", "tmax", "tmin")
@@ -84,8 +85,30 @@ def rebuilt(daily: DataFrame, ssf: DataFrame, eto_ssf: DataFrame, variables: tup
     """(qid, year, date, variables, eto): simulated days of all cells and years from history, with its eto, and stored factors."""
     from .eto import hargreaves
 
-    names = (*variables, "eto")
-    factors = widened(ssf, variables).join(eto_ssf, ["qid", "year", "key"], "left")
-    d = keyed(hargreaves(daily), seasons).join(factors, ["qid", "key"])
+    return _scaled(keyed(hargreaves(daily), seasons), widened(ssf, variables).join(eto_ssf, ["qid", "year", "key"], "left"), variables)
+
+
+def _scaled(hist: DataFrame, factors: DataFrame, variables: tuple[str, ...]) -> DataFrame:
+    """(qid, year, date, variables, eto) of keyed history with eto times its factors."""
     year = F.col("year") + F.year("date") - F.col("season_year")
-    return d.select("qid", year.alias("year"), "date", *[(F.col(v) * F.col(f"ssf_{v}")).alias(v) for v in names])
+    return hist.join(factors, ["qid", "key"]).select("qid", year.alias("year"), "date", *[(F.col(v) * F.col(f"ssf_{v}")).alias(v) for v in (*variables, "eto")])
+
+
+def rebuilt_from_seasons(daily: DataFrame, ssf: DataFrame, variables: tuple[str, ...] = VARIABLES, seasons: tuple[int, ...] = SEASONS) -> DataFrame:
+    """What `rebuilt` gives with the `eto_factors` of the same days, from a history that is exchanged once.
+
+    History is stored with its eto in buckets of cell and season key, the factors likewise.
+    History's sums of eto, the simulated days and theirs, and the final scaling all keep these buckets,
+    so that days are read several times but never dealt out again; only sums, a row a season, are.
+    """
+    from .eto import hargreaves
+
+    past_days = keyed(hargreaves(daily), seasons).select("qid", "key", "date", "season_year", *variables, "eto")
+    hist = bucketed(daily.sparkSession, past_days, ["qid", "key"], "history")
+    wide = bucketed(daily.sparkSession, widened(ssf, variables), ["qid", "key"], "factors")
+    days = hist.join(wide, ["qid", "key"])
+    days = days.select("qid", "year", "key", "date", *[(F.col(v) * F.col(f"ssf_{v}")).alias(v) for v in variables])
+    stoc = hargreaves(days).groupBy("qid", "key", "year").agg(F.sum("eto").alias("_s"))
+    past = hist.groupBy("qid", "key").agg(F.sum("eto").alias("_h"))
+    eto_ssf = stoc.join(past, ["qid", "key"]).select("qid", "key", "year", F.try_divide("_s", "_h").alias("ssf_eto"))
+    return _scaled(hist, wide.join(eto_ssf, ["qid", "key", "year"], "left"), variables)

@@ -100,7 +100,7 @@ def with_two_sample_p(stats: DataFrame, n: str = "n_hist", m: str = "n_stoc") ->
 
 
 def boxcox_fit(seasonal: DataFrame, shift: float = 0.0, powers: tuple[float, ...] = tuple(np.arange(0.001, 1.001, 0.002).round(3).tolist())) -> DataFrame:
-    """(variable, season, qid, power, d): the power whose standardised transform is nearest to normal by the upper ecdf step; the first on ties.
+    """(variable, season, qid, power, d): the power whose standardised transform is nearest to normal by the upper ecdf step; the first on ties; null for fewer than two different values.
 
     A group is one cell's seasons, so it is small; its values are sorted once for all powers.
     """
@@ -108,11 +108,13 @@ def boxcox_fit(seasonal: DataFrame, shift: float = 0.0, powers: tuple[float, ...
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["value"].dropna().to_numpy(float)) + shift
         n = len(x)
-        p = np.array(powers)[:, None]
-        with np.errstate(all="ignore"):
-            y = (x[None, :] ** p - 1) / p
-            z = (y - y.mean(axis=1, keepdims=True)) / y.std(axis=1, ddof=1, keepdims=True)
-            d = np.abs(np.arange(1, n + 1) / n - normal.cdf(z)).max(axis=1) if n > 1 else np.full(len(powers), np.nan)
+        d = np.full(len(powers), np.nan)
+        if n > 1 and x[0] < x[-1]:
+            p = np.array(powers)[:, None]
+            with np.errstate(all="ignore"):
+                y = (x[None, :] ** p - 1) / p
+                z = (y - y.mean(axis=1, keepdims=True)) / y.std(axis=1, ddof=1, keepdims=True)
+                d = np.abs(np.arange(1, n + 1) / n - normal.cdf(z)).max(axis=1)
         k = int(np.nanargmin(d)) if np.isfinite(d).any() else None
         first = pdf.iloc[0]
         return pd.DataFrame([(first["variable"], first["season"], first["qid"], None if k is None else powers[k], None if k is None else float(d[k]))], columns=["variable", "season", "qid", "power", "d"])
@@ -295,14 +297,14 @@ def correlations(long: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
 
 
 def with_correlation_p(found: DataFrame) -> DataFrame:
-    """`found` with Student's t and its two-sided p."""
+    """`found` with Student's t and its two-sided p; null for fewer than three pairs and for exact lines."""
 
     @F.pandas_udf("double")
     def p(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series(special.student_p(t.to_numpy(float), n.to_numpy(float) - 2))
 
     n, r = F.col("n"), F.col("r")
-    t = F.when(F.abs(r) < 1 - 1e-12, r * F.sqrt(F.try_divide(n - 2, 1 - r * r)))
+    t = F.when((n > 2) & (F.abs(r) < 1 - 1e-12), r * F.sqrt(F.try_divide(n - 2, 1 - r * r)))
     d = found.withColumn("t", t)
     return d.withColumn("p", F.when(F.col("t").isNotNull(), p(F.coalesce("t", F.lit(0.0)), "n")))
 

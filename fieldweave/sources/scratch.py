@@ -18,6 +18,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bucketed(spark: SparkSession, df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """`df` stored in the shared folder in buckets of `columns`, a file each: joins and groups by them need no exchange of what is stored.
+
+    The files stay, as results read them lazily; the catalog forgets the table at once.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, name)
+    held = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *columns).write.bucketBy(n, *columns).option("path", path).saveAsTable(held)
+    out = spark.table(held)
+    spark.sql(f"DROP TABLE {held}")
+    return out
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again."""
     path = scratch(spark, name)
