@@ -53,3 +53,16 @@ def test_rounding_in_plain_arithmetic(spark):
     df = spark.createDataFrame([(0.0,), (0.00005,), (20015.08679,), (1234.56784999,), (None,), (float("nan"),)], "km double").select(_half_up("km", 4).alias("km"))
     got = [r.km for r in df.collect()]
     assert got[:5] == [0.0, 0.0001, 20015.0868, 1234.5678, None] and math.isnan(got[5])
+
+
+@pytest.mark.parametrize("tile", [90, 2000])
+def test_a_mirrored_matrix_has_every_pair_once(spark, tile):
+    a = places(spark, 700)
+    out = grid.self_distances(a, tile=tile).cache()
+    assert out.count() == 490_000 == out.select("id_a", "id_b").distinct().count()
+    swapped = out.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "km")
+    assert out.exceptAll(swapped).count() == 0 and out.filter("id_a = id_b and km != 0").count() == 0
+    assert out.exceptAll(grid.distances(a, a)).filter("id_a != id_b").count() == 0
+    got = loads(out)
+    assert tile > 700 or (len(got) >= 15 and max(got) <= 120_000)
+    out.unpersist()
