@@ -75,7 +75,7 @@ def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of a world grid at one degree that lie in the boxes, by cell id."""
-    box = _corners(spark, sf_dir)
+    box = grid.spread(_corners(spark, sf_dir), "id")
     wanted = box.select("id", F.explode(F.sequence("x0", F.col("x0") + 3)).alias("x"), "y0").select("id", "x", F.explode(F.sequence("y0", F.col("y0") + 2)).alias("y"))
     wanted = wanted.select("id", grid.ll_to_qid(F.when(F.col("x") >= 180, F.col("x") - 359.5).otherwise(F.col("x") + 0.5), F.col("y") + 0.5, 1.0).alias("qid"))
     return wanted.join(grid.make_grid(spark, 1.0), "qid").select("id", "qid", "lon", "lat")

@@ -118,16 +118,29 @@ def cell_polygon(lon: Column, lat: Column, res: float) -> Column:
     return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *ring), F.lit("))"))
 
 
-def polygon_cells(cells: DataFrame, rings: DataFrame, res: float, buff: float = 0.0, name: str = "name", ring: str = "ring", up: int = 3) -> DataFrame:
+def spread(d: DataFrame, *keys: str, rows: int = 2000) -> DataFrame:
+    """`d` dealt out by `keys`, about `rows` rows to a task: for rows of few bytes and much work, which Spark would put into few tasks."""
+    return d.repartition(tasks_of(d, rows), *keys)
+
+
+def tasks_of(d: DataFrame, rows: int) -> int:
+    """Tasks for so many rows each, the session's shuffle partitions at least."""
+    return max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(d.count() / rows), 10_000))
+
+
+def polygon_cells(cells: DataFrame, rings: DataFrame, res: float, buff: float = 0.0, name: str = "name", ring: str = "ring", up: int = 3, tile: int = 2000) -> DataFrame:
     """(name, qid, lon, lat) of the cells in each closed ring grown by `buff`, without pairing cells with polygons.
 
     Every ring is covered with blocks of the quadtree, 2**up cells wide: blocks that
     no edge comes near lie in it or out of it as a whole, others carry the edges of
     their latitudes. A block's number is the upper part of its cells' ids, so cells
-    find their blocks by an equality join, and only cells of edge blocks look at
-    edges. Rings may run over the date line with longitudes beyond 180 degrees; a
-    ring is less than 360 degrees wide.
+    find their blocks by an equality join, and only cells of edge blocks that lie in
+    the ring's bounds look at edges. Rings may run over the date line with longitudes
+    beyond 180 degrees; a ring is less than 360 degrees wide. Tasks follow from the
+    number of rings, which are counted at the call, and a block that more than `tile`
+    rings need is parted, its cells once for each part.
     """
+    tasks = tasks_of(rings, tile)
     n = levels(res)
     reach, side = res * (1 << (n - 1)), res * (1 << up)
     point = lambda i: F.element_at(ring, i)
@@ -135,25 +148,37 @@ def polygon_cells(cells: DataFrame, rings: DataFrame, res: float, buff: float =
     after = lambda i: point(F.when(i == corners, F.lit(1)).otherwise(i + 1))
     # In the cells' longitudes: a ring may lie there once more, a turn to the west or east.
     edge = lambda i: F.struct((point(i)["lon"] - F.col("turn")).alias("x1"), point(i)["lat"].alias("y1"), (after(i)["lon"] - F.col("turn")).alias("x2"), after(i)["lat"].alias("y2"))
-    d = rings.filter(corners > 0).select(name, ring, F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).alias("turn"))
-    d = d.select(name, F.transform(F.sequence(F.lit(1), corners), edge).alias("edges"))
-    least = lambda c, k: F.array_min(F.transform("edges", lambda e: e[c])) - k
-    most = lambda c, k: F.array_max(F.transform("edges", lambda e: e[c])) + k
-    d = d.select(name, "edges", F.greatest(least("x1", buff), F.lit(-180.0)).alias("west"), F.least(most("x1", buff), F.lit(180.0)).alias("east"), F.greatest(least("y1", buff), F.lit(-90.0)).alias("south"), F.least(most("y1", buff), F.lit(90.0)).alias("north"))
+    least = lambda c: F.array_min(F.transform(ring, lambda q: q[c]))
+    most = lambda c: F.array_max(F.transform(ring, lambda q: q[c]))
+    d = rings.repartition(tasks, name).filter(corners > 0).select(name, ring, least("lon").alias("x1"), most("lon").alias("x2"), least("lat").alias("y1"), most("lat").alias("y2"))
+    d = d.select("*", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).alias("turn"))
+    west, east = F.greatest(F.col("x1") - F.col("turn") - buff, F.lit(-180.0)), F.least(F.col("x2") - F.col("turn") + buff, F.lit(180.0))
+    south, north = F.greatest(F.col("y1") - buff, F.lit(-90.0)), F.least(F.col("y2") + buff, F.lit(90.0))
+    d = d.select(name, ring, "turn", west.alias("west"), east.alias("east"), south.alias("south"), north.alias("north"))
     number = lambda c: F.floor((F.col(c) + reach) / side)
-    d = d.filter("west <= east and south <= north").select(name, "edges", "south", "north", F.explode(F.sequence(number("west"), number("east"))).alias("bx"))
-    d = d.select(name, "edges", "bx", F.explode(F.sequence(number("south"), number("north"))).alias("by"))
+    bounds = ["west", "east", "south", "north"]
+    d = d.filter("west <= east and south <= north").select(name, F.transform(F.sequence(F.lit(1), corners), edge).alias("edges"), *bounds)
+    d = d.select("*", F.explode(F.sequence(number("west"), number("east"))).alias("bx"))
+    d = d.select("*", F.explode(F.sequence(number("south"), number("north"))).alias("by"))
+    block = _weave(F.col("bx").cast("long"), F.col("by").cast("long"), n - up).alias("block")
+    # By rows and columns, as their ids cost more than their count.
+    dense = d.groupBy("bx", "by").agg(F.ceil(F.count("*") / tile).alias("parts")).filter("parts > 1").select(block, "parts")
     x0, y0 = F.col("bx") * side - reach, F.col("by") * side - reach
     over = lambda a, b, low, high: (F.least(a, b) <= high + buff) & (F.greatest(a, b) >= low - buff)
     beside = F.filter("edges", lambda e: over(e["y1"], e["y2"], y0, y0 + side))
     near = F.exists("edges", lambda e: over(e["x1"], e["x2"], x0, x0 + side) & over(e["y1"], e["y2"], y0, y0 + side))
-    d = d.select(name, _weave(F.col("bx").cast("long"), F.col("by").cast("long"), n - up).alias("block"), F.when(near, beside).alias("some"), _inside(F.col("edges"), x0 + side / 2, y0 + side / 2).alias("whole"))
+    d = d.select(name, *bounds, block, F.when(near, beside).alias("some"), _inside(F.col("edges"), x0 + side / 2, y0 + side / 2).alias("whole"))
     cover = d.filter("some is not null or whole").drop("whole")
-    found = cells.select("qid", "lon", "lat", F.shiftright("qid", 2 * up).alias("block")).join(cover, "block")
+    cover = cover.join(dense, "block", "left").withColumn("part", F.pmod(F.xxhash64(name), F.coalesce("parts", F.lit(1)))).drop("parts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    asking = cells.select("qid", "lon", "lat", F.shiftright("qid", 2 * up).alias("block")).join(dense, "block", "left").select("qid", "lon", "lat", "block", every)
+    found = asking.repartition(tasks, "block", "part").join(cover.repartition(tasks, "block", "part"), ["block", "part"])
     own = _inside(F.col("some"), F.col("lon"), F.col("lat"))
     if buff > 0:
         own = own | F.exists("some", lambda e: _edge_gap(e, F.col("lon"), F.col("lat")) <= buff)
-    return found.filter(F.col("some").isNull() | own).select(name, "qid", "lon", "lat")
+    # Plain comparisons come first; they leave room for the rounding of the exact ones.
+    near = F.expr("lon >= west - 1e-9 and lon <= east + 1e-9 and lat >= south - 1e-9 and lat <= north + 1e-9")
+    return found.filter(F.col("some").isNull() | (near & own)).select(name, "qid", "lon", "lat")
 
 
 def _inside(edges: Column, x: Column, y: Column) -> Column:

@@ -66,3 +66,17 @@ def test_a_mirrored_matrix_has_every_pair_once(spark, tile):
     got = loads(out)
     assert tile > 700 or (len(got) >= 15 and max(got) <= 120_000)
     out.unpersist()
+
+
+def test_rings_of_one_block_are_spread_over_tasks(spark):
+    corner = lambda x, y: F.struct((F.lit(8.0 + x) + F.col("id") % 7 / 10).alias("lon"), (F.lit(8.0 + y) + F.col("id") % 5 / 10).alias("lat"))
+    rings = spark.range(0, 900, 1, 1).select(F.col("id").cast("string").alias("name"), F.array(corner(0.1, 0.2), corner(5.2, 0.4), corner(3.3, 4.9), corner(2.1, 1.7)).alias("ring"))
+    cells = grid.make_grid(spark, 1.0)
+    out = grid.polygon_cells(cells, rings, 1.0, 0.2, tile=30)
+    got = loads(out)
+    assert len(got) >= 15 and max(got) <= sum(got) / 4
+    whole = grid.polygon_cells(cells, rings, 1.0, 0.2)
+    assert out.count() == whole.count() == sum(got) > 900 and out.exceptAll(whole).count() == 0
+    # Rings repeat after 35 names, and so do their cells.
+    shapes = out.groupBy("name").agg(F.sort_array(F.collect_set("qid")).alias("cells")).select((F.col("name").cast("int") % 35).alias("shape"), "cells")
+    assert shapes.count() == 900 and shapes.groupBy("shape").agg(F.count_distinct("cells").alias("n")).filter("n > 1").count() == 0
