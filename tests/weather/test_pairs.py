@@ -68,6 +68,29 @@ def test_a_mirrored_matrix_has_every_pair_once(spark, tile):
     out.unpersist()
 
 
+def stored(out):
+    """Rows that a result's exchanges write, after it has run as a whole."""
+    session = out.sparkSession
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = out._jdf.queryExecution()
+        plan.toRdd().count()
+    finally:
+        session.conf.unset("spark.sql.adaptive.enabled")
+    nodes, n = [plan.executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_a_matrix_stores_each_point_once(spark):
+    a, b = places(spark, 1000), places(spark, 610, 7)
+    assert stored(grid.distances(a, b, tile=100)) == 1610 == stored(grid.distances(a, b))
+
+
 def test_rings_of_one_block_are_spread_over_tasks(spark):
     corner = lambda x, y: F.struct((F.lit(8.0 + x) + F.col("id") % 7 / 10).alias("lon"), (F.lit(8.0 + y) + F.col("id") % 5 / 10).alias("lat"))
     rings = spark.range(0, 900, 1, 1).select(F.col("id").cast("string").alias("name"), F.array(corner(0.1, 0.2), corner(5.2, 0.4), corner(3.3, 4.9), corner(2.1, 1.7)).alias("ring"))
