@@ -91,6 +91,21 @@ def test_a_matrix_stores_each_point_once(spark):
     assert stored(grid.distances(a, b, tile=100)) == 1610 == stored(grid.distances(a, b))
 
 
+def test_a_mirrored_matrix_stores_each_point_at_most_once_a_side(spark):
+    a = places(spark, 700)
+    assert max(stored(grid.self_distances(a, tile=tile)) for tile in (90, 2000)) <= 1400
+
+
+@pytest.mark.parametrize("tile", [1, 2000])
+def test_a_mirrored_matrix_keeps_missing_and_repeated_ids(spark, tile):
+    a = spark.createDataFrame([(1, 3.0, 4.0), (1, 3.0, 4.0), (2, -7.0, 50.0), (None, 9.0, 9.0), (None, None, None), (5, None, 1.0)], "id long, lon double, lat double")
+    p, q = (a.select(*[F.col(c).alias(f"{c}_{s}") for c in a.columns]) for s in "ab")
+    km = F.when(F.col("id_a") == F.col("id_b"), 0.0).otherwise(grid.haversine_km(*[F.col(c) for c in ("lon_a", "lat_a", "lon_b", "lat_b")]))
+    seen = lambda d: sorted((r.id_a or 0, r.id_b or 0, -1.0 if r.km is None else round(r.km, 6)) for r in d.collect())
+    got = seen(grid.self_distances(a, tile=tile))
+    assert len(got) == 36 and got == seen(p.crossJoin(q).select("id_a", "id_b", km.alias("km")))
+
+
 def test_rings_of_one_block_are_spread_over_tasks(spark):
     corner = lambda x, y: F.struct((F.lit(8.0 + x) + F.col("id") % 7 / 10).alias("lon"), (F.lit(8.0 + y) + F.col("id") % 5 / 10).alias("lat"))
     rings = spark.range(0, 900, 1, 1).select(F.col("id").cast("string").alias("name"), F.array(corner(0.1, 0.2), corner(5.2, 0.4), corner(3.3, 4.9), corner(2.1, 1.7)).alias("ring"))
